@@ -1,0 +1,49 @@
+"""Joins that stay even when one key holds a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A key is hot when it holds more than one row in SHARES; there can be at most
+# SHARES such keys, which bounds every table of hot keys.
+SHARES = 512
+
+
+def hot_keys(freq: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """Hot keys of ``freq`` (one row per key) and the number of slices each is cut into."""
+    total = freq.agg(F.sum(n).alias("total")).scalar()
+    return freq.where(F.col(n) * SHARES > total).select(
+        key, F.ceil(F.col(n) * SHARES / total).cast("int").alias("_slices")
+    )
+
+
+def skew_join(
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    spread_by: list[str],
+    how: str = "inner",
+    freq: DataFrame | None = None,
+) -> DataFrame:
+    """Join ``left`` with ``right`` (few rows per key) on ``key``.
+
+    Rows of a hot key are cut into slices by a hash of ``spread_by`` and the
+    matching right rows are repeated once per slice. ``freq`` gives the left row
+    counts per key if the caller has them already. The broadcast table has at
+    most ``SHARES`` rows whatever the data size.
+    """
+    if freq is None:
+        freq = left.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    hot = F.broadcast(hot_keys(freq, key))
+    sliced = (
+        left.join(hot, key, "left")
+        .withColumn("_slice", F.pmod(F.xxhash64(*spread_by), F.coalesce("_slices", F.lit(1))).cast("int"))
+        .drop("_slices")
+    )
+    repeated = (
+        right.join(hot, key, "left")
+        .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1)))
+        .drop("_slices")
+    )
+    return sliced.join(repeated, [key, "_slice"], how).drop("_slice")
