@@ -172,7 +172,7 @@ def binary_reason_dataset(stories: DataFrame, cot_from_binary: bool = False) ->
 
 
 def _merged_sentences(base: int) -> Column:
-    """Array of (key, pos, reasons) per distinct sentence of a story.
+    """Array of (pos, key, reasons) per distinct sentence of a story, by position.
 
     Sentences equal after lower-casing and stripping are one: the first position
     stays and the reasons are pooled.
@@ -187,21 +187,27 @@ def _merged_sentences(base: int) -> Column:
         ),
     )
 
-    def merge(rows: Column) -> Column:
-        keys = F.transform(rows, lambda r: r["key"])
-        distinct = F.array_distinct(keys)
-
-        def pooled(key: Column) -> Column:
-            same = F.filter(rows, lambda r: r["key"] == key)
-            return F.struct(
-                key.alias("key"),
-                F.get(same, F.lit(0))["pos"].alias("pos"),
-                F.flatten(F.transform(same, lambda r: r["reasons"])).alias("reasons"),
-            )
-
-        return F.when(F.size(distinct) == F.size(rows), rows).otherwise(F.transform(distinct, pooled))
+    def merge(ordered: Column, marked: Column) -> Column:
+        first = F.filter(ordered, lambda r, i: (i == 0) | (F.get(ordered, i - 1)["key"] != r["key"]))
+        pooled = F.transform(
+            first,
+            lambda r: F.struct(
+                r["pos"].alias("pos"),
+                r["key"].alias("key"),
+                F.flatten(
+                    F.transform(F.filter(marked, lambda m: m["key"] == r["key"]), lambda m: m["reasons"])
+                ).alias("reasons"),
+            ),
+        )
+        return F.array_sort(pooled)
 
-    return let(keyed, merge)
+    # Sorted by (key, pos), equal sentences are neighbours and the first of a run is the earliest.
+    return let(
+        F.array_sort(keyed),
+        lambda ordered: let(
+            F.filter(ordered, lambda r: F.size(r["reasons"]) > 0), lambda marked: merge(ordered, marked)
+        ),
+    )
 
 
 def _flag_fields(reasons: Column, score: Column, reason8: str) -> list[Column]:
@@ -246,26 +252,26 @@ def incremental_context(
         ),
         lambda m: m["norm"] != "",
     )
-    with_previous = let(
+    # The title is bound once per story; outside the generator it would be redone per sentence.
+    with_context = let(
         kept,
-        lambda rows: F.transform(
-            rows,
-            lambda m, i: F.struct(
-                m["pos"].alias("pos"), F.get(rows, i - 1)["norm"].alias("previous"), m["norm"].alias("current"), m["reasons"].alias("reasons")
+        lambda rows: let(
+            normalized(F.col("title"), **normalize_options),
+            lambda title: F.transform(
+                rows,
+                lambda m, i: F.struct(
+                    m["pos"].alias("pos"),
+                    _context(title, F.get(rows, i - 1)["norm"], m["norm"]).alias("sentence"),
+                    m["reasons"].alias("reasons"),
+                ),
             ),
         ),
     )
     exploded = stories.select(
-        "story_id",
-        normalized(F.col("title"), **normalize_options).alias("_title"),
-        F.col("incremental.consensus_score").alias("_score"),
-        F.inline(with_previous),
+        "story_id", F.col("incremental.consensus_score").alias("_score"), F.inline(with_context)
     )
     return exploded.select(
-        "story_id",
-        "pos",
-        _context(F.col("_title"), F.col("previous"), F.col("current")).alias("sentence"),
-        *_flag_fields(F.col("reasons"), F.col("_score"), reason8),
+        "story_id", "pos", "sentence", *_flag_fields(F.col("reasons"), F.col("_score"), reason8)
     )
 
 

@@ -30,7 +30,7 @@ def query(name: str, oracle: str | None = None):
     sql.with_(sql.SENTENCES) + "SELECT story_id AS doc_id, pos, sentence FROM sentences",
 )
 def c11(spark, d):
-    return annotate.sentences(views.table(spark, d, "documents"), "doc_id", "text")
+    return annotate.sentences(views.documents(spark, d), "doc_id", "text")
 
 
 @query(

@@ -5,20 +5,25 @@ Every view reads a whole table; none cuts rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textlab.functions.text import split_sentences
+from textlab.plans.layout import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def stories(spark, sf_dir) -> DataFrame:
     """story_id, title (first line), text, score5 (1..5)."""
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").alias("story_id"),
         F.substring_index("text", "\n", 1).alias("title"),
         "text",
@@ -36,48 +41,46 @@ def reasons(spark, sf_dir) -> DataFrame:
     )
 
 
-def annotator_scores(spark, sf_dir) -> DataFrame:
-    """story_id and a map annotator -> score 0..5 (three annotators at most)."""
-    per_annotator = (
-        table(spark, sf_dir, "lineitem")
-        .groupBy(
-            F.col("l_orderkey").alias("story_id"),
-            F.concat(F.lit("annot"), (F.col("l_suppkey") % 3).cast("string")).alias("annotator"),
-        )
-        .agg((F.max("l_quantity").cast("int") % 6).cast("double").alias("score"))
-    )
-    return per_annotator.groupBy("story_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("annotator", "score"))).alias("scores")
-    )
-
-
 def nested_stories(spark, sf_dir) -> DataFrame:
     """Stories in their nested form.
 
-    A story keeps at most 3 annotators x 7 sentence ids x 8 reasons, the domain
-    of the ids, so the collected maps are small whatever lineitem holds.
+    Ids have small domains (3 annotators, 7 sentence ids, 8 reasons), so what an
+    annotator marked fits the 56 bits of one number: a single map-side
+    aggregation gathers everything a story needs, and the maps are spelled out
+    from the bits afterwards.
     """
-    marked = (
-        reasons(spark, sf_dir)
-        .groupBy("story_id", "annotator", "sentence_id")
-        .agg(F.sort_array(F.collect_set("reason")).alias("reasons"))
-        .groupBy("story_id", "annotator")
-        .agg(
-            F.map_from_entries(
-                F.collect_list(F.struct(F.col("sentence_id").cast("string"), F.col("reasons")))
-            ).alias("marked")
-        )
-        .groupBy("story_id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("annotator", "marked"))).alias("reasons"))
+    annotators = (0, 1, 2)
+    who = F.col("l_suppkey") % 3
+    place = "CAST((l_linenumber - 1) * 8 + l_partkey % 8 AS INT)"
+    lines = table(spark, sf_dir, "lineitem").withColumn("_bit", F.expr(f"shiftleft(1L, {place})"))
+    gathered = lines.groupBy(F.col("l_orderkey").alias("story_id")).agg(
+        *[F.bit_or(F.when(who == a, F.col("_bit"))).alias(f"_marks{a}") for a in annotators],
+        *[F.max(F.when(who == a, F.col("l_quantity"))).alias(f"_score{a}") for a in annotators],
     )
-    no_scores = F.create_map().cast("map<string,double>")
-    no_reasons = F.create_map().cast("map<string,map<string,array<int>>>")
-    scores = F.coalesce("scores", no_scores)
+
+    def marked(bits: Column) -> Column:
+        given = lambda i: F.filter(
+            F.sequence(F.lit(1), F.lit(8)), lambda r: F.getbit(bits, i * 8 + r - 1) == 1
+        )
+        entries = F.transform(
+            F.sequence(F.lit(0), F.lit(6)), lambda i: F.struct(i.cast("string").alias("key"), given(i).alias("value"))
+        )
+        return F.map_from_entries(F.filter(entries, lambda e: F.size(e["value"]) > 0))
+
+    def per_annotator(column: str, value) -> Column:
+        entries = F.array(
+            *[
+                F.when(F.col(f"{column}{a}").isNotNull(), F.struct(F.lit(f"annot{a}").alias("key"), value(F.col(f"{column}{a}")).alias("value")))
+                for a in annotators
+            ]
+        )
+        return F.map_from_entries(F.array_compact(entries))
+
+    scores = per_annotator("_score", lambda s: (s.cast("int") % 6).cast("double"))
     consensus = F.col("score5").cast("double").alias("consensus_score")
     return (
         stories(spark, sf_dir)
-        .join(marked, "story_id", "left")
-        .join(annotator_scores(spark, sf_dir), "story_id", "left")
+        .join(gathered, "story_id", "left")
         .select(
             "story_id",
             "title",
@@ -87,7 +90,7 @@ def nested_stories(spark, sf_dir) -> DataFrame:
                 split_sentences(F.col("text")).alias("sentences"),
                 F.size(scores).alias("num_annotators"),
                 scores.alias("scores"),
-                F.coalesce("reasons", no_reasons).alias("reasons"),
+                per_annotator("_marks", marked).alias("reasons"),
                 consensus,
             ).alias("incremental"),
         )
@@ -96,7 +99,7 @@ def nested_stories(spark, sf_dir) -> DataFrame:
 
 def labeled_documents(spark, sf_dir) -> DataFrame:
     """doc_id, text, label (quality 0/1) of the documents that have labels."""
-    return table(spark, sf_dir, "documents").join(
+    return documents(spark, sf_dir).join(
         table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"), "toxic"), "doc_id"
     ).select("doc_id", "text", "label", "toxic")
 
@@ -132,7 +135,7 @@ def trials(spark, sf_dir) -> DataFrame:
 
 def generated(spark, sf_dir) -> DataFrame:
     """id, truth, text: an answer in the shape a model gives, one per document."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     first = F.get(split_sentences(F.col("text")), F.lit(0))
     kind = F.col("doc_id") % 5
     tag = (F.col("doc_id") % 7 + 1).cast("string")
