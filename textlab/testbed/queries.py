@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textlab.functions import fixed, scores, text
-from textlab.operators import annotate
+from textlab.operators import annotate, metrics, rows, sample
+from textlab.plans.ordered import class_rank
 from textlab.testbed import sql, views
 
 QUERIES = {}
@@ -55,8 +56,8 @@ def c02(spark, d):
     sql.with_(sql.REASONS, sql.FLAGS, sql.SENTENCES, sql.FLAGGED) + "SELECT * FROM flagged",
 )
 def c02_flagged(spark, d):
-    rows = annotate.sentences(views.stories(spark, d), "story_id", "text")
-    return annotate.flag_sentences(rows, annotate.sentence_flags(views.reasons(spark, d), base=0))
+    sents = annotate.sentences(views.stories(spark, d), "story_id", "text")
+    return annotate.flag_sentences(sents, annotate.sentence_flags(views.reasons(spark, d), base=0))
 
 
 @query(
@@ -65,8 +66,8 @@ def c02_flagged(spark, d):
     + "SELECT story_id, count(*) AS strays FROM flags ANTI JOIN sentences USING (story_id, pos) GROUP BY story_id",
 )
 def c02_strays(spark, d):
-    rows = annotate.sentences(views.stories(spark, d), "story_id", "text")
-    return annotate.stray_annotations(rows, annotate.sentence_flags(views.reasons(spark, d), base=0))
+    sents = annotate.sentences(views.stories(spark, d), "story_id", "text")
+    return annotate.stray_annotations(sents, annotate.sentence_flags(views.reasons(spark, d), base=0))
 
 
 @query(
@@ -84,8 +85,8 @@ def c03(spark, d):
     + f"SELECT story_id, pos, {sql.reason_text()} AS reason_text FROM flagged",
 )
 def c04(spark, d):
-    rows = annotate.sentences(views.stories(spark, d), "story_id", "text")
-    flagged = annotate.flag_sentences(rows, annotate.sentence_flags(views.reasons(spark, d), base=0))
+    sents = annotate.sentences(views.stories(spark, d), "story_id", "text")
+    flagged = annotate.flag_sentences(sents, annotate.sentence_flags(views.reasons(spark, d), base=0))
     return annotate.sentence_reason_text(flagged).select("story_id", "pos", "reason_text")
 
 
@@ -98,8 +99,8 @@ COT = sql.with_(sql.STORIES, sql.REASONS, sql.FLAGS, sql.SENTENCES, sql.FLAGGED,
 )
 def c05(spark, d):
     """The long form: flags arrive as rows and the problem list is put together per story."""
-    rows = annotate.sentences(views.stories(spark, d), "story_id", "text")
-    flagged = annotate.flag_sentences(rows, annotate.sentence_flags(views.reasons(spark, d), base=0))
+    sents = annotate.sentences(views.stories(spark, d), "story_id", "text")
+    flagged = annotate.flag_sentences(sents, annotate.sentence_flags(views.reasons(spark, d), base=0))
     # One entry per sentence of the story's own text.
     problems = (
         annotate.sentence_reason_text(flagged)
@@ -214,3 +215,485 @@ def c09_turns(spark, d):
 )
 def c10(spark, d):
     return annotate.holistic_dataset(views.nested_stories(spark, d))
+
+
+# ----------------------------------------------------------------- row level
+
+
+@query("b01_clean_text", """SELECT doc_id, translate(lower(text), '[]<>"\\{}', '') AS text FROM documents""")
+def b01(spark, d):
+    return views.documents(spark, d).select("doc_id", text.clean_text(F.col("text"), lower=True).alias("text"))
+
+
+@query(
+    "b02_join_text_columns",
+    "SELECT concat_ws('-', p_name, p_brand, p_type) AS joined, p_partkey, p_size, p_retailprice FROM part",
+)
+def b02(spark, d):
+    return rows.join_text_columns(views.table(spark, d, "part"), ["p_name", "p_brand", "p_type"], "joined")
+
+
+@query(
+    "b03_normalize_text",
+    f"SELECT doc_id, CASE WHEN n = '' THEN 'REMOVE' ELSE n END AS text FROM (SELECT doc_id, {sql.normalized('text')} AS n FROM documents)",
+)
+def b03(spark, d):
+    return views.documents(spark, d).select("doc_id", text.normalize_text(F.col("text")).alias("text"))
+
+
+@query(
+    "b04_lemmatize",
+    f"""WITH lemmas AS (SELECT DISTINCT word, substr(word, 1, length(word) - 1) AS lemma
+        FROM (SELECT unnest({sql.words('text')}) AS word FROM documents)
+        WHERE length(word) > 3 AND word LIKE '%s' AND word NOT LIKE '%ss'),
+      tokens AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos
+        FROM (SELECT doc_id, {sql.words('text')} AS w FROM documents))
+      SELECT doc_id, coalesce(t, '') AS text FROM documents LEFT JOIN (
+        SELECT doc_id, string_agg(coalesce(lemma, word), ' ' ORDER BY pos) AS t
+        FROM tokens LEFT JOIN lemmas USING (word) GROUP BY doc_id) USING (doc_id)""",
+)
+def b04(spark, d):
+    docs = views.documents(spark, d).select("doc_id", "text")
+    return rows.lemmatize(docs, "doc_id", "text", views.lemmas(spark, d))
+
+
+@query(
+    "b05_binarize_drop_mid",
+    sql.with_(sql.STORIES)
+    + "SELECT story_id, CAST(CASE WHEN score5 > 3 THEN 1 ELSE 0 END AS INTEGER) AS score FROM stories WHERE score5 <> 3",
+)
+def b05(spark, d):
+    return (
+        views.stories(spark, d)
+        .select("story_id", scores.binarize_drop_mid(F.col("score5")).alias("score"))
+        .where("score <> -1")
+    )
+
+
+@query(
+    "b06_binarize_keep_mid",
+    sql.with_(sql.STORIES)
+    + "SELECT story_id, CAST(CASE WHEN trunc(score5 - 0.3) <= 2 THEN 0 ELSE 1 END AS INTEGER) AS score FROM stories",
+)
+def b06(spark, d):
+    return views.stories(spark, d).select(
+        "story_id", scores.binarize_keep_mid(F.col("score5") - 0.3).alias("score")
+    )
+
+
+@query(
+    "b07_binarize_score_map",
+    sql.with_(ANNOTATOR_SCORES)
+    + """SELECT story_id, annotator, CAST(CASE WHEN s <= 2 THEN 0 ELSE 1 END AS INTEGER) AS score
+       FROM annotator_scores JOIN documents ON story_id = doc_id""",
+)
+def b07(spark, d):
+    return views.nested_stories(spark, d).select(
+        "story_id", F.explode(scores.binarize_score_map(F.col("holistic.scores"))).alias("annotator", "score")
+    )
+
+
+@query(
+    "b08_text_stats",
+    f"""SELECT doc_id, CAST(len(w) AS INTEGER) AS word_count,
+        CASE WHEN len(w) > 0 THEN round(len(list_distinct(list_transform(w, lambda x: lower(x)))) / len(w), 2) ELSE 0.0 END AS diversity_score
+      FROM (SELECT doc_id, {sql.words('text')} AS w FROM documents)""",
+)
+def b08(spark, d):
+    stats = text.text_stats(F.col("text"))
+    return views.documents(spark, d).select("doc_id", *[c.alias(n) for n, c in stats.items()])
+
+
+@query(
+    "b09_story_text",
+    sql.with_(sql.STORIES) + "SELECT story_id, 'Title: ' || title || ' Text: ' || text AS text FROM stories",
+)
+def b09(spark, d):
+    return views.stories(spark, d).select("story_id", text.story_text(F.col("title"), F.col("text")).alias("text"))
+
+
+@query(
+    "b10_extract_title_text",
+    sql.with_(sql.GENERATED)
+    + f"""SELECT id, trim({sql.strip("regexp_extract(s, '(?s)^(.*?)Text:(.*)$', 1)")}, '"') AS title,
+        replace(trim({sql.strip("regexp_extract(s, '(?s)^(.*?)Text:(.*)$', 2)")}, '"'), chr(10), ' ') AS text
+      FROM (SELECT id, string_split(text, 'Title:')[-1] AS s FROM generated)""",
+)
+def b10(spark, d):
+    story = text.extract_title_text(F.col("text"))
+    return views.generated(spark, d).select("id", story.alias("s")).select("id", "s.title", "s.text")
+
+
+@query("b11_clean_model_output", sql.with_(sql.GENERATED) + f"SELECT id, {sql.clean_output('text')} AS text FROM generated")
+def b11(spark, d):
+    return views.generated(spark, d).select("id", text.clean_model_output(F.col("text")).alias("text"))
+
+
+@query(
+    "b12_extract_score",
+    sql.with_(sql.GENERATED)
+    + f"""SELECT id, {sql.last_binary(sql.clean_output('text'))} AS last_binary,
+        CAST(regexp_extract_all(string_split(text, 'Response:')[-1], '<score>\\s*(\\d+)\\s*</score>', 1)[1] AS INTEGER) AS first_int,
+        CAST(regexp_extract_all(string_split(text, '## Response:')[2], '<score>(\\d)</score>', 1)[1] AS INTEGER) AS first_digit
+      FROM generated""",
+)
+def b12(spark, d):
+    answer = F.col("text")
+    return views.generated(spark, d).select(
+        "id",
+        scores.extract_score(text.clean_model_output(answer)).alias("last_binary"),
+        scores.extract_score(scores.after_last(answer, "Response:"), "first_int").alias("first_int"),
+        scores.extract_score(answer, "first_digit").alias("first_digit"),
+    )
+
+
+@query(
+    "b13_resolve_missing_score",
+    sql.with_(sql.GENERATED)
+    + f"""SELECT id, s IS NULL AS parse_failed, s AS dropped,
+        CAST(coalesce(s, CASE WHEN truth < 5 THEN truth + 1 ELSE 1 END) AS INTEGER) AS shift_true,
+        coalesce(s, 1) AS const_1, CAST(coalesce(s, 1 - truth) AS INTEGER) AS flip_true, coalesce(s, 0) AS const_0
+      FROM (SELECT id, truth, {sql.last_binary(sql.clean_output('text'))} AS s FROM generated)""",
+)
+def b13(spark, d):
+    read = views.generated(spark, d).select(
+        "id", "truth", scores.extract_score(text.clean_model_output(F.col("text"))).alias("s")
+    )
+    fill_in = lambda policy: scores.resolve_missing_score(F.col("s"), F.col("truth"), policy)
+    return read.select(
+        "id",
+        F.col("s").isNull().alias("parse_failed"),
+        fill_in("drop").alias("dropped"),
+        *[fill_in(p).alias(p) for p in ("shift_true", "const_1", "flip_true", "const_0")],
+    )
+
+
+USER_TEMPLATE = "Judge whether the text holds together.\n\n## Input:\n{}\n"
+ASSISTANT_TEMPLATE = "\n## Response:\n{}\n4. Score:\n{}"
+LABELED = "labeled AS (SELECT doc_id, text, quality AS label, toxic FROM documents JOIN labels USING (doc_id))"
+USER_SQL = "'Judge whether the text holds together.' || chr(10) || chr(10) || '## Input:' || chr(10) || text || chr(10)"
+ASSISTANT_SQL = (
+    "chr(10) || '## Response:' || chr(10) || 'toxic ' || toxic || chr(10) || '4. Score:' || chr(10) || '<score>' || label || '</score>'"
+)
+
+
+def chat(spark, d):
+    reasoning = F.concat(F.lit("toxic "), F.col("toxic").cast("string"))
+    return rows.render_chat(
+        views.labeled_documents(spark, d), USER_TEMPLATE, ASSISTANT_TEMPLATE, F.col("text"), reasoning, F.col("label")
+    )
+
+
+@query(
+    "b14_render_chat",
+    sql.with_(LABELED)
+    + f"""SELECT doc_id, 'user' AS role, {USER_SQL} AS content FROM labeled
+      UNION ALL SELECT doc_id, 'assistant', {ASSISTANT_SQL} FROM labeled""",
+)
+def b14(spark, d):
+    return chat(spark, d).select("doc_id", F.inline("messages"))
+
+
+@query(
+    "b15_strip_prompt",
+    sql.with_(sql.GENERATED)
+    + f"""SELECT id, regexp_replace({sql.strip("string_split('<|begin|>system<|eot_id|><|start_header_id|>user<|end_header_id|>' || chr(10) || text, '## Response:')[1]")}
+        || chr(10) || '## Response:', '(?s)^.*?<\\|eot_id\\|><\\|start_header_id\\|>user<\\|end_header_id\\|>\\s*', '') AS prompt FROM generated""",
+)
+def b15(spark, d):
+    header = "<|begin|>system<|eot_id|><|start_header_id|>user<|end_header_id|>\n"
+    return views.generated(spark, d).select(
+        "id", text.strip_prompt(F.concat(F.lit(header), F.col("text"))).alias("prompt")
+    )
+
+
+# ------------------------------------------------------------------ sampling
+
+
+@query("d00_class_rank", sql.ranked("labels", "quality", "doc_id"))
+def d00(spark, d):
+    return class_rank(views.table(spark, d, "labels"), ["quality"], "doc_id")
+
+
+@query(
+    "d01_downsample_class",
+    f"SELECT doc_id, quality, toxic FROM ({sql.ranked('labels', 'quality', 'doc_id')}) WHERE quality <> 1 OR rank <= 64",
+)
+def d01(spark, d):
+    return sample.downsample_class(views.table(spark, d, "labels"), "quality", 1, 64, "doc_id")
+
+
+@query(
+    "d02_undersample_to_minority",
+    f"""SELECT doc_id, quality, toxic FROM ({sql.ranked('labels', 'quality', 'doc_id')})
+      WHERE rank <= (SELECT min(n) FROM (SELECT count(*) AS n FROM labels GROUP BY quality))""",
+)
+def d02(spark, d):
+    return sample.undersample_to_minority(views.table(spark, d, "labels"), "quality", "doc_id")
+
+
+@query(
+    "d03_stratified_kfold",
+    f"""SELECT doc_id, quality, toxic, CAST((before + rank - 1) % 10 AS INTEGER) AS fold
+      FROM ({sql.ranked('labels', 'quality', 'doc_id')}) JOIN (
+        SELECT quality, coalesce(sum(n) OVER (ORDER BY quality ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+        FROM (SELECT quality, count(*) AS n FROM labels GROUP BY quality)) USING (quality)""",
+)
+def d03(spark, d):
+    return sample.stratified_kfold(views.table(spark, d, "labels"), "quality", 10, "doc_id")
+
+
+@query(
+    "d04_random_split",
+    f"""SELECT doc_id, CASE WHEN rank <= ceil(0.2 * class_rows) THEN 'test' ELSE 'train' END AS split
+      FROM ({sql.ranked('documents', None, 'doc_id')})""",
+)
+def d04(spark, d):
+    return sample.random_split(views.table(spark, d, "documents").select("doc_id"), 0.2, "doc_id")
+
+
+ALLOT = """allot AS (SELECT quality, c - w - CASE WHEN row_number() OVER (ORDER BY rest DESC, quality) <= n_train - sum(w) OVER ()
+    THEN 1 ELSE 0 END AS n_test FROM (SELECT quality, c, n_train, (c * n_train) // n AS w, (c * n_train) % n AS rest FROM (
+      SELECT quality, c, n, n - CAST(ceil(0.2 * n) AS BIGINT) AS n_train FROM (
+        SELECT quality, count(*) AS c, (SELECT count(*) FROM labels) AS n FROM labels GROUP BY quality))))"""
+
+
+@query(
+    "d05_stratified_split",
+    sql.with_(ALLOT)
+    + f"""SELECT doc_id, quality, toxic, CASE WHEN rank <= n_test THEN 'test' ELSE 'train' END AS split
+      FROM ({sql.ranked('labels', 'quality', 'doc_id')}) JOIN allot USING (quality)""",
+)
+def d05(spark, d):
+    return sample.stratified_split(views.table(spark, d, "labels"), "quality", 0.2, "doc_id")
+
+
+@query(
+    "d06_sample_shots",
+    sql.with_(LABELED)
+    + f"""SELECT doc_id, text, label, toxic, CAST(row_number() OVER (ORDER BY label, rank) AS INTEGER) AS shot
+      FROM ({sql.ranked('labeled', 'label', 'doc_id')}) WHERE rank <= 3""",
+)
+def d06(spark, d):
+    return sample.sample_shots(views.labeled_documents(spark, d), "label", 3, "doc_id")
+
+
+@query(
+    "d07_balanced_eval_subset",
+    sql.with_(sql.STORIES)
+    + f"""SELECT story_id, score5 FROM ({sql.ranked('stories', 'score5', 'story_id')})
+      WHERE rank <= least(40, (SELECT min(n) FROM (SELECT count(*) AS n FROM stories GROUP BY score5)))""",
+)
+def d07(spark, d):
+    return sample.balanced_eval_subset(
+        views.stories(spark, d).select("story_id", "score5"), "score5", [1, 2, 3, 4, 5], 40, "story_id"
+    )
+
+
+SHOT_SQL = sql.q(fixed.SHOT_FORMAT)
+for _name, _value in (("{n}", "CAST(shot AS VARCHAR)"), ("{text}", "text"), ("{reasoning}", "'toxic ' || toxic"), ("{score}", "CAST(label AS VARCHAR)")):
+    SHOT_SQL = SHOT_SQL.replace(_name, f"' || {_value} || '")
+
+
+@query(
+    "d08_few_shot_prompts",
+    sql.with_(
+        LABELED,
+        f"""shots AS (SELECT *, row_number() OVER (ORDER BY label, rank) AS shot
+          FROM ({sql.ranked('labeled', 'label', 'doc_id')}) WHERE rank <= 2)""",
+    )
+    + f"""SELECT doc_id, md5({sql.q(USER_TEMPLATE.split(fixed.INPUT_MARK)[0] + fixed.SHOTS_HEAD)} ||
+        (SELECT string_agg({SHOT_SQL}, '' ORDER BY shot) FROM shots) || {sql.q(fixed.SHOTS_END)} || text || {sql.q(fixed.SHOTS_ASK)}) AS prompt_md5
+      FROM documents""",
+)
+def d08(spark, d):
+    shots = sample.sample_shots(views.labeled_documents(spark, d), "label", 2, "doc_id").select(
+        "shot", "text", F.concat(F.lit("toxic "), F.col("toxic").cast("string")).alias("cot"), F.col("label").alias("score")
+    )
+    out = sample.few_shot_prompts(views.documents(spark, d), shots, USER_TEMPLATE, F.col("text"))
+    # The digest keeps the comparison small; the operator returns the prompt itself.
+    return out.select("doc_id", F.md5("prompt").alias("prompt_md5"))
+
+
+# ------------------------------------------------------------------- metrics
+
+
+@query("e01_class_distribution", "SELECT quality, count(*) AS rows FROM labels GROUP BY quality")
+def e01(spark, d):
+    return metrics.class_distribution(views.table(spark, d, "labels"), "quality")
+
+
+@query("e04_length_stats", """SELECT max(n_chars) AS max_length,
+    CAST(floor(round(quantile_cont(n_chars, 0.95), 6)) AS BIGINT) AS p95_length FROM documents""")
+def e04(spark, d):
+    return metrics.length_stats(views.table(spark, d, "documents"), "n_chars")
+
+
+@query(
+    "e05_confusion_matrix",
+    sql.with_(sql.PRED5, "l AS (SELECT y_true AS v FROM pred5 UNION SELECT y_pred FROM pred5)")
+    + """SELECT a.v AS y_true, b.v AS y_pred, count(p.id) AS n FROM l a CROSS JOIN l b
+       LEFT JOIN pred5 p ON p.y_true = a.v AND p.y_pred = b.v GROUP BY ALL""",
+)
+def e05(spark, d):
+    return metrics.confusion_matrix(views.pred5(spark, d))
+
+
+ROUNDED = ", ".join(f"round({c}, 9) AS {c}" for c in ("precision", "recall", "f1"))
+
+
+@query(
+    "e06_classification_report",
+    sql.with_(sql.PRED5, sql.label_scores("pred5"), sql.summary())
+    + f"""SELECT label, {ROUNDED}, support FROM (
+        SELECT CAST(label AS VARCHAR) AS label, precision, recall, f1, support FROM scores
+        UNION ALL SELECT 'accuracy', accuracy, accuracy, accuracy, rows FROM summary
+        UNION ALL SELECT 'macro avg', precision_macro, recall_macro, f1_macro, rows FROM summary
+        UNION ALL SELECT 'weighted avg', precision_weighted, recall_weighted, f1_weighted, rows FROM summary)""",
+)
+def e06(spark, d):
+    r = metrics.classification_report(views.pred5(spark, d))
+    return r.select("label", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+@query(
+    "e07_outcomes",
+    sql.with_(sql.PRED2)
+    + """SELECT id, CASE WHEN y_true = 1 THEN CASE WHEN y_pred = 1 THEN 'TP' ELSE 'FN' END
+       WHEN y_pred = 1 THEN 'FP' ELSE 'TN' END AS outcome FROM pred2""",
+)
+def e07(spark, d):
+    return metrics.outcomes(views.pred2(spark, d))
+
+
+SUMMARY_COLS = ["accuracy"] + [f"{c}_{k}" for k in ("macro", "weighted") for c in ("precision", "recall", "f1")]
+SUMMARY_SQL = ", ".join(f"round({c}, 9) AS {c}" for c in SUMMARY_COLS)
+
+
+@query(
+    "e08_fold_metrics",
+    sql.with_(sql.PRED5, sql.label_scores("pred5", "fold"), sql.summary("fold"))
+    + f"SELECT fold, rows, {SUMMARY_SQL}, 0::BIGINT AS parse_failures, 0.0::DOUBLE AS parse_failure_rate FROM summary",
+)
+def e08(spark, d):
+    m = metrics.fold_metrics(views.pred5(spark, d))
+    return m.select("fold", "rows", *[F.round(c, 9).alias(c) for c in SUMMARY_COLS], "parse_failures", "parse_failure_rate")
+
+
+GENERATED_FOLDS = f"""answers AS (SELECT id % 10 AS fold, truth AS y_true, coalesce(s, 0) AS y_pred, s IS NULL AS failed FROM (
+    SELECT id, truth, {sql.last_binary(sql.clean_output('text'))} AS s FROM generated))"""
+
+
+@query(
+    "e09_cv_summary",
+    sql.with_(
+        sql.GENERATED,
+        GENERATED_FOLDS,
+        sql.label_scores("answers", "fold"),
+        sql.summary("fold"),
+        """per_fold AS (SELECT s.*, f.failures, f.failures / s.rows AS parse_failure_rate FROM summary s JOIN
+          (SELECT fold, CAST(sum(CAST(failed AS INTEGER)) AS BIGINT) AS failures FROM answers GROUP BY fold) f USING (fold))""",
+    )
+    + " UNION ALL ".join(
+        f"""SELECT '{m}' AS metric, round(avg({m}), 9) AS mean, round(stddev_pop({m}), 9) AS std,
+          CAST(sum(failures) AS BIGINT) AS parse_failures, CAST(sum(rows) AS BIGINT) AS rows FROM per_fold"""
+        for m in metrics.CV_METRICS
+    ),
+)
+def e09(spark, d):
+    """Model answers to cross-validation summary: clean, read scores, per fold, over folds."""
+    read = rows.read_scores(views.generated(spark, d), F.col("text"), F.col("truth"))
+    folds = metrics.fold_metrics(read.withColumn("fold", (F.col("id") % 10).cast("int")))
+    s = metrics.cv_summary(folds)
+    return s.select("metric", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"), "parse_failures", "rows")
+
+
+@query(
+    "e10_select_best",
+    sql.with_(
+        sql.PRED2,
+        """models AS (SELECT fold, y_true, y_pred, 'as given' AS model, 1 AS place FROM pred2
+          UNION ALL SELECT fold, y_true, 1 - y_pred, 'flipped', 2 FROM pred2 UNION ALL SELECT fold, y_true, 0, 'constant', 3 FROM pred2)""",
+        sql.label_scores("models", "model, place, fold"),
+        sql.summary("model, place, fold"),
+        """means AS (SELECT model, place, avg(accuracy) AS a, avg(f1_weighted) AS f, avg(precision_weighted) AS p
+          FROM summary GROUP BY ALL)""",
+    )
+    + """SELECT model, round(a, 3) AS mean_accuracy, round(f, 3) AS mean_f1, round(p, 3) AS mean_precision,
+       model = (SELECT model FROM means ORDER BY f DESC, place LIMIT 1) AS best FROM means""",
+)
+def e10(spark, d):
+    p = views.pred2(spark, d)
+    models = (
+        p.withColumn("model", F.lit("as given")).withColumn("place", F.lit(1))
+        .unionByName(p.withColumn("y_pred", 1 - F.col("y_pred")).withColumn("model", F.lit("flipped")).withColumn("place", F.lit(2)))
+        .unionByName(p.withColumn("y_pred", F.lit(0)).withColumn("model", F.lit("constant")).withColumn("place", F.lit(3)))
+    )
+    return metrics.select_best(metrics.fold_metrics(models, ["model", "place"]), "f1")
+
+
+@query(
+    "e11_trial_leaderboard",
+    sql.with_(
+        sql.TRIALS,
+        """best AS (SELECT study, trial AS best_trial, value AS best_value, n AS trials FROM (
+          SELECT *, row_number() OVER (PARTITION BY study ORDER BY value DESC, trial) AS r, count(*) OVER (PARTITION BY study) AS n
+          FROM trials WHERE value > 0.56) WHERE r = 1)""",
+    )
+    + "SELECT *, CAST(row_number() OVER (ORDER BY best_value DESC, study) AS INTEGER) AS place FROM best",
+)
+def e11(spark, d):
+    return metrics.trial_leaderboard(views.trials(spark, d), 0.56)
+
+
+@query("e11_good_trials", sql.with_(sql.TRIALS) + "SELECT * FROM trials WHERE value > 0.56")
+def e11_good(spark, d):
+    return metrics.good_trials(views.trials(spark, d))
+
+
+HISTORY = """history AS (SELECT user_id AS trial, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, value
+  FROM events)"""
+TRACE = """b AS (SELECT *, max(value) OVER (PARTITION BY trial ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+    max(value) OVER (PARTITION BY trial ORDER BY step) AS best FROM history),
+  i AS (SELECT *, before IS NULL OR value > before AS improved FROM b),
+  w AS (SELECT *, CAST(step - max(CASE WHEN improved THEN step END) OVER (PARTITION BY trial ORDER BY step) AS INTEGER) AS wait FROM i),
+  trace AS (SELECT trial, step, value, best, improved, wait,
+    max(CAST(wait >= 3 AS INTEGER)) OVER (PARTITION BY trial ORDER BY step) = 1 AS stopped FROM w)"""
+
+
+@query("e12_early_stop_trace", sql.with_(HISTORY, TRACE) + "SELECT * FROM trace")
+def e12(spark, d):
+    steps = metrics.numbered_steps(views.history(spark, d), "trial", "ts", "step_id")
+    return metrics.early_stop_trace(steps.select("trial", "step", "value"))
+
+
+@query(
+    "e12_early_stop_step",
+    sql.with_(HISTORY, TRACE)
+    + """SELECT trial, min(CASE WHEN stopped THEN step END) AS stop_step, max(CASE WHEN NOT stopped THEN best END) AS best_running
+       FROM trace GROUP BY trial""",
+)
+def e12_stop(spark, d):
+    return metrics.early_stop_step(e12(spark, d))
+
+
+@query(
+    "e13_running_f1",
+    sql.with_(
+        sql.PRED2,
+        """s AS (SELECT id, sum(CAST(y_true = 1 AND y_pred = 1 AS INTEGER)) OVER w AS tp, sum(CAST(y_true = 0 AND y_pred = 0 AS INTEGER)) OVER w AS tn,
+          sum(CAST(y_true = 0 AND y_pred = 1 AS INTEGER)) OVER w AS fp, sum(CAST(y_true = 1 AND y_pred = 0 AS INTEGER)) OVER w AS fn,
+          max(100 + id % 37) OVER w AS longest FROM pred2 WINDOW w AS (ORDER BY id))""",
+    )
+    + """SELECT id, round(((CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END) * (tp + fn) +
+        (CASE WHEN 2 * tn + fp + fn > 0 THEN 2 * tn / (2 * tn + fp + fn) ELSE 0.0 END) * (tn + fp)) / (tp + tn + fp + fn), 9) AS f1,
+      longest FROM s""",
+)
+def e13(spark, d):
+    out = metrics.running_f1(views.pred2(spark, d), "id", 100 + F.col("id") % 37)
+    return out.select("id", F.round("f1", 9).alias("f1"), "longest")
+
+
+@query("e14_report_table")
+def e14(spark, d):
+    return metrics.report_table(views.pred5(spark, d), {"C": 1.0, "penalty": "l2"})

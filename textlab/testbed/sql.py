@@ -98,3 +98,66 @@ PROBLEMS = f"""problems AS (
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+GENERATED = f"""generated AS (
+  SELECT doc_id AS id, CAST(doc_id % 2 AS INTEGER) AS truth, text AS source_text,
+    CASE WHEN doc_id % 3 = 0 THEN '<think>x <score>1</score></think>' ELSE '' END || 'Title: ' ||
+    string_split(text, chr(10))[1] || chr(10) || 'Text: ' || text || chr(10) || '## Response:' || chr(10) ||
+    '2. Problematic sentences:' || chr(10) || chr(9) || '-The sentence ''' || coalesce({sentence_list('text')}[1], '') ||
+    ''' fails <r' || CAST(doc_id % 7 + 1 AS VARCHAR) || '>1</r' || CAST(doc_id % 7 + 1 AS VARCHAR) || '>' || chr(10) ||
+    '3. Conclusion ' || CASE doc_id % 5 WHEN 0 THEN '<score>1</score>' WHEN 1 THEN '<score> 0 </score>'
+      WHEN 2 THEN '## Score: 1' WHEN 3 THEN '<score>0</score> <score>1</score>' ELSE 'none' END AS text
+  FROM documents)"""
+
+
+def clean_output(x: str) -> str:
+    out = f"coalesce({x}, '')"
+    for leftover, plain in fixed.TOKENIZER_LEFTOVERS.items():
+        out = f"replace({out}, {q(leftover)}, {q(plain)})"
+    return strip(f"regexp_replace({out}, '(?s)<think>.*?</think>', '', 'g')")
+
+
+def last_binary(x: str) -> str:
+    return (
+        f"CAST(coalesce(list_extract(regexp_extract_all({x}, '<score>\\s*([01])\\s*</score>', 1), -1), "
+        f"list_extract(regexp_extract_all({x}, '(?i)score\\s*[:\\-]?\\s*([01])\\b', 1), -1)) AS INTEGER)"
+    )
+
+
+def ranked(table: str, label: str | None, id_col: str, seed: int = 42) -> str:
+    part = f"PARTITION BY {label} " if label else ""
+    return (
+        f"SELECT *, row_number() OVER ({part}ORDER BY md5('{seed}:' || CAST({id_col} AS VARCHAR)), {id_col}) AS rank, "
+        f"count(*) OVER ({part.strip()}) AS class_rows FROM {table}"
+    )
+
+
+PRED2 = """pred2 AS (SELECT o_orderkey AS id, CAST(o_orderkey % 10 AS INTEGER) AS fold,
+  CAST(o_totalprice > 250000 AS INTEGER) AS y_true, CAST(o_custkey % 2 AS INTEGER) AS y_pred FROM orders)"""
+PRED5 = """pred5 AS (SELECT o_orderkey AS id, CAST(o_orderkey % 10 AS INTEGER) AS fold,
+  CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS y_true, CAST(o_custkey % 5 + 1 AS INTEGER) AS y_pred FROM orders)"""
+TRIALS = "trials AS (SELECT o_orderpriority AS study, o_orderkey AS trial, o_totalprice / 500000 AS value FROM orders)"
+
+
+def label_scores(pred: str, by: str = "") -> str:
+    """CTEs tallies and scores over a prediction table, per ``by`` columns."""
+    b = f"{by}, " if by else ""
+    return f"""tallies AS (SELECT {b}label, sum(t) AS support, sum(p) AS predicted, sum(h) AS hits FROM (
+      SELECT {b}y_true AS label, 1 AS t, 0 AS p, CAST(y_true = y_pred AS INTEGER) AS h FROM {pred}
+      UNION ALL SELECT {b}y_pred AS label, 0, 1, 0 FROM {pred}) GROUP BY ALL),
+    scores AS (SELECT {b}label, CAST(support AS BIGINT) AS support, hits,
+      CASE WHEN predicted > 0 THEN hits / predicted ELSE 0.0 END AS precision,
+      CASE WHEN support > 0 THEN hits / support ELSE 0.0 END AS recall,
+      CASE WHEN support + predicted > 0 THEN 2 * hits / (support + predicted) ELSE 0.0 END AS f1 FROM tallies)"""
+
+
+def summary(by: str = "") -> str:
+    b = f"{by}, " if by else ""
+    group = f"GROUP BY {by}" if by else ""
+    cols = ", ".join(
+        [f"avg({c}) AS {c}_macro" for c in ("precision", "recall", "f1")]
+        + [f"sum({c} * support) / sum(support) AS {c}_weighted" for c in ("precision", "recall", "f1")]
+    )
+    return f"""summary AS (SELECT {b}CAST(sum(support) AS BIGINT) AS rows, sum(hits) / sum(support) AS accuracy, {cols}
+      FROM scores {group})"""

@@ -6,10 +6,9 @@ Every view reads a whole table; none cuts rows.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textlab.functions.text import split_sentences
+from textlab.functions.text import split_sentences, words
 from textlab.plans.layout import spread
 
 
@@ -97,6 +96,18 @@ def nested_stories(spark, sf_dir) -> DataFrame:
     )
 
 
+def lemmas(spark, sf_dir) -> DataFrame:
+    """word, lemma: plural-looking words of the documents without their s."""
+    word = F.col("word")
+    return (
+        documents(spark, sf_dir)
+        .select(F.explode(words(F.col("text"))).alias("word"))
+        .where((F.length(word) > 3) & word.endswith("s") & ~word.endswith("ss"))
+        .distinct()
+        .select("word", F.expr("substr(word, 1, length(word) - 1)").alias("lemma"))
+    )
+
+
 def labeled_documents(spark, sf_dir) -> DataFrame:
     """doc_id, text, label (quality 0/1) of the documents that have labels."""
     return documents(spark, sf_dir).join(
