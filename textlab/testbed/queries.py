@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textlab.functions import fixed, scores, text
-from textlab.operators import annotate, metrics, rows, sample
+from textlab.operators import annotate, explain, features, metrics, rows, sample
 from textlab.plans.ordered import class_rank
 from textlab.testbed import sql, views
 
@@ -697,3 +697,155 @@ def e13(spark, d):
 @query("e14_report_table")
 def e14(spark, d):
     return metrics.report_table(views.pred5(spark, d), {"C": 1.0, "penalty": "l2"})
+
+
+# ------------------------------------------------------------------ features
+
+VOCABULARY = f"vocabulary AS (SELECT DISTINCT lower(unnest({sql.words('text')})) AS token FROM documents)"
+COUNTS = """counts AS (SELECT doc_id, token, count(*) AS tf FROM (
+    SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]{2,}')) AS token FROM documents) GROUP BY ALL)"""
+WORD_COUNTS = "word_counts AS (SELECT * FROM counts SEMI JOIN vocabulary USING (token))"
+TFIDF = """tfidf AS (SELECT doc_id, token, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS value FROM (
+    SELECT doc_id, token, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*) OVER (PARTITION BY token))) + 1) AS w
+    FROM word_counts))"""
+FEATURES = (VOCABULARY, COUNTS, WORD_COUNTS, TFIDF)
+
+
+@query("e02_vocabulary", sql.with_(VOCABULARY) + "SELECT token FROM vocabulary")
+def e02(spark, d):
+    return features.vocabulary(views.documents(spark, d), "text")
+
+
+CHOSEN = ["the", "of", "and", "le", "la", "der", "die", "que", "el", "no_such_word"]
+
+
+@query(
+    "e03_token_totals",
+    sql.with_(VOCABULARY, COUNTS, WORD_COUNTS)
+    + f"""SELECT token, CAST(coalesce(t, 0) AS BIGINT) AS total, CAST(row_number() OVER (ORDER BY coalesce(t, 0), token) AS INTEGER) AS place
+      FROM (SELECT unnest([{', '.join(sql.q(c) for c in CHOSEN)}]) AS token)
+      LEFT JOIN (SELECT token, sum(tf) AS t FROM word_counts GROUP BY token) USING (token)""",
+)
+def e03(spark, d):
+    return features.token_totals(features.word_counts(views.documents(spark, d), "doc_id", "text"), CHOSEN)
+
+
+@query("f01_word_counts", sql.with_(VOCABULARY, COUNTS, WORD_COUNTS) + "SELECT doc_id, token, tf FROM word_counts")
+def f01(spark, d):
+    return features.word_counts(views.documents(spark, d), "doc_id", "text")
+
+
+@query("f02_tfidf", sql.with_(*FEATURES) + "SELECT doc_id, token, round(value, 9) AS value FROM tfidf")
+def f02(spark, d):
+    t = features.tfidf(views.documents(spark, d), "doc_id", "text")
+    return t.select("doc_id", "token", F.round("value", 9).alias("value"))
+
+
+WORD_VECTORS = f"""tokens AS (SELECT doc_id, unnest({sql.words('text')}) AS word FROM documents),
+  word_vectors AS (SELECT word, embedding AS vec FROM (SELECT DISTINCT word FROM tokens WHERE regexp_full_match(word, '[a-z]+'))
+    JOIN embeddings ON CAST('0x' || substr(md5(word), 1, 4) AS BIGINT) % (SELECT count(*) FROM embeddings) = vec_id)"""
+MEANS = """SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(coalesce(s / {divisor}, 0.0), 6) AS value
+  FROM (SELECT doc_id, len(list_filter(string_split_regex(text, {run}), lambda w: w <> '')) AS size FROM documents)
+  CROSS JOIN (SELECT unnest(range(64)) AS dim)
+  LEFT JOIN (SELECT doc_id, i AS dim, sum(CAST(v AS DOUBLE)) AS s, count(*) AS known FROM (
+    SELECT doc_id, unnest(vec) AS v, generate_subscripts(vec, 1) - 1 AS i FROM tokens JOIN word_vectors USING (word)) GROUP BY ALL)
+  USING (doc_id, dim)"""
+
+
+def spell_out(df):
+    return df.select("doc_id", F.posexplode("vec").alias("dim", "value")).withColumn("value", F.round("value", 6))
+
+
+@query("f03_mean_embedding", sql.with_(WORD_VECTORS) + MEANS.format(divisor="known", run=sql.RUN))
+def f03(spark, d):
+    return spell_out(
+        features.mean_embedding(views.documents(spark, d), "doc_id", "text", views.word_vectors(spark, d), 64)
+    )
+
+
+@query("f04_mean_embedding_oov_zero", sql.with_(WORD_VECTORS) + MEANS.format(divisor="size", run=sql.RUN))
+def f04(spark, d):
+    return spell_out(
+        features.mean_embedding(views.documents(spark, d), "doc_id", "text", views.word_vectors(spark, d), 64, oov="zero")
+    )
+
+
+# -------------------------------------------------------------- explanations
+
+WEIGHTED = "weighted AS (SELECT *, CAST('0x' || substr(md5(token), 1, 4) AS BIGINT) / 65535 - 0.5 AS w FROM tfidf)"
+
+
+@query(
+    "h02_linear_shap",
+    sql.with_(
+        *FEATURES,
+        WEIGHTED,
+        """m AS (SELECT token, any_value(w) AS w, sum(value) / (SELECT count(*) FROM documents) AS mean FROM weighted GROUP BY token)""",
+    )
+    + """SELECT doc_id, token, round(m.w * (value - mean), 9) AS phi FROM weighted JOIN m USING (token)
+      UNION ALL SELECT doc_id, '(absent tokens)', round(coalesce(c, 0.0) - (SELECT sum(w * mean) FROM m), 9) FROM documents
+      LEFT JOIN (SELECT doc_id, sum(m.w * mean) AS c FROM weighted JOIN m USING (token) GROUP BY doc_id) USING (doc_id)""",
+)
+def h02(spark, d):
+    docs = views.documents(spark, d)
+    f = features.tfidf(docs, "doc_id", "text")
+    out = explain.linear_shap(docs, f, "doc_id", views.weights(spark, d))
+    return out.select("doc_id", "token", F.round("phi", 9).alias("phi"))
+
+
+@query(
+    "h03_occlusion",
+    sql.with_(*FEATURES, WEIGHTED)
+    + """SELECT doc_id, token, round(1 / (1 + exp(-z)) - 1 / (1 + exp(-(z - w * value))), 9) AS drop
+      FROM (SELECT *, sum(w * value) OVER (PARTITION BY doc_id) AS z FROM weighted)""",
+)
+def h03(spark, d):
+    f = features.tfidf(views.documents(spark, d), "doc_id", "text")
+    out = explain.occlusion(f, "doc_id", views.weights(spark, d))
+    return out.select("doc_id", "token", F.round("drop", 9).alias("drop"))
+
+
+@query(
+    "h04_path_gradients",
+    sql.with_(
+        *FEATURES,
+        WEIGHTED,
+        """docs AS (SELECT doc_id, z, norm, list_sum(list_transform(range(1, 51), lambda k:
+            1 / (1 + exp(-((k - 0.5) / 50 * z))) * (1 - 1 / (1 + exp(-((k - 0.5) / 50 * z)))))) / 50 AS slope
+          FROM (SELECT doc_id, sum(w * value) AS z, sqrt(sum(w * value * w * value)) AS norm FROM weighted GROUP BY doc_id))""",
+    )
+    + """SELECT doc_id, token, round(CASE WHEN norm > 0 THEN w * value / norm ELSE 0.0 END, 9) AS attribution,
+        round(slope * z - (1 / (1 + exp(-z)) - 0.5), 9) AS delta FROM weighted JOIN docs USING (doc_id)""",
+)
+def h04(spark, d):
+    f = features.tfidf(views.documents(spark, d), "doc_id", "text")
+    out = explain.path_gradients(f, "doc_id", views.weights(spark, d))
+    return out.select("doc_id", "token", F.round("attribution", 9).alias("attribution"), F.round("delta", 9).alias("delta"))
+
+
+SECTION = "string_split(regexp_extract(text, '(?is)2\\.\\s*Problematic sentences:(.*)$', 1), '3.')[1]"
+
+
+@query(
+    "h05_flagged_sentences",
+    sql.with_(
+        sql.GENERATED,
+        # Without look-ahead: cut the section at "-The", read each piece, keep the last tag.
+        f"""sections AS (SELECT id, source_text, {SECTION} AS s FROM generated),
+        pieces AS (SELECT id, source_text, unnest(p) AS piece, generate_subscripts(p, 1) AS n FROM (
+          SELECT id, source_text, string_split(s, '-The') AS p FROM sections)),
+        found AS (SELECT id, source_text, n, regexp_extract(piece, '(?s)^ sentence ''([^'']+)''([^-]*)$', ['s', 'rest']) AS f
+          FROM pieces WHERE n > 1 AND regexp_matches(piece, '(?s)^ sentence ''([^'']+)''([^-]*)$'))""",
+    )
+    + f"""SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY n) - 1 AS INTEGER) AS place, {sql.strip('f.s')} AS sentence,
+        regexp_extract_all(f.rest, '<(r\\d)>\\d</r\\d>', 1)[-1] AS tag, contains(lower(source_text), lower({sql.strip('f.s')})) AS matched FROM found
+      WHERE len(regexp_extract_all(f.rest, '<(r\\d)>\\d</r\\d>', 1)) > 0""",
+)
+def h05(spark, d):
+    return explain.flagged_sentences(views.generated(spark, d), "id", "text", "source_text")
+
+
+@query("h06_highlight")
+def h06(spark, d):
+    read = rows.read_scores(views.generated(spark, d), F.col("text"), F.col("truth"))
+    return explain.highlight(read, "source_text", "text", "y_pred").select("id", "html")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.functions.text import split_sentences, words
+from textlab.functions.text import feature_tokens, split_sentences, words
 from textlab.plans.layout import spread
 
 
@@ -180,3 +180,25 @@ def history(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("trial"), F.col("event_id").alias("step_id"), "ts", "value"
     )
+
+
+def word_vectors(spark, sf_dir) -> DataFrame:
+    """word, vec for plain words; words with capitals, accents or punctuation have no vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    n = vectors.agg(F.count(F.lit(1)).alias("n")).scalar()
+    plain = (
+        documents(spark, sf_dir)
+        .select(F.explode(words(F.col("text"))).alias("word"))
+        .where(F.col("word").rlike("^[a-z]+$"))
+        .distinct()
+    )
+    place = F.conv(F.substring(F.md5("word"), 1, 4), 16, 10).cast("bigint") % n
+    return plain.withColumn("vec_id", place).join(vectors, "vec_id").select("word", F.col("embedding").alias("vec"))
+
+
+def weights(spark, sf_dir) -> DataFrame:
+    """token, w in -0.5..0.5 for every feature token of the documents."""
+    tokens = documents(spark, sf_dir).select(F.explode(feature_tokens(F.col("text"))).alias("token")).distinct()
+    return tokens.withColumn(
+        "w", F.conv(F.substring(F.md5("token"), 1, 4), 16, 10).cast("double") / 65535 - 0.5
+    )
