@@ -1,7 +1,8 @@
 """Text features in long form: one row per (document, token). Never densified.
 
-A token can occur in most documents, so joins on the token go through
-``skew_join``; its row counts per token double as document frequencies.
+A token can occur in most documents. Counting combines map-side first; joins on the
+token are plain equi-joins whose result is regrouped by document, the form in
+which adaptive execution may split the partition of a frequent token.
 """
 
 from __future__ import annotations
@@ -10,8 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textlab.functions.text import feature_tokens, vocabulary_words, words
-from textlab.plans.skew import skew_join
+from textlab.functions.text import feature_tokens, let, vocabulary_words, words
 
 
 def vocabulary(df: DataFrame, text_col: str) -> DataFrame:
@@ -39,16 +39,20 @@ def _ngrams(tokens: Column, low: int, high: int) -> Column:
 
 def token_counts(df: DataFrame, id_col: str, text_col: str, ngrams: tuple[int, int] = (1, 1)) -> DataFrame:
     """id, token, tf over word tokens of two or more characters."""
-    tokens = df.select(id_col, feature_tokens(F.col(text_col)).alias("_t"))
+    tokens = feature_tokens(F.col(text_col))
     if ngrams != (1, 1):
-        tokens = tokens.select(id_col, _ngrams(F.col("_t"), *ngrams).alias("_t"))
-    return tokens.select(id_col, F.explode("_t").alias("token")).groupBy(id_col, "token").agg(
+        tokens = let(tokens, lambda t: _ngrams(t, *ngrams))
+    # Exploding the expression itself, not a column of it: for a column the optimizer
+    # infers a filter on its size, and the text would be tokenized twice.
+    return df.select(id_col, F.explode(tokens).alias("token")).groupBy(id_col, "token").agg(
         F.count(F.lit(1)).alias("tf")
     )
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    # Reading tf keeps this branch's exchange identical to that of the counts, so a
+    # plan with both tokenizes the text once.
+    return counts.groupBy("token").agg(F.count_if(F.col("tf") > 0).alias("n"))
 
 
 def word_counts(
@@ -60,10 +64,8 @@ def word_counts(
     tokens that only occur next to punctuation are no vocabulary word.
     """
     counts = token_counts(df, id_col, text_col, ngrams)
-    freq = document_frequency(counts)
     vocab = vocabulary(df, text_col) if vocab is None else vocab
-    known = freq.join(vocab.select("token"), "token", "left_semi").select("token")
-    return skew_join(counts, known, "token", [id_col], freq=freq)
+    return counts.join(vocab.select("token"), "token", "left_semi")
 
 
 def inverse_document_frequency(freq: DataFrame, n_docs: Column) -> DataFrame:
@@ -80,9 +82,7 @@ def tfidf(
     n_docs = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     # Vocabulary test and idf in one table, so the large side is joined once.
     idf = inverse_document_frequency(freq.join(vocab.select("token"), "token", "left_semi"), n_docs)
-    weighted = skew_join(counts, idf.select("token", "idf"), "token", [id_col], freq=freq).withColumn(
-        "w", F.col("tf") * F.col("idf")
-    )
+    weighted = counts.join(idf.select("token", "idf"), "token").withColumn("w", F.col("tf") * F.col("idf"))
     # A document's own distinct tokens.
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(id_col)))
     return weighted.select(id_col, "token", (F.col("w") / length).alias("value"))
@@ -112,7 +112,7 @@ def mean_embedding(
         .groupBy(id_col, "word")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    matched = skew_join(counts, vectors.select("word", "vec"), "word", [id_col])
+    matched = counts.join(vectors.select("word", "vec"), "word")
     sums = matched.groupBy(id_col).agg(
         F.sum("tf").alias("_known"),
         *[F.sum(F.get("vec", F.lit(i)).cast("double") * F.col("tf")).alias(f"_{i}") for i in range(dim)],

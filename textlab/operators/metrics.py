@@ -182,20 +182,20 @@ def numbered_steps(history: DataFrame, trial: str, ts: str, tie: str) -> DataFra
 def early_stop_trace(history: DataFrame, patience: int = 3) -> DataFrame:
     """Per trial and step: best so far, steps since the last strict gain, and whether training has stopped.
 
-    Needs trial, step (1..n), value. Two passes of running values over bounded
-    buckets; a trial of any length is spread.
+    Needs trial, step (1..n), value. The running maximum of (value, -step) holds
+    the best value and the first step that reached it, so one pass of running
+    values over bounded buckets gives the trace; a trial of any length is spread.
     """
     bucketed = with_order_bucket(history, "step")
-    best = running(bucketed, ["trial"], ["step"], {"before": ("max", F.col("value"))}, inclusive=False)
-    best = best.withColumn("improved", F.col("before").isNull() | (F.col("value") > F.col("before")))
-    gains = running(
-        best, ["trial"], ["step"],
-        {"last_gain": ("max", F.when(F.col("improved"), F.col("step"))), "best": ("max", F.col("value"))},
+    top = F.struct(F.col("value").alias("v"), (-F.col("step")).alias("s"))
+    best = running(bucketed, ["trial"], ["step"], {"_top": ("max", top)})
+    waited = best.withColumn("best", F.col("_top.v")).withColumn(
+        "wait", (F.col("step") + F.col("_top.s")).cast("int")
     )
-    waited = gains.withColumn("wait", (F.col("step") - F.col("last_gain")).cast("int"))
     stops = running(waited, ["trial"], ["step"], {"_stopped": ("max", (F.col("wait") >= patience).cast("int"))})
     return stops.select(
-        "trial", "step", "value", "best", "improved", "wait", (F.col("_stopped") == 1).alias("stopped")
+        "trial", "step", "value", "best", (F.col("wait") == 0).alias("improved"), "wait",
+        (F.col("_stopped") == 1).alias("stopped"),
     )
 
 

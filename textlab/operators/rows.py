@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from textlab.functions.scores import extract_score, resolve_missing_score
 from textlab.functions.text import clean_model_output, fill, words
-from textlab.plans.skew import skew_join
 
 
 def join_text_columns(df: DataFrame, columns: list[str], new: str, sep: str = "-", null_token: str = "") -> DataFrame:
@@ -22,11 +21,12 @@ def join_text_columns(df: DataFrame, columns: list[str], new: str, sep: str = "-
 def lemmatize(df: DataFrame, id_col: str, text_col: str, lemmas: DataFrame) -> DataFrame:
     """Replace every word that ``lemmas`` (word, lemma) lists by its lemma; words re-join with one space.
 
-    The table may be of any size: it is joined, with the words that fill much of
-    the text sliced. What comes back to a document is its own words.
+    The table may be of any size: it is joined on the word, and adaptive execution
+    splits the partition of a word that fills much of the text. What comes back to
+    a document is its own words.
     """
     tokens = df.select(id_col, F.posexplode(words(F.col(text_col))).alias("_pos", "word"))
-    changed = skew_join(tokens, lemmas.select("word", "lemma"), "word", [id_col, "_pos"], how="left")
+    changed = tokens.join(lemmas.select("word", "lemma"), "word", "left")
     rebuilt = changed.groupBy(id_col).agg(
         F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("lemma", "word").alias("w")))).alias("_w")
     ).select(id_col, F.array_join(F.transform("_w", lambda t: t["w"]), " ").alias("_text"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -10,9 +11,11 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
     A table of one or a few row groups scans in as many tasks, which leaves the
     other cores idle. Tables that already have a split per core are left alone,
-    so at scale nothing is shuffled.
+    so at scale nothing is shuffled. Rows go by a hash of the key, not by the key,
+    so later groupings keep their own exchange, which plans that read the same
+    counts several times can then share.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(cores, key)
+    return df.repartition(cores, F.xxhash64(key))

@@ -57,10 +57,8 @@ def with_order_bucket(df: DataFrame, order: str, buckets: int = ORDER_BUCKETS) -
     split points are one value of ``buckets`` numbers.
     """
     position = F.col(order).cast("double")
-    steps = [i / buckets for i in range(1, buckets)]
-    splits = df.select(
-        F.percentile_approx(position, F.array(*[F.lit(s) for s in steps]), F.lit(10 * buckets)).alias("s")
-    ).scalar()
+    steps = F.expr("array(" + ", ".join(f"{i / buckets}D" for i in range(1, buckets)) + ")")
+    splits = df.select(F.percentile_approx(position, steps, F.lit(10 * buckets)).alias("s")).scalar()
     # Binary search: halve the step from buckets/2 down to 1.
     halves = F.array(*[F.lit(2**i) for i in range((buckets - 1).bit_length() - 1, -1, -1)])
     return df.withColumn("_splits", splits).withColumn(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from textlab.functions import fixed, scores, text
 from textlab.operators import annotate, explain, features, metrics, rows, sample
+from textlab.plans.durable import checkpointed
 from textlab.plans.ordered import class_rank
 from textlab.testbed import sql, views
 
@@ -663,8 +664,13 @@ TRACE = """b AS (SELECT *, max(value) OVER (PARTITION BY trial ORDER BY step ROW
 
 @query("e12_early_stop_trace", sql.with_(HISTORY, TRACE) + "SELECT * FROM trace")
 def e12(spark, d):
+    return metrics.early_stop_trace(checkpointed(numbered(spark, d).select("trial", "step", "value")))
+
+
+@query("e12_numbered_steps", sql.with_(HISTORY) + "SELECT trial, step, value FROM history")
+def numbered(spark, d):
     steps = metrics.numbered_steps(views.history(spark, d), "trial", "ts", "step_id")
-    return metrics.early_stop_trace(steps.select("trial", "step", "value"))
+    return steps.select("trial", "step", "value")
 
 
 @query(
@@ -772,6 +778,13 @@ def f04(spark, d):
 
 # -------------------------------------------------------------- explanations
 
+
+
+def stored_tfidf(spark, d):
+    """Features are made once and read several times."""
+    return checkpointed(features.tfidf(views.documents(spark, d), "doc_id", "text"))
+
+
 WEIGHTED = "weighted AS (SELECT *, CAST('0x' || substr(md5(token), 1, 4) AS BIGINT) / 65535 - 0.5 AS w FROM tfidf)"
 
 
@@ -788,8 +801,7 @@ WEIGHTED = "weighted AS (SELECT *, CAST('0x' || substr(md5(token), 1, 4) AS BIGI
 )
 def h02(spark, d):
     docs = views.documents(spark, d)
-    f = features.tfidf(docs, "doc_id", "text")
-    out = explain.linear_shap(docs, f, "doc_id", views.weights(spark, d))
+    out = explain.linear_shap(docs, stored_tfidf(spark, d), "doc_id", views.weights(spark, d))
     return out.select("doc_id", "token", F.round("phi", 9).alias("phi"))
 
 
@@ -800,7 +812,7 @@ def h02(spark, d):
       FROM (SELECT *, sum(w * value) OVER (PARTITION BY doc_id) AS z FROM weighted)""",
 )
 def h03(spark, d):
-    f = features.tfidf(views.documents(spark, d), "doc_id", "text")
+    f = stored_tfidf(spark, d)
     out = explain.occlusion(f, "doc_id", views.weights(spark, d))
     return out.select("doc_id", "token", F.round("drop", 9).alias("drop"))
 
@@ -818,7 +830,7 @@ def h03(spark, d):
         round(slope * z - (1 / (1 + exp(-z)) - 0.5), 9) AS delta FROM weighted JOIN docs USING (doc_id)""",
 )
 def h04(spark, d):
-    f = features.tfidf(views.documents(spark, d), "doc_id", "text")
+    f = stored_tfidf(spark, d)
     out = explain.path_gradients(f, "doc_id", views.weights(spark, d))
     return out.select("doc_id", "token", F.round("attribution", 9).alias("attribution"), F.round("delta", 9).alias("delta"))
 
