@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +51,25 @@ def read_story_json(spark: SparkSession, path: str, on_missing: str = "fail") ->
         F.raise_error(F.concat(F.lit("story lacks a needed key: "), F.col("story_key")))
     )
     return stories.withColumn("story_id", checked).select(*STORY_COLUMNS)
+
+
+def write_story_json(stories: DataFrame, path: str) -> None:
+    """Write (key, story) rows as JSON objects keyed by story id, one object per partition.
+
+    Rows stream through; a partition is never held as a whole.
+    """
+    entries = stories.select(
+        F.concat(F.lit('"'), F.col("key"), F.lit('": '), F.to_json("story")).alias("entry")
+    )
+
+    def frame(batches):
+        first = True
+        for batch in batches:
+            for i in range(len(batch)):
+                batch.iat[i, 0] = ("{" if first else ",") + batch.iat[i, 0]
+                first = False
+            yield batch.rename(columns={"entry": "value"})
+        if not first:
+            yield pd.DataFrame({"value": ["}"]})
+
+    entries.mapInPandas(frame, "value string").write.mode("overwrite").text(path)

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from textlab.functions import fixed, scores, text
-from textlab.operators import annotate, explain, features, metrics, rows, sample
-from textlab.plans.durable import checkpointed
+from textlab.operators import annotate, explain, features, intake, metrics, models, neighbors, rows, sample
+from textlab.operators.local_model import lime_explain
+from textlab.plans.durable import checkpointed, materialize, scratch_path
 from textlab.plans.ordered import class_rank
+from textlab.sources import tables
+from textlab.sources.stories import read_story_json, write_story_json
+from textlab.streaming.accept import accept_unique_stream
 from textlab.testbed import sql, views
 
 QUERIES = {}
@@ -861,3 +867,333 @@ def h05(spark, d):
 def h06(spark, d):
     read = rows.read_scores(views.generated(spark, d), F.col("text"), F.col("truth"))
     return explain.highlight(read, "source_text", "text", "y_pred").select("id", "html")
+
+
+# -------------------------------------------------------------------- intake
+
+
+def unit(what: str, key: str) -> str:
+    return f"(CAST('0x' || substr(md5('42:{what}:' || CAST({key} AS VARCHAR)), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE)"
+
+
+def pick_sql(values, what: str) -> str:
+    return f"[{', '.join(sql.q(v) for v in values)}][CAST(floor({unit(what, 'doc_id')} * {len(values)}) AS BIGINT) + 1]"
+
+
+PROMPTS = f"""prompts AS (SELECT doc_id, theme, structure, CAST(512 + floor({unit('tokens', 'doc_id')} * 512) AS INTEGER) AS max_new_tokens,
+    round(0.8::DOUBLE + {unit('temperature', 'doc_id')} * 0.4::DOUBLE, 9) AS temperature,
+    replace(replace({sql.q(fixed.PROMPT_HEAD)}, '{{theme}}', theme), '{{structure}}', structure) ||
+    {' || '.join(f"CASE WHEN {unit(f'clause{i}', 'doc_id')} < {p} THEN {sql.q(c)} ELSE '' END" for i, (c, p) in enumerate(fixed.PROMPT_CLAUSES))} ||
+    {sql.q(fixed.PROMPT_TAIL)} AS prompt
+  FROM (SELECT doc_id, {pick_sql(fixed.THEMES, 'theme')} AS theme, {pick_sql(fixed.STRUCTURES, 'structure')} AS structure FROM documents))"""
+
+
+@query("i01_prompt_table", sql.with_(PROMPTS) + "SELECT * FROM prompts")
+def i01(spark, d):
+    """A prompt for every document id."""
+    out = intake.prompt_table(views.table(spark, d, "documents"), "doc_id")
+    return out.withColumn("temperature", F.round("temperature", 9))
+
+
+def load_length_model():
+    return {"limit": 1000}
+
+
+def infer_by_length(model, texts):
+    return [f"<score>{int(len(t) > model['limit'])}</score>" for t in texts]
+
+
+@query(
+    "i02_batch_infer",
+    "SELECT doc_id, CASE WHEN length(text) > 1000 THEN '<score>1</score>' ELSE '<score>0</score>' END AS response FROM documents",
+)
+def i02(spark, d):
+    docs = views.documents(spark, d).select("doc_id", "text")
+    return intake.batch_infer(docs, "text", load_length_model, infer_by_length).select("doc_id", "response")
+
+
+def greedy(source: str) -> str:
+    """Sequential acceptance over ``source`` (ord, title, text), one row at a time."""
+    return f"""queue AS MATERIALIZED (SELECT ord, title, md5(substr(text, 1, 100)) AS prefix, row_number() OVER (ORDER BY ord) AS n
+      FROM {source} WHERE length(text) > 200),
+    walk AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS ord, []::VARCHAR[] AS titles, []::VARCHAR[] AS prefixes, FALSE AS ok
+      UNION ALL SELECT q.n, q.ord,
+        CASE WHEN list_contains(titles, q.title) OR list_contains(prefixes, q.prefix) THEN titles ELSE list_append(titles, q.title) END,
+        CASE WHEN list_contains(titles, q.title) OR list_contains(prefixes, q.prefix) THEN prefixes ELSE list_append(prefixes, q.prefix) END,
+        NOT (list_contains(titles, q.title) OR list_contains(prefixes, q.prefix))
+      FROM walk w JOIN queue q ON q.n = w.n + 1),
+    accepted AS (SELECT ord FROM walk WHERE ok)"""
+
+
+FIRST_LINE_STORIES = "candidates AS (SELECT doc_id AS ord, string_split(text, chr(10))[1] AS title, text FROM documents)"
+
+
+def with_recursive(*ctes: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n"
+
+
+@query(
+    "i03_accept_unique",
+    with_recursive(FIRST_LINE_STORIES, greedy("candidates")) + "SELECT ord AS story_id FROM accepted",
+)
+def i03(spark, d):
+    stories = views.stories(spark, d)
+    return intake.accept_unique(stories, "story_id", F.col("title"), F.col("text")).select("story_id")
+
+
+@query(
+    "i04_generated_stories",
+    with_recursive(
+        sql.GENERATED,
+        PROMPTS,
+        f"""candidates AS (SELECT id AS ord, trim({sql.strip("regexp_extract(s, '(?s)^(.*?)Text:(.*)$', 1)")}, '"') AS title,
+          replace(trim({sql.strip("regexp_extract(s, '(?s)^(.*?)Text:(.*)$', 2)")}, '"'), chr(10), ' ') AS text
+          FROM (SELECT id, string_split(text, 'Title:')[-1] AS s FROM generated))""",
+        greedy("candidates"),
+    )
+    + f"""SELECT ord AS id, title, text, theme, structure, CAST(len(w) AS INTEGER) AS word_count,
+        round(len(list_distinct(list_transform(w, lambda x: lower(x)))) / len(w), 2) AS diversity_score, 0 AS score
+      FROM (SELECT *, {sql.words('text')} AS w FROM candidates JOIN accepted USING (ord)) JOIN prompts ON ord = doc_id""",
+)
+def i04(spark, d):
+    asked = intake.prompt_table(views.table(spark, d, "documents"), "doc_id").select(
+        F.col("doc_id").alias("id"), "theme", "structure"
+    )
+    answers = views.generated(spark, d).select("id", "text").join(asked, "id")
+    return intake.generated_stories(answers, "id", "text")
+
+
+@query(
+    "i05_accept_unique_stream",
+    with_recursive(FIRST_LINE_STORIES, greedy("candidates")) + "SELECT ord AS story_id FROM accepted",
+)
+def i05(spark, d):
+    """The documents as a file stream; what the finished stream has accepted."""
+    source = views.table(spark, d, "documents")
+    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "documents.parquet").parquet(d)
+    accepted = scratch_path(spark, "accepted")
+    accept_unique_stream(
+        stream.withColumnRenamed("doc_id", "story_id"), accepted, scratch_path(spark, "progress"),
+        "story_id", F.substring_index("text", "\n", 1), F.col("text"),
+    ).awaitTermination()
+    return spark.read.parquet(accepted).select("story_id")
+
+
+# -------------------------------------------------------------------- models
+
+
+def labeled(spark, d):
+    """id, text, label of the labelled documents, read once."""
+    docs = views.labeled_documents(spark, d)
+    cleaned = text.clean_text(F.col("text"), lower=True).alias("text")
+    return checkpointed(docs.select(F.col("doc_id").alias("id"), cleaned, "label"))
+
+
+def vectorized(spark, d):
+    docs = labeled(spark, d)
+    return models.fit_vectorizer(docs).transform(docs)
+
+
+def summary_of(pred):
+    scored = metrics.summary_scores(metrics.label_scores(metrics.confusion_counts(pred)))
+    return scored.select("rows", F.round("accuracy", 6).alias("accuracy"), F.round("f1_macro", 6).alias("f1_macro"))
+
+
+def fitted(spark, d, fits):
+    """Training-set scores per model, a floor check for fits without an SQL counterpart."""
+    data = vectorized(spark, d).persist()
+    out = None
+    for name, fit in fits.items():
+        row = summary_of(models.predictions(fit(data), data)).withColumn("model", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return checkpointed(out)
+
+
+@query("g01_fit_linear")
+def g01(spark, d):
+    return fitted(spark, d, {
+        "l2": models.linear("l2", max_iter=20), "l1": models.linear("l1", c=10.0, max_iter=20),
+        "elasticnet": models.linear("elasticnet", c=10.0, max_iter=20), "hinge": models.linear("hinge", max_iter=20),
+    })
+
+
+@query("g02_fit_modified_huber")
+def g02(spark, d):
+    return fitted(spark, d, {"modified_huber": models.modified_huber(iters=8)})
+
+
+def embedded(spark, d):
+    """Embeddings as vectors, label 0/1 by parity of the given label."""
+    return checkpointed(views.table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("id"), array_to_vector("embedding").alias("features"), (F.col("label") % 2).alias("label")
+    ))
+
+
+def fitted_on_embeddings(spark, d, fits):
+    data = embedded(spark, d)
+    out = None
+    for name, fit in fits.items():
+        row = summary_of(models.predictions(fit(data), data)).withColumn("model", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return checkpointed(out)
+
+
+@query("g03_fit_tree")
+def g03(spark, d):
+    return fitted_on_embeddings(spark, d, {
+        "decision_tree": models.tree("decision_tree", max_depth=5),
+        "random_forest": models.tree("random_forest", max_depth=5, trees=10),
+        "boosted": models.tree("boosted", max_depth=3, trees=5),
+    })
+
+
+@query("g04_fit_mlp")
+def g04(spark, d):
+    return fitted_on_embeddings(spark, d, {"mlp": models.mlp([16], max_iter=30)})
+
+
+KNN = f"""vecs AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, rank <= ceil(0.2 * class_rows) AS is_test
+    FROM ({sql.ranked('embeddings', None, 'vec_id')})),
+  pairs AS (SELECT q.vec_id, t.label, t.vec_id AS neighbour, round({{distance}}, 9) AS distance
+    FROM vecs q JOIN vecs t ON q.is_test AND NOT t.is_test),
+  near AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour) AS place FROM pairs QUALIFY place <= 5)"""
+
+
+def knn_data(spark, d):
+    vecs = sample.random_split(views.table(spark, d, "embeddings"), 0.2, "vec_id")
+    vecs = vecs.select("vec_id", F.col("embedding").cast("array<double>").alias("vec"), "label", "split")
+    return vecs.where("split = 'train'"), vecs.where("split = 'test'")
+
+
+@query(
+    "g05_knn_classify",
+    sql.with_(KNN.format(distance="1 - list_cosine_similarity(q.e, t.e)"))
+    + """SELECT vec_id, arg_max(label, [w, -label]) AS y_pred FROM (
+       SELECT vec_id, label, CAST(count(*) AS DOUBLE) AS w FROM near GROUP BY vec_id, label) GROUP BY vec_id""",
+)
+def g05(spark, d):
+    train, test = knn_data(spark, d)
+    return neighbors.knn_classify(train, test, 5, "uniform", "cosine", id_col="vec_id")
+
+
+@query(
+    "g05_knn_nearest",
+    sql.with_(KNN.format(distance="list_distance(q.e, t.e)"))
+    + "SELECT vec_id, neighbour, label, distance, CAST(place AS INTEGER) AS place FROM near",
+)
+def g05_nearest(spark, d):
+    train, test = knn_data(spark, d)
+    return neighbors.nearest(train, test, 5, "euclidean", id_col="vec_id")
+
+
+def small_models():
+    return {"l2": models.linear("l2", c=100.0, max_iter=10), "hinge": models.linear("hinge", c=100.0, max_iter=10)}
+
+
+@query("g06_cross_validate")
+def g06(spark, d):
+    held_out = models.cross_validate(labeled(spark, d), small_models(), k=3, prepare=models.fit_vectorizer, fit_on="all")
+    return checkpointed(models.compare_models(held_out, "f1"))
+
+
+@query("g07_random_search")
+def g07(spark, d):
+    trials = models.random_search(embedded(spark, d), "logistic_regression", 3, k=2, fixed_params={"max_iter": 5})
+    return checkpointed(trials.select("study", "trial", F.round("value", 6).alias("value")))
+
+
+@query("g08_train_and_evaluate")
+def g08(spark, d):
+    docs = labeled(spark, d)
+    _, pred = models.train_and_evaluate(docs, models.linear("l2", c=100.0, max_iter=20), F.col("text"))
+    return checkpointed(pred)
+
+
+@query("g09_score_table")
+def g09(spark, d):
+    docs = labeled(spark, d)
+    path = scratch_path(spark, "model")
+    models.train_and_evaluate(docs, models.linear("l2", c=100.0, max_iter=20), F.col("text"), model_path=path)
+    report, _ = models.score_table(PipelineModel.load(path), docs)
+    return report
+
+
+@query("h01_lime_explain")
+def h01(spark, d):
+    """Every document explained by a model fitted on the labelled ones."""
+    docs = labeled(spark, d)
+    model, _ = models.train_and_evaluate(docs, models.linear("l2", c=100.0, max_iter=10), F.col("text"))
+    target = views.documents(spark, d).select(F.col("doc_id").alias("id"), "text")
+    return lime_explain(target, model, "id", "text", n_samples=16, n_features=5).select("id", "word", F.round("weight", 6).alias("weight"))
+
+
+# ----------------------------------------------------------- sources and sinks
+
+
+@query(
+    "a01_read_story_json",
+    sql.with_(sql.STORIES, sql.SENTENCES)
+    + """SELECT story_id, title, text, CAST(score5 AS DOUBLE) AS consensus, CAST(coalesce(n, 0) AS INTEGER) AS sentences
+       FROM stories LEFT JOIN (SELECT story_id, count(*) AS n FROM sentences GROUP BY story_id) USING (story_id)""",
+)
+def a01(spark, d):
+    """The stories written as JSON objects keyed by id (one per partition) and read back."""
+    nested = views.nested_stories(spark, d).select(
+        F.col("story_id").cast("string").alias("key"),
+        F.struct(
+            F.col("story_id").alias("StoryID"), F.col("title").alias("Title"), F.col("text").alias("Text"),
+            F.col("holistic").alias("HolisticData"), F.col("incremental").alias("IncrementalData"),
+        ).alias("story"),
+    )
+    path = scratch_path(spark, "stories")
+    write_story_json(nested, path)
+    back = read_story_json(spark, path + "/*.txt")
+    return back.select(
+        "story_id", "title", "text", F.col("incremental.consensus_score").alias("consensus"),
+        F.size("incremental.sentences").alias("sentences"),
+    )
+
+
+@query("a02_read_labeled_csv", sql.with_(LABELED) + "SELECT doc_id, text, label AS score FROM labeled")
+def a02(spark, d):
+    path = scratch_path(spark, "labeled")
+    tables.write_table(views.labeled_documents(spark, d).select("doc_id", "text", F.col("label").alias("score")), path, "csv")
+    return tables.read_labeled_csv(spark, path, "doc_id bigint, text string, score int")
+
+
+@query("a03_write_table", "SELECT * FROM documents")
+def a03(spark, d):
+    path = scratch_path(spark, "documents")
+    tables.write_table(views.table(spark, d, "documents"), path, "parquet")
+    return spark.read.parquet(path)
+
+
+@query(
+    "a04_write_instruction_json",
+    sql.with_(LABELED, ALLOT)
+    + f"""SELECT CASE WHEN rank <= n_test THEN 'validation' ELSE 'train' END AS split,
+        {USER_SQL} AS instruction, '' AS input, {ASSISTANT_SQL} AS output
+      FROM ({sql.ranked('labeled', 'label', 'doc_id')}) JOIN allot ON label = quality""",
+)
+def a04(spark, d):
+    docs = sample.stratified_split(views.labeled_documents(spark, d), "label", 0.2, "doc_id")
+    tag = F.concat(F.lit("<score>"), F.col("label").cast("string"), F.lit("</score>"))
+    records = tables.instruction_records(
+        docs,
+        text.fill(USER_TEMPLATE, F.col("text")),
+        text.fill(ASSISTANT_TEMPLATE, F.concat(F.lit("toxic "), F.col("toxic").cast("string")), tag),
+        F.when(F.col("split") == "test", "validation").otherwise("train"),
+    )
+    path = scratch_path(spark, "instructions")
+    tables.write_instruction_json(records, path)
+    return spark.read.schema("instruction string, input string, output string, split string").json(path)
+
+
+@query("a05_materialize", sql.with_(VOCABULARY) + "SELECT token FROM vocabulary")
+def a05(spark, d):
+    """Built once, then loaded: the second call reads what the first one stored."""
+    root = scratch_path(spark, "artefacts")
+    build = lambda docs: features.vocabulary(docs, "text")
+    source = views.documents(spark, d)
+    materialize(source, root, "vocabulary", build)
+    return materialize(source, root, "vocabulary", build)
