@@ -19,22 +19,16 @@ def vocabulary(df: DataFrame, text_col: str) -> DataFrame:
     return df.select(F.explode(vocabulary_words(F.col(text_col))).alias("token")).distinct()
 
 
+def _runs(tokens: Column, n: int) -> Column:
+    starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
+    return F.when(
+        F.size(tokens) >= n, F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    ).otherwise(F.array().cast("array<string>"))
+
+
 def _ngrams(tokens: Column, low: int, high: int) -> Column:
     """Runs of ``low``..``high`` neighbouring tokens, joined by a space."""
-    grams = []
-    for n in range(low, high + 1):
-        grams.append(
-            tokens
-            if n == 1
-            else F.when(
-                F.size(tokens) >= n,
-                F.transform(
-                    F.sequence(F.lit(1), F.size(tokens) - (n - 1)),
-                    lambda i, n=n: F.array_join(F.slice(tokens, i, n), " "),
-                ),
-            ).otherwise(F.array().cast("array<string>"))
-        )
-    return grams[0] if len(grams) == 1 else F.concat(*grams)
+    return F.concat(*[tokens if n == 1 else _runs(tokens, n) for n in range(low, high + 1)])
 
 
 def token_counts(df: DataFrame, id_col: str, text_col: str, ngrams: tuple[int, int] = (1, 1)) -> DataFrame:

@@ -23,9 +23,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     if fmt == "parquet":
         df.write.mode(mode).parquet(path)
     elif fmt == "csv":
-        # Empty strings stay empty strings, nulls stay nulls.
-        df.write.mode(mode).options(header=True, quote='"', escape='"', emptyValue='""', nullValue="",
-                                    ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+        keep_spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        df.write.mode(mode).options(header=True, quote='"', escape='"', **keep_spaces).csv(path)
     else:
         raise ValueError(f"unknown format {fmt!r}")
 

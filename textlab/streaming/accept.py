@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from textlab.operators.intake import accept_keys, candidate_keys
@@ -22,7 +23,7 @@ def accept_batch(
     spark = batch.sparkSession
     keys = candidate_keys(batch, order, title, text, prefix, min_len)
     if path_exists(spark, accepted_dir):
-        schema = keys.schema.add("batch_id", "bigint")
+        schema = T.StructType([*keys.schema.fields, T.StructField("batch_id", T.LongType())])
         earlier = spark.read.schema(schema).parquet(accepted_dir).where(F.col("batch_id") < batch_id)
         keys = keys.join(earlier.select("_title"), "_title", "left_anti").join(
             earlier.select("_prefix"), "_prefix", "left_anti"
