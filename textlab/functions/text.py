@@ -39,7 +39,7 @@ def vocabulary_words(text: Column) -> Column:
 
 def feature_tokens(text: Column) -> Column:
     """Lower-cased runs of two or more word characters, the tokens features count."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(fixed.FEATURE_TOKEN), F.lit(0))
 
 
 def clean_text(text: Column, lower: bool = False) -> Column:

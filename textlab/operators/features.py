@@ -1,8 +1,9 @@
 """Text features in long form: one row per (document, token). Never densified.
 
-A token can occur in most documents. Counting combines map-side first; joins on the
-token are plain equi-joins whose result is regrouped by document, the form in
-which adaptive execution may split the partition of a frequent token.
+A token can occur in most documents. Documents are counted inside their row and
+frequencies combine map-side; joins on the token are plain equi-joins whose result
+is regrouped by document, the form in which adaptive execution may split the
+partition of a frequent token.
 """
 
 from __future__ import annotations
@@ -31,22 +32,44 @@ def _ngrams(tokens: Column, low: int, high: int) -> Column:
     return F.concat(*[tokens if n == 1 else _runs(tokens, n) for n in range(low, high + 1)])
 
 
+def tally(tokens: Column) -> Column:
+    """Array of (token, tf) for an array of tokens: sort, then measure the runs."""
+
+    def measure(ordered: Column, starts: Column) -> Column:
+        return F.transform(
+            starts,
+            lambda s, j: F.struct(
+                F.get(ordered, s).alias("token"),
+                (F.coalesce(F.get(starts, j + 1), F.size(ordered)) - s).cast("bigint").alias("tf"),
+            ),
+        )
+
+    def first_of_run(ordered: Column) -> Column:
+        return F.array_compact(
+            F.transform(ordered, lambda t, i: F.when((i == 0) | (t != F.get(ordered, i - 1)), i))
+        )
+
+    return let(
+        F.array_sort(tokens), lambda ordered: let(first_of_run(ordered), lambda starts: measure(ordered, starts))
+    )
+
+
 def token_counts(df: DataFrame, id_col: str, text_col: str, ngrams: tuple[int, int] = (1, 1)) -> DataFrame:
-    """id, token, tf over word tokens of two or more characters."""
+    """id, token, tf over word tokens of two or more characters; a row is a document.
+
+    A document is counted inside its row, so nothing is shuffled, and reading
+    the counts twice costs a second scan and not a second exchange. The array is
+    exploded as an expression: for a column the optimizer would infer a filter
+    on its size and evaluate it twice.
+    """
     tokens = feature_tokens(F.col(text_col))
     if ngrams != (1, 1):
         tokens = let(tokens, lambda t: _ngrams(t, *ngrams))
-    # Exploding the expression itself, not a column of it: for a column the optimizer
-    # infers a filter on its size, and the text would be tokenized twice.
-    return df.select(id_col, F.explode(tokens).alias("token")).groupBy(id_col, "token").agg(
-        F.count(F.lit(1)).alias("tf")
-    )
+    return df.select(id_col, F.inline(tally(tokens)))
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
-    # Reading tf keeps this branch's exchange identical to that of the counts, so a
-    # plan with both tokenizes the text once.
-    return counts.groupBy("token").agg(F.count_if(F.col("tf") > 0).alias("n"))
+    return counts.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def word_counts(
@@ -101,11 +124,7 @@ def mean_embedding(
     """
     if oov not in ("skip", "zero"):
         raise ValueError(f"unknown oov {oov!r}")
-    counts = (
-        df.select(id_col, F.explode(words(F.col(text_col))).alias("word"))
-        .groupBy(id_col, "word")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    counts = df.select(id_col, F.inline(tally(words(F.col(text_col))))).withColumnRenamed("token", "word")
     matched = counts.join(vectors.select("word", "vec"), "word")
     sums = matched.groupBy(id_col).agg(
         F.sum("tf").alias("_known"),

@@ -715,7 +715,7 @@ def e14(spark, d):
 
 VOCABULARY = f"vocabulary AS (SELECT DISTINCT lower(unnest({sql.words('text')})) AS token FROM documents)"
 COUNTS = """counts AS (SELECT doc_id, token, count(*) AS tf FROM (
-    SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]{2,}')) AS token FROM documents) GROUP BY ALL)"""
+    SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS token FROM documents) GROUP BY ALL)"""
 WORD_COUNTS = "word_counts AS (SELECT * FROM counts SEMI JOIN vocabulary USING (token))"
 TFIDF = """tfidf AS (SELECT doc_id, token, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS value FROM (
     SELECT doc_id, token, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*) OVER (PARTITION BY token))) + 1) AS w
