@@ -38,9 +38,9 @@ def class_sizes(df: DataFrame, label: str) -> DataFrame:
 
 def stratified_kfold(df: DataFrame, label: str, k: int, id_col: str, seed=42) -> DataFrame:
     """Add ``fold`` (0..k-1): classes are dealt out one after the other, so folds are even in each class."""
-    ranked = class_rank(df, [label], id_col, seed)
     before = class_sizes(df, label).select(label, "rows_before")
-    return ranked.join(before, label).select(
+    ranked = class_rank(df, [label], id_col, seed, per_class=before)
+    return ranked.select(
         *df.columns, F.pmod(F.col("rows_before") + F.col("rank") - 1, F.lit(k)).cast("int").alias("fold")
     )
 
@@ -70,8 +70,8 @@ def split_allotment(df: DataFrame, label: str, test_size: float) -> DataFrame:
 
 def stratified_split(df: DataFrame, label: str, test_size: float, id_col: str, seed=42) -> DataFrame:
     """Add ``split`` with the class shares kept in "train" and "test"."""
-    ranked = class_rank(df, [label], id_col, seed)
-    return ranked.join(split_allotment(df, label, test_size), label).select(
+    ranked = class_rank(df, [label], id_col, seed, per_class=split_allotment(df, label, test_size))
+    return ranked.select(
         *df.columns, F.when(F.col("rank") <= F.col("n_test"), "test").otherwise("train").alias("split")
     )
 

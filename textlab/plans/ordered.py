@@ -19,13 +19,20 @@ def seeded_hash(seed: int | str, id_col: str) -> Column:
 
 
 def class_rank(
-    df: DataFrame, keys: list[str], id_col: str, seed: int | str = 42, hex_digits: int = 3
+    df: DataFrame,
+    keys: list[str],
+    id_col: str,
+    seed: int | str = 42,
+    hex_digits: int = 3,
+    per_class: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``rank`` (1..n inside a class, by seeded hash) and ``class_rows`` (n).
 
     The class is cut into 16**hex_digits even buckets by the head of the hash,
     so the sort of one class is spread over that many groups. Offsets come from
-    a table of at most classes x buckets rows.
+    a table of at most classes x buckets rows. Columns of ``per_class`` (a row
+    per class) are added to that small table, so they reach the rows with it and
+    the rows are never shuffled by class alone.
     """
     hashed = df.withColumn("_h", seeded_hash(seed, id_col)).withColumn(
         "_b", F.substring("_h", 1, hex_digits)
@@ -40,6 +47,8 @@ def class_rank(
         ).alias("_before"),
         F.sum("_n").over(in_class).alias("class_rows"),
     )
+    if per_class is not None:
+        offsets = offsets.join(per_class, keys)
     in_bucket = W.partitionBy(*[F.col(k) for k in keys], "_b").orderBy("_h", id_col)
     return (
         hashed.withColumn("_r", F.row_number().over(in_bucket))
