@@ -706,9 +706,32 @@ def e13(spark, d):
     return out.select("id", F.round("f1", 9).alias("f1"), "longest")
 
 
-@query("e14_report_table")
+@query(
+    "e14_report_table",
+    sql.with_(
+        sql.PRED5,
+        sql.label_scores("pred5"),
+        sql.summary(),
+        """report AS (SELECT CAST(label AS VARCHAR) AS name, precision, recall, f1, support FROM scores
+          UNION ALL SELECT 'accuracy', accuracy, accuracy, accuracy, rows FROM summary
+          UNION ALL SELECT 'macro avg', precision_macro, recall_macro, f1_macro, rows FROM summary
+          UNION ALL SELECT 'weighted avg', precision_weighted, recall_weighted, f1_weighted, rows FROM summary)""",
+    )
+    + " UNION ALL ".join(
+        f"SELECT 'metrics' AS section, name, '{m}' AS metric, round(CAST({m} AS DOUBLE), 6) AS number, NULL AS setting FROM report"
+        for m in ("precision", "recall", "f1", "support")
+    )
+    + """ UNION ALL SELECT 'hyperparameters', 'C', 'value', NULL, '1.0'
+      UNION ALL SELECT 'hyperparameters', 'penalty', 'value', NULL, 'l2'""",
+)
 def e14(spark, d):
-    return metrics.report_table(views.pred5(spark, d), {"C": 1.0, "penalty": "l2"})
+    table = metrics.report_table(views.pred5(spark, d), {"C": 1.0, "penalty": "l2"})
+    is_metric = F.col("section") == "metrics"
+    return table.select(
+        "section", "name", "metric",
+        F.when(is_metric, F.round(F.col("value").cast("double"), 6)).alias("number"),
+        F.when(~is_metric, F.col("value")).alias("setting"),
+    )
 
 
 # ------------------------------------------------------------------ features
@@ -863,7 +886,32 @@ def h05(spark, d):
     return explain.flagged_sentences(views.generated(spark, d), "id", "text", "source_text")
 
 
-@query("h06_highlight")
+def escaped(x: str) -> str:
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        x = f"replace({x}, '{raw}', '{safe}')"
+    return x
+
+
+def style_sql(part: int) -> str:
+    return "CASE tag " + " ".join(f"WHEN '{t}' THEN {sql.q(s[part])}" for t, s in fixed.TAG_STYLES.items()) + " END"
+
+
+@query(
+    "h06_highlight",
+    sql.with_(
+        sql.GENERATED,
+        # The view flags one sentence per answer, and at most the one; no flag where it holds an apostrophe or a hyphen breaks the line.
+        f"""f AS (SELECT id, {escaped('source_text')} AS body, coalesce({sql.last_binary(sql.clean_output('text'))}, 0) AS y_pred,
+            regexp_extract({SECTION}, '(?s)-The sentence ''([^'']+)''[^-]*?<(r\\d)>\\d</r\\d>[^-]*$', ['s', 't']) AS flag FROM generated),
+        g AS (SELECT id, body, y_pred, flag.t AS tag, {escaped(sql.strip('flag.s'))} AS sentence FROM f)""",
+    )
+    + f"""SELECT id, CASE WHEN tag = '' THEN '<div>' || body || '</div>' ELSE '<div><h4>' ||
+        CASE WHEN y_pred = 1 THEN 'Coherente' ELSE 'No coherente' END || '</h4><div>' ||
+        regexp_replace(body, regexp_escape(sentence), '<span style="background-color: ' || {style_sql(0)} || '; border-left: 4px solid ' ||
+          {style_sql(1)} || '" title="' || {style_sql(2)} || '">' || replace(sentence, chr(92), chr(92) || chr(92)) || '</span>', 'gi') ||
+        '</div><ul><li style="border-left: 4px solid ' || {style_sql(1)} || '"><b>' || upper(tag) || ':</b> ' || {style_sql(2)} || '</li></ul></div>' END AS html
+      FROM g""",
+)
 def h06(spark, d):
     read = rows.read_scores(views.generated(spark, d), F.col("text"), F.col("truth"))
     return explain.highlight(read, "source_text", "text", "y_pred").select("id", "html")
