@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+FEW_SPLITS = 64
+
 
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Give CPU-heavy row work enough tasks when the source has too few splits.
 
     A table of one or a few row groups scans in as many tasks, which leaves the
-    other cores idle. Tables that already have a split per core are left alone,
-    so at scale nothing is shuffled. Rows go by a hash of the key, not by the key,
-    so later groupings keep their own exchange, which plans that read the same
-    counts several times can then share.
+    other cores idle. Tables with a split per core, or with more than ``FEW_SPLITS``
+    (some gigabytes at the default split size), are left alone, so large tables
+    are never shuffled. Rows go by a hash of the key, so a rerun places them alike.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    splits = df.rdd.getNumPartitions()
+    if splits >= cores or splits > FEW_SPLITS:
         return df
     return df.repartition(cores, F.xxhash64(key))
