@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.llm import exact, pages, shards, urls
+from textlab.llm import exact, pages, shards, substrings, urls
 from textlab.llm.common import raw, table
 
 QUERIES, ORACLES = {}, {}
@@ -88,3 +88,29 @@ WITH rows AS (
   FROM documents
 ), groups AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM rows GROUP BY 1)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM rows JOIN groups USING (text_sha256)"""
+
+
+@query
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.find_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLES["op1_substring_dedup"] = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), places AS (
+  SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 49)) AS p FROM w WHERE len(ws) >= 50
+), win AS (
+  SELECT doc_id, p, sha256(array_to_string(ws[p:p + 49], ' ')) AS h FROM places
+), first AS (SELECT h, min(doc_id) AS least FROM win GROUP BY h HAVING min(doc_id) < max(doc_id)
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(p, p + 49)) AS i FROM win JOIN first USING (h) WHERE doc_id > least
+), cut AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, len(ws) AS n_words, coalesce(len(gone), 0) AS n_removed,
+         CASE WHEN gone IS NULL THEN ws
+              ELSE [ws[i] FOR i IN list_sort(list_filter(generate_series(1, len(ws)), lambda i: NOT list_contains(gone, i)))] END AS left_words
+  FROM w LEFT JOIN cut USING (doc_id)
+)
+SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(left_words, ' '), '')) AS kept_sha256 FROM kept"""
