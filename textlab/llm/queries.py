@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.llm import bpe, exact, packing, pages, shards, substrings, urls
+from textlab.llm import bpe, exact, packing, pages, quality, shards, substrings, urls
 from textlab.llm.common import raw, table
 
 QUERIES, ORACLES = {}, {}
@@ -136,3 +136,8 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_bpe())
+
+
+@query
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
