@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.llm import bpe, exact, neighbours, packing, pages, quality, shards, substrings, urls
+from textlab.llm import bpe, exact, near, neighbours, packing, pages, quality, shards, substrings, urls
 from textlab.llm.common import raw, table
 
 QUERIES, ORACLES = {}, {}
@@ -146,3 +146,8 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
