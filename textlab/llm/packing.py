@@ -27,7 +27,7 @@ from textlab.plans.durable import scratch_path
 SEQUENCE = 4096
 END_ID = 2
 RANK_BLOCK = 20_000
-KNOWN_CHUNKS = 1_200_000  # encodings that a task remembers; forgetting only costs time
+KNOWN_CHUNKS = 500_000  # encodings that a task remembers; forgetting only costs time
 JOINED = 500
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
