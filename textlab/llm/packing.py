@@ -9,6 +9,7 @@ rank among the pieces of equal length.
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -21,12 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textlab.llm.bpe import SLICE_BYTES, chunks_of, definition_of, slices
-from textlab.llm.common import blocks_for
 from textlab.plans.durable import scratch_path
 
 SEQUENCE = 4096
 END_ID = 2
-RANK_BLOCK = 20_000
 KNOWN_CHUNKS = 500_000  # encodings that a task remembers; forgetting only costs time
 JOINED = 500
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
@@ -152,13 +151,14 @@ def pack_histogram(counts: dict[int, int], size: int = SEQUENCE) -> Placements:
     return Placements(*columns, sequences)
 
 
-def with_rank(pieces: DataFrame, order: list[str], block: int = RANK_BLOCK) -> DataFrame:
+def with_rank(pieces: DataFrame, order: list[str]) -> DataFrame:
     """Add ``rank`` (from 0) among the pieces of equal length.
 
-    Pieces of a length are dealt into as many blocks as the table needs, ranked there, and moved on by
-    what the blocks before hold, so a length that a third of all pieces share is many small sorts.
+    Pieces of a length are dealt into blocks, about the root of their number, ranked there, and moved on
+    by what the blocks before hold. So a length that a third of all pieces share is many small sorts, and
+    the table of offsets stays as small.
     """
-    blocks = blocks_for(pieces.count(), block)
+    blocks = max(1, math.isqrt(pieces.count()))
     dealt = pieces.withColumn("__block", F.pmod(F.xxhash64(*order), F.lit(blocks)))
     before = Window.partitionBy("length").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("length", "__block").count().select(
