@@ -10,20 +10,22 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-KNOWN_CHUNKS = 800_000  # encodings that a task remembers; forgetting only costs time
-KNOWN_PAIRS = 1_000_000
+KNOWN_CHUNKS = 200_000  # encodings that a task remembers; forgetting only costs time
+KNOWN_WORDS = 400_000
+KNOWN_PAIRS = 400_000
 TRIE_BYTES = 256  # longer words are walked alone, so that the trie stays small
 SLICE_BYTES = 4 << 20
 END = -1
 NEVER = 1 << 60
+BYTES = [bytes((b,)) for b in range(256)]
 
 PLAIN = re.compile(r"[!-~À-įı-ɏ]+")
 PLAIN_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ɏ]+|[0-9]|[^a-z0-9À-ÖØ-öø-ɏ]+")
@@ -55,6 +57,7 @@ class TrieEncoder:
         vocab, letters = model["vocab"], byte_letters()
         self.special = {t["content"]: t["id"] for t in described["added_tokens"]}
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        # Token of a spelling inside a word; -1 where it is only the beginning of one.
         self.inner: dict[bytes, int] = {}
         self.final: dict[bytes, int] = {}
         self.length = [0] * (max(vocab.values()) + 1)
@@ -65,7 +68,8 @@ class TrieEncoder:
             spelled = bytes(letters[c] for c in (token[: -len(suffix)] if ends else token))
             (self.final if ends else self.inner)[spelled] = number
             self.length[number] = len(spelled)
-        self.reach = max(map(len, self.inner)), max(map(len, self.final))
+            for end in range(1, len(spelled)):
+                self.inner.setdefault(spelled[:end], -1)
         # What each pair becomes, when, and of what each token was made.
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
@@ -75,8 +79,11 @@ class TrieEncoder:
                 raise ValueError("merges are not in the order of making")
             self.rank[a, b] = when
             self.parts[made] = (a, b, when)
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.words: dict[bytes, bytes] = {}
         self.chunks: dict[str, bytes] = {}
+        named = {i: t for t, i in [*vocab.items(), *self.special.items()]}
+        self.names = [named.get(i, "") for i in range(max(named) + 1)]
         self.edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
@@ -98,38 +105,57 @@ class TrieEncoder:
 
         At the same time the pair further left goes first.
         """
-        pair = left, right
-        known = self.pairs.get(pair)
+        for a, until_a in self._edge(left, 1):
+            for b, until_b in self._edge(right, 0):
+                when = self.rank.get((a, b))
+                if when is not None and when < until_a and when <= until_b:
+                    return False
+        return True
+
+    def _fits(self, left: int, right: int) -> bool:
+        known = self.pairs.get(left << 20 | right)
         if known is None:
-            known = True
-            for a, until_a in self._edge(left, 1):
-                for b, until_b in self._edge(right, 0):
-                    when = self.rank.get((a, b))
-                    if when is not None and when < until_a and when <= until_b:
-                        known = False
-                        break
-                if not known:
-                    break
             if len(self.pairs) >= KNOWN_PAIRS:
                 self.pairs.clear()
-            self.pairs[pair] = known
+            known = self.pairs[left << 20 | right] = self.fits(left, right)
         return known
 
-    def _last(self, text: bytes, end: int, states: list[int], vocab: dict[bytes, int], reach: int) -> int:
-        """The last token of ``text[:end]``, given that of every shorter prefix."""
-        for start in range(max(0, end - reach), end):
-            token = vocab.get(text[start:end])
-            if token is not None and (not start or self.fits(states[start], token)):
-                return token
-        raise ValueError(f"no encoding: {text[:end]!r}")
-
-    def _ids(self, word: bytes, states: list[int]) -> bytes:
-        token = self._last(word, len(word), states, self.final, self.reach[1])
-        ids, at = [token], len(word) - self.length[token]
-        while at:
-            ids.append(states[at])
-            at -= self.length[states[at]]
-        return array("I", ids[::-1]).tobytes()
+    def _step(self, text: bytes, end: int, states: list[int], lows: list[int]) -> None:
+        """Set the last token of ``text[:end]``, given that of every shorter prefix.
+
+        ``lows`` is where the longest spelling starts that ends here and begins a token; it never moves back.
+        """
+        start = lows[end - 1]
+        tokens, pairs = self.inner, self.pairs
+        token = tokens.get(text[start:end])
+        while token is None:
+            start += 1
+            token = tokens.get(text[start:end])
+        lows[end] = start
+        while token is None or token < 0 or start and not (
+            pairs.get(states[start] << 20 | token) or self._fits(states[start], token)
+        ):
+            start += 1
+            token = tokens.get(text[start:end])
+        states[end] = token
+
+    def _ids(self, word: bytes, states: list[int], lows: list[int]) -> bytes:
+        """Ids of a word whose prefixes are settled."""
+        end = len(word)
+        start = lows[end - 1]
+        token = self.final.get(word[start:end])
+        while token is None or start and not self._fits(states[start], token):
+            start += 1
+            token = self.final.get(word[start:end])
+        if not start:
+            return array("I", (token,)).tobytes()
+        ids = [token]
+        while start:
+            token = states[start]
+            ids.append(token)
+            start -= self.length[token]
+        ids.reverse()
+        return array("I", ids).tobytes()
 
     def encode_words(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
         """Ids of each distinct word, as unsigned 32-bit integers."""
@@ -137,10 +163,10 @@ class TrieEncoder:
         root: dict = {}
         for word in words:
             if len(word) > TRIE_BYTES:
-                states = [0]
+                states, lows = [0] * len(word), [0] * len(word)
                 for end in range(1, len(word)):
-                    states.append(self._last(word, end, states, self.inner, self.reach[0]))
-                out[word] = self._ids(word, states)
+                    self._step(word, end, states, lows)
+                out[word] = self._ids(word, states, lows)
                 continue
             node = root
             for byte in word:
@@ -150,18 +176,20 @@ class TrieEncoder:
                 node = below
             node[END] = word
         # Depth first: states[d] is the last token of the path's first d bytes.
-        states = [0] * (TRIE_BYTES + 1)
+        states, lows = [0] * (TRIE_BYTES + 1), [0] * (TRIE_BYTES + 1)
         stack = [(b"", root)]
         while stack:
             path, node = stack.pop()
             word = node.get(END)
             if word is not None:
-                out[word] = self._ids(word, states)
+                out[word] = self._ids(word, states, lows)
                 if len(node) == 1:
                     continue
             if path:
-                states[len(path)] = self._last(path, len(path), states, self.inner, self.reach[0])
-            stack.extend((path + bytes((byte,)), below) for byte, below in node.items() if byte != END)
+                self._step(path, len(path), states, lows)
+            for byte, below in node.items():
+                if byte != END:
+                    stack.append((path + BYTES[byte], below))
         return out
 
     def pieces(self, chunk: str) -> list[bytes | int]:
@@ -175,23 +203,35 @@ class TrieEncoder:
         cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))
         return [bytes(letters[c] for c in p) for p, _ in cut]
 
-    def learn(self, chunks: Iterable[str]) -> dict[str, bytes]:
-        """Encodings of at least these chunks."""
-        wanted = set(chunks)
+    def learn(self, wanted: set[str]) -> dict[str, bytes]:
+        """Encodings of at least these chunks. What is forgotten was not wanted again."""
         new = wanted.difference(self.chunks)
         if len(self.chunks) + len(new) > KNOWN_CHUNKS:
-            self.chunks = {c: self.chunks[c] for c in wanted if c in self.chunks}  # those that came again stay
+            self.chunks = {c: self.chunks[c] for c in wanted if c in self.chunks}
         cut = {c: self.pieces(c) for c in new}
-        known = self.encode_words({w for ws in cut.values() for w in ws if isinstance(w, bytes)})
-        for chunk, words in cut.items():
-            self.chunks[chunk] = b"".join(known[w] if isinstance(w, bytes) else array("I", [w]).tobytes() for w in words)
+        words = {w for ws in cut.values() for w in ws if isinstance(w, bytes)}
+        unknown = words.difference(self.words)
+        if len(self.words) + len(unknown) > KNOWN_WORDS:
+            self.words = {w: self.words[w] for w in words if w in self.words}
+        self.words.update(self.encode_words(unknown))
+        known = self.words
+        for chunk, parts in cut.items():
+            self.chunks[chunk] = (
+                known[parts[0]] if len(parts) == 1 and isinstance(parts[0], bytes)
+                else b"".join([known[w] if isinstance(w, bytes) else array("I", [w]).tobytes() for w in parts])
+            )
         return self.chunks
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         cut = [chunks_of(t or "") for t in texts]
-        known = self.learn(c for t in cut for c in t)
+        known = self.learn({c for t in cut for c in t})
         return [b"".join([known[c] for c in t]) for t in cut]
 
+    def decode_batch(self, packed: list[bytes | None]) -> list[str | None]:
+        """The tokens of packed ids joined by one space; null stays null."""
+        name = self.names.__getitem__
+        return [None if p is None else " ".join(map(name, memoryview(p).cast("I"))) for p in packed]
+
 
 _LETTERS = byte_letters()
 _ENCODERS: dict[int, TrieEncoder] = {}
@@ -223,44 +263,41 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(a, b - a)
 
 
-def map_ids(
-    rows: DataFrame, text_col: str, column: pa.Field, spark_type: T.DataType, encode_batch: Callable[[list], list]
-) -> DataFrame:
-    """``rows`` with the text replaced by what ``encode_batch`` makes of it, slice by slice."""
-    place = rows.columns.index(text_col)
-    schema = T.StructType([f if i != place else T.StructField(column.name, spark_type) for i, f in enumerate(rows.schema.fields)])
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """id and ``ids``: the token ids of every whole text, packed as little-endian unsigned 32-bit integers.
+
+    ``decoded`` adds what the ids stand for, decoded in the same task. A null text has no ids and decodes to
+    an empty text. Row-local, no shuffle; other columns of ``docs`` are not read.
+    """
+    definition = definition_of(path)
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
+    schema = T.StructType(
+        [rows.schema[id_col], T.StructField("ids", T.BinaryType())] + [T.StructField("decoded", T.StringType())] * decoded
+    )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(definition)
         for batch in batches:
-            for part in slices(batch, place):
-                made = pa.array(encode_batch(part.column(place).to_pylist()), column.type)
-                columns = [made if i == place else c for i, c in enumerate(part.columns)]
+            for part in slices(batch, 1):
+                ids = encoder.encode_batch(part.column(1).to_pylist())
+                columns = [part.column(0), pa.array(ids, pa.binary())]
+                if decoded:
+                    columns.append(pa.array(encoder.decode_batch(ids), pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return rows.mapInArrow(work, schema)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and ``ids``: the token ids of every whole text, packed as little-endian unsigned 32-bit integers.
-
-    A null text has no ids. Row-local, no shuffle; other columns of ``docs`` are not read.
-    """
+def decode(packed: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """id and ``decoded``: the tokens, special ones too, that packed ids stand for, joined by one space. Null stays null."""
     definition = definition_of(path)
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
-    return map_ids(rows, "__text", pa.field("ids", pa.binary()), T.BinaryType(), lambda texts: _encoder(definition).encode_batch(texts))
-
+    rows = packed.select(F.col(id_col), F.col(ids_col).alias("__ids"))
+    schema = T.StructType([rows.schema[id_col], T.StructField("decoded", T.StringType())])
 
-def decode(ids: Column | str, path: str) -> Column:
-    """The text that packed ids stand for: the tokens, special ones too, joined by one space. Null stays null."""
-    described = json.loads(definition_of(path))
-    tokens = {i: t for t, i in described["model"]["vocab"].items()} | {t["id"]: t["content"] for t in described["added_tokens"]}
-    names = [tokens.get(i, "") for i in range(max(tokens) + 1)]
-
-    def spell(packed: pa.Array) -> pa.Array:
-        name = names.__getitem__
-        return pa.array(
-            [None if p is None else " ".join(map(name, np.frombuffer(p, "<u4").tolist())) for p in packed.to_pylist()], pa.string()
-        )
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                texts = pa.array(_encoder(definition).decode_batch(part.column(1).to_pylist()), pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), texts], names=schema.names)
 
-    spell.__annotations__ = {"packed": pa.Array, "return": pa.Array}
-    return F.arrow_udf(spell, T.StringType())(F.col(ids) if isinstance(ids, str) else ids)
+    return rows.mapInArrow(work, schema)
