@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textlab.llm.common import blocks_for, raw
 
@@ -31,7 +32,12 @@ RANGE_BYTES = 16 << 20  # of text for each range of hashes
 NO_ID = -(2**63)  # stands for a null id, which is smaller than every other
 MESSAGE = "block long, hash_range long, payload binary"
 REPLY = "block long, step int, hash_range long, payload binary"
-RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept_text binary, spans array<struct<start:int,end:int>>"
+RESULT = [
+    T.StructField("__words", T.LongType()),
+    T.StructField("__removed", T.LongType()),
+    T.StructField("__kept", T.BinaryType()),
+    T.StructField("__spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
+]
 
 
 class Words:
@@ -82,8 +88,8 @@ class Block:
 
     def __init__(self, rows: pa.Table, window: int, period: int, cover: tuple[int, ...]):
         self.window, self.size = window, window - period + 1
-        self.ids = rows["doc_id"].fill_null(NO_ID).to_numpy()
-        self.docs = [Words(t) for t in rows["text"].to_pylist()]
+        self.ids = rows["__id"].fill_null(NO_ID).to_numpy()
+        self.docs = [Words(t) for t in rows["__text"].to_pylist()]
         on_cover = np.zeros(period, bool)
         on_cover[list(cover)] = True
         self.at = [
@@ -162,14 +168,46 @@ def find_repeats(
     documents of equal id, are left. A null text has no words; a null id is smaller than any other.
     Documents shorter than the window keep everything. Other columns of ``docs`` are not read.
     """
+    return _repeats(docs, id_col, text_col, [], window, period, cover).select(
+        F.col("__id").alias("doc_id"),
+        F.col("__words").alias("n_words"),
+        F.col("__removed").alias("n_removed"),
+        F.col("__kept").cast("string").alias("kept_text"),
+        F.col("__spans").alias("spans"),
+    )
+
+
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars: str | None = None, **options) -> DataFrame:
+    """The rows and columns of ``docs``, their text without what ``find_repeats`` removes.
+
+    A text that loses nothing stays as it is; in others the words that are left are joined by one space.
+    A column named by ``n_chars`` becomes the length of a text that was cut.
+    """
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    found = _repeats(docs, id_col, text_col, others, options.get("window", WINDOW), options.get("period", PERIOD), options.get("cover", COVER))
+    cut = F.col("__removed") > 0
+    text = F.when(cut, F.col("__kept")).otherwise(F.col("__text")).cast("string")
+    values = {id_col: F.col("__id").cast(docs.schema[id_col].dataType), text_col: text}
+    values |= {c: F.col(f"__other{i}") for i, c in enumerate(others)}
+    if n_chars in others:
+        length = F.length(F.col("__kept").cast("string")).cast(docs.schema[n_chars].dataType)
+        values[n_chars] = F.when(cut, length).otherwise(values[n_chars])
+    return found.select(*[values[c].alias(c) for c in docs.columns])
+
+
+def _repeats(
+    docs: DataFrame, id_col: str, text_col: str, others: list[str], window: int, period: int, cover: tuple[int, ...]
+) -> DataFrame:
     if period > window or {(a - b) % period for a in cover for b in cover} != set(range(period)):
         raise ValueError("not a difference cover for this window")
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), raw(text_col).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    carried = [F.col(c).alias(f"__other{i}") for i, c in enumerate(others)]
+    rows = docs.select(F.col(id_col).cast("bigint").alias("__id"), raw(text_col).alias("__text"), *carried)
+    total = rows.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
     blocks = blocks_for(total, min(LARGE_BLOCK, max(SMALL_BLOCK, total // MANY_BLOCKS)))
     bits = (blocks_for(total, RANGE_BYTES) - 1).bit_length()
-    block = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(blocks)).alias("block")
-    dealt = rows.select("doc_id", "text", block)  # the three passes read this one exchange
+    block = F.pmod(F.xxhash64(F.coalesce("__id", F.xxhash64("__text"))), F.lit(blocks)).alias("block")
+    dealt = rows.select("*", block)  # the three passes read this one exchange
+    result_type, names = T.StructType([*rows.schema.fields, *RESULT]), rows.columns
 
     def send(key: tuple, group: pa.Table) -> pa.Table:
         found = Block(group, window, period, cover)
@@ -202,18 +240,17 @@ def find_repeats(
         found = _with_windows(group, replies)
         removed = list(found.covered(_answers(found.high, bits, _of_step(replies, 1))))
         edges = [np.flatnonzero(np.diff(np.concatenate(([False], r, [False])).astype(np.int8))) for r in removed]
-        return pa.table(
-            {
-                "doc_id": group["doc_id"],
-                "n_words": pa.array([d.n for d in found.docs], pa.int64()),
-                "n_removed": pa.array([int(r.sum()) for r in removed], pa.int64()),
-                "kept_text": pa.array([d.keep(r) for d, r in zip(found.docs, removed)], pa.binary()),
-                "spans": pa.array(
-                    [[{"start": a, "end": b} for a, b in e.reshape(-1, 2).tolist()] for e in edges],
-                    pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])),
-                ),
-            }
-        )
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        made = {
+            "__words": pa.array([d.n for d in found.docs], pa.int64()),
+            "__removed": pa.array([int(r.sum()) for r in removed], pa.int64()),
+            "__kept": pa.array([d.keep(r) for d, r in zip(found.docs, removed)], pa.binary()),
+            "__spans": pa.array([[{"start": a, "end": b} for a, b in e.reshape(-1, 2).tolist()] for e in edges], kind),
+        }
+        out = group.select(names)
+        for name, column in made.items():
+            out = out.append_column(name, column)
+        return out
 
     def _with_windows(group: pa.Table, replies: pa.Table) -> Block:
         found = Block(group, window, period, cover)
@@ -224,8 +261,7 @@ def find_repeats(
     shared = anchors.groupBy("hash_range").applyInArrow(in_several, REPLY)
     candidates = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send_windows, MESSAGE)
     smaller = candidates.groupBy("hash_range").applyInArrow(in_smaller, REPLY)
-    result = dealt.groupBy("block").cogroup(shared.unionByName(smaller).groupBy("block")).applyInArrow(remove, RESULT)
-    return result.withColumn("kept_text", F.col("kept_text").cast("string"))
+    return dealt.groupBy("block").cogroup(shared.unionByName(smaller).groupBy("block")).applyInArrow(remove, result_type)
 
 
 def _of_step(replies: pa.Table, step: int) -> dict[int, bytes]:
