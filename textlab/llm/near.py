@@ -7,9 +7,10 @@ hit. Two sets share a coordinate with the probability of their weighted Jaccard
 darts are thrown as it takes to fill the coordinates (Christiani 2020). Coordinates are joined in bands;
 the members of a band are compared exactly.
 
-Comparing inside a band: every member with the smallest one, and what does not link to it, and could still
-link to another member, goes on to the next round, under keys refined by its other bands. So a group of n
-copies costs n comparisons, and a link is not lost because a common member was compared first.
+Comparing inside a band: first every member with the smallest one. Only where members are not connected
+by then do they meet one another, within a task and in groups of bounded size; larger groups are split by
+the members' other bands. So n copies of one text cost n comparisons, and no link is lost because a common
+member was compared first.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ from textlab.plans.durable import scratch_path
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 40, 8  # two documents of similarity 0.8 meet in a band with probability 0.9994
-SMALL_GROUP = 24  # members of a band that are compared with one another at once
+GROUP_MEMBERS, GROUP_ELEMENTS = 1_000, 4_000_000  # what a task compares at once; larger groups are refined
+MATRIX_COLUMNS = 2_048
 SALTS = 64
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -133,7 +135,7 @@ def band_keys(signatures: np.ndarray, bands: int) -> np.ndarray:
 
 
 def sign(docs: DataFrame, shingle: int, weighting: str, bands: int, rows: int) -> DataFrame:
-    """doc_id, text_hash, node (digest of the weighted set) and its band keys; none for a text without words."""
+    """doc_id, text_hash, digest of the weighted set and its band keys; none for a text without words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,14 +154,14 @@ def sign(docs: DataFrame, shingle: int, weighting: str, bands: int, rows: int) -
                         part.column(0), part.column(1), pa.array(digests, pa.binary()),
                         pa.array([k if n else [] for k, n in zip(keys.tolist(), sizes)], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "text_hash", "node", "bands"],
+                    names=["doc_id", "text_hash", "digest", "bands"],
                 )
 
-    return docs.mapInArrow(work, "doc_id bigint, text_hash bigint, node binary, bands array<bigint>")
+    return docs.mapInArrow(work, "doc_id bigint, text_hash bigint, digest binary, bands array<bigint>")
 
 
 def sets_of(docs: DataFrame, shingle: int, weighting: str) -> DataFrame:
-    """node and its elements; with ``count`` an element is told apart by its turn, so plain sets compare weights."""
+    """digest and elements of each text; with ``count`` an element is told apart by its turn, so plain sets compare weights."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,10 +173,10 @@ def sets_of(docs: DataFrame, shingle: int, weighting: str) -> DataFrame:
                     sets = [(_mix(np.repeat(s, c) + GOLD * turn(c)), c) for s, c in sets]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(digests, pa.binary()), pa.array([s.view(np.int64) for s, _ in sets], pa.list_(pa.int64()))],
-                    names=["node", "elements"],
+                    names=["digest", "elements"],
                 )
 
-    return docs.mapInArrow(work, "node binary, elements array<bigint>")
+    return docs.mapInArrow(work, "digest binary, elements array<bigint>")
 
 
 class _Store:
@@ -201,57 +203,83 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", similarity(F.col("__a"), F.col("__b")).alias("similarity"))
 
 
-def _with_pivot(entries: DataFrame) -> DataFrame:
-    """Members of groups of several, with ``pivot`` (the smallest open member) and ``members``."""
-    open_node = F.when(F.col("open"), F.col("node"))
-    stats = {"pivot": (F.min(open_node), F.min), "members": (F.count(F.lit(1)), F.sum)}
-    return with_group_stats(entries, ["key"], stats, F.col("node")).where((F.col("members") > 1) & F.col("pivot").isNotNull())
+def _groups(store: _Store, entries: DataFrame) -> DataFrame:
+    """Members (key, node) of the groups of several, with ``pivot``, their smallest node.
+
+    Counts combine before the shuffle and are stored, so that adaptive execution can split a very large
+    group where the members meet them.
+    """
+    several = entries.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return store.put(entries.join(store.put(several.drop("n"), "band-keys"), "key"), "bands")
+
+
+def _cross_links(least: float):
+    """Links between members of one group that have different labels, by exact counts of common elements."""
+
+    def compare(group: pa.Table) -> pa.Table:
+        nodes, labels = group["node"].to_numpy(), group["label"].to_numpy()
+        parts = group["elements"].combine_chunks()
+        values = parts.flatten().to_numpy()
+        sizes = np.diff(parts.offsets.to_numpy())
+        member = np.repeat(np.arange(len(nodes)), sizes)
+        _, which, count = np.unique(values, return_inverse=True, return_counts=True)
+        shared = count[which] > 1
+        column = (np.cumsum(count > 1) - 1)[which[shared]]
+        member = member[shared]
+        both = np.zeros((len(nodes), len(nodes)), np.float32)
+        order = np.argsort(column, kind="stable")
+        column, member = column[order], member[order]
+        for start in range(0, int(column[-1]) + 1 if len(column) else 0, MATRIX_COLUMNS):
+            a, b = np.searchsorted(column, [start, start + MATRIX_COLUMNS])
+            holds = np.zeros((len(nodes), MATRIX_COLUMNS), np.float32)
+            holds[member[a:b], column[a:b] - start] = 1
+            both += holds @ holds.T
+        union = sizes[:, None] + sizes[None, :] - both
+        left, right = np.nonzero(np.triu((both >= least * union) & (labels[:, None] != labels[None, :])))
+        return pa.table({"a": pa.array(nodes[left]), "b": pa.array(nodes[right])})
+
+    return compare
 
 
 def _links(store: _Store, nodes: DataFrame, docs: DataFrame, shingle: int, weighting: str, least: float) -> DataFrame:
-    """Links (a, b) of at least ``least`` that connect what is connected."""
-    entries = nodes.select("node", F.explode("bands").alias("key")).withColumn("open", F.lit(True))
-    grouped = store.put(_with_pivot(entries), "bands")
-    wanted = grouped.select("node").distinct().join(nodes.select("node", "doc_id", "text_hash"), "node")
+    """Links (a, b) of at least ``least`` that connect whatever is connected."""
+    groups = _groups(store, nodes.select("node", F.explode("bands").alias("key")))
+    wanted = groups.select("node").distinct().join(nodes.select("node", "doc_id", "text_hash", "digest"), "node")
+    wanted = store.put(wanted, "wanted")
     texts = docs.join(
         wanted.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")),
         F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("text_hash").eqNullSafe(F.col("__hash")),
         "left_semi",
     )
-    sets = store.put(sets_of(texts.select("text"), shingle, weighting).dropDuplicates(["node"]), "shingles")
-    seen: DataFrame | None = None
-    away = 1 - least
+    found = sets_of(texts.select("text"), shingle, weighting)
+    sets = store.put(found.join(wanted.select("digest", "node"), "digest").select("node", "elements"), "shingles")
+    links: DataFrame | None = None
     while True:
-        star = grouped.where(F.col("members") > SMALL_GROUP if seen is not None else F.lit(True))
-        pairs = star.where(F.col("node") != F.col("pivot")).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-        if seen is not None:  # groups of a bounded size: everyone with everyone
-            few = grouped.where(F.col("members") <= SMALL_GROUP)
-            other = few.select("key", F.col("node").alias("b"), F.col("open").alias("__open"))
-            met = few.join(other, "key").where((F.col("node") > F.col("b")) & (F.col("open") | F.col("__open")))
-            pairs = pairs.unionByName(met.select(F.col("node").alias("a"), "b"))
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti")
-        met = store.put(verify(pairs, sets), "compared")
-        seen = met if seen is None else store.put(seen.unionByName(met), "seen")
-        # Distance from the group's smallest decides who can still have a link that was not looked at.
-        known = star.select(
-            "key", "node", "open", "pivot", F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")
-        ).where(F.col("node") != F.col("pivot"))
-        known = known.join(seen, ["a", "b"]).withColumn("far", 1 - F.col("similarity"))
-        still = F.col("open") & (F.col("far") > away)
-        ring = {"ring": (F.min(F.when(still, F.col("far"))), F.min)}
-        left = with_group_stats(known, ["key"], ring, F.col("node")).where(
-            F.col("ring").isNotNull() & (still | (F.col("far") >= F.col("ring") - away))
+        pairs = groups.where(F.col("node") != F.col("pivot")).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+        near = verify(pairs, sets).where(F.col("similarity") >= least).select("a", "b")
+        links = store.put(near if links is None else links.unionByName(near), "links")
+        # The smallest has met everyone. Others need to meet only where they are not connected already.
+        labels = components(store, links)
+        members = groups.where(F.col("node") != F.col("pivot")).join(labels, "node", "left")
+        members = store.put(members.select("key", "node", F.coalesce("label", "node").alias("label")), "members")
+        sizes = sets.select("node", F.size("elements").alias("size"))
+        spread = members.join(sizes, "node").groupBy("key").agg(
+            F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")
         )
-        left = store.put(left.select("key", "node", still.alias("open")), "left")
-        if left.isEmpty():
-            return seen.where(F.col("similarity") >= least).select("a", "b")
+        large = (F.col("n") > GROUP_MEMBERS) | (F.col("size") > GROUP_ELEMENTS)
+        unsettled = store.put(spread.where("low < high").select("key", large.alias("large")), "unsettled")
+        members = members.join(unsettled, "key")
+        small = members.where(~F.col("large")).join(sets, "node").select("key", "node", "label", "elements")
+        crossed = small.groupBy("key").applyInArrow(_cross_links(least), "a bigint, b bigint").distinct()
+        links = store.put(links.unionByName(crossed), "links")
+        rest = members.where("large")
+        if rest.isEmpty():
+            return links
         # Under a key of its own for each other band two members meet again with nearly the same certainty.
-        finer = left.join(nodes.select("node", "bands"), "node").select(
-            "node", "open", F.explode(F.transform("bands", lambda b: F.xxhash64(F.col("key"), b))).alias("key")
+        finer = rest.join(nodes.select("node", "bands"), "node").select(
+            "node", F.explode(F.transform("bands", lambda b: F.xxhash64(F.col("key"), b))).alias("key")
         )
-        grouped = store.put(_with_pivot(finer), "bands")
+        groups = _groups(store, finer)
 
 
 def components(store: _Store, links: DataFrame) -> DataFrame:
@@ -299,22 +327,22 @@ def near_duplicates(
     signed = store.put(sign(thin, shingle, weighting, bands, rows), "signed")
     first = F.struct(F.col("doc_id").isNotNull().alias("has_id"), "doc_id", "text_hash")
     nodes = store.put(
-        signed.groupBy("node").agg(F.first("bands").alias("bands"), F.min(first).alias("first"))
-        .select("node", "bands", "first", "first.doc_id", "first.text_hash"),
+        signed.groupBy("digest").agg(F.first("bands").alias("bands"), F.min(first).alias("first"))
+        .select(F.monotonically_increasing_id().alias("node"), "digest", "bands", "first", "first.doc_id", "first.text_hash"),
         "nodes",
-    )
+    )  # stored, so a node keeps its number
     links = _links(store, nodes, thin, shingle, weighting, least)
     labels = components(store, links)
-    named = nodes.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = nodes.select("node", "digest", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = with_group_stats(named, ["label"], {"least": (F.min("first"), F.min)}, F.col("node"))
-    classes = classes.select("node", F.col("first.doc_id").alias("text_class"), F.col("least.doc_id").alias("class_id"), F.col("least.text_hash").alias("__stays"))
-    # Every (node, salt) that occurs gets the class, and the rows meet it there.
+    classes = classes.select("digest", F.col("first.doc_id").alias("text_class"), F.col("least.doc_id").alias("class_id"), F.col("least.text_hash").alias("__stays"))
+    # Every (digest, salt) that occurs gets the class, and the rows meet it there.
     salted = signed.drop("bands").withColumn("__salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)))
-    answers = salted.select("node", "__salt").distinct().join(classes, "node")
-    same_row = Window.partitionBy("node", "__salt", "doc_id", "text_hash").orderBy("node")
+    answers = salted.select("digest", "__salt").distinct().join(classes, "digest")
+    same_row = Window.partitionBy("digest", "__salt", "doc_id", "text_hash").orderBy("digest")
     kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("__stays")) & (F.col("__turn") == 1)
     return (
-        salted.join(answers, ["node", "__salt"])
+        salted.join(answers, ["digest", "__salt"])
         .withColumn("__turn", F.row_number().over(same_row))
         .select("doc_id", "text_hash", "text_class", "class_id", kept.alias("kept"))
     )
