@@ -166,15 +166,15 @@ def test_quality_weights_equal_a_plain_count(spark, documents, no_documents):
         found = np.bincount(quality.features(r["text"]), minlength=counts.shape[1])
         counts[0] += found
         counts[1] += found * (r["doc_id"] in (1, 6))
-    raw, good = (np.log((c + 1) / (c.sum() + len(c))) for c in counts)
-    assert np.allclose(model.log_ratio, good - raw) and model.share == 0.75
+    raw, good = (np.log((c / c.sum() + 3 / len(c)) / 4) for c in counts)
+    assert np.allclose(model.log_ratio, good - raw) and model.share == pytest.approx(0.75 + math.sqrt(0.75 * 0.25 / 4))
     rows = quality.classify(documents, labels).collect()
     assert len(rows) == documents.count()
     for r in rows:
         if r["doc_id"] in (3, 4):
             assert r["log_weight"] == 0 and r["n_features"] == 0
     keys = sorted((r["sample_key"] for r in rows), reverse=True)
-    assert {r["kept"] for r in rows if r["sample_key"] >= keys[round(0.75 * len(keys)) - 1]} == {True}
+    assert {r["kept"] for r in rows if r["sample_key"] >= keys[round(model.share * len(keys)) - 1]} == {True}
     assert quality.keep_good(documents, labels).count() == sum(r["kept"] for r in rows)
     assert quality.keep_good(documents, labels).columns == documents.columns
     assert quality.keep_good(documents, labels.where("false")).count() == documents.count()

@@ -1,13 +1,16 @@
 """Quality classifier by importance resampling.
 
 Two generative models of hashed unigrams and bigrams are counted, one over labelled good documents (the
-target) and one over all documents (the raw text). The log of their ratio, summed over a document, is its
+target) and one over all documents (the raw text), both mixed with a uniform one in the same proportion, so that
+what neither has seen says nothing. The log of their ratio, summed over a document, is its
 importance weight; adding Gumbel noise and taking the k largest draws k documents without replacement in
-proportion to their weights (Xie et al. 2023). k is the share of good documents among the labelled ones.
+proportion to their weights (Xie et al. 2023). k is the share of good documents among the labelled ones and
+its standard error.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,7 +27,7 @@ from textlab.plans.durable import scratch_path
 
 BUCKET_BITS = 16
 TARGET_DOCUMENTS = 20_000  # bound of the labelled sample that the target model is fitted on
-SMOOTHING = 1.0
+UNIFORM = 3.0  # parts of a uniform model mixed into one part of each counted one
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 REPEAT = np.uint64(0x51ED270B)  # stands for a word that follows itself, whatever the word
 SPREAD, FIRST = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -80,7 +83,7 @@ def fit(
     nothing is rejected. A task sends one row per bucket, and ``2**bits`` rows reach the driver.
     """
     labelled = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-    share = labelled.agg(F.avg((F.col(label_col) == 1).cast("double"))).first()[0]
+    share, of = labelled.agg(F.avg((F.col(label_col) == 1).cast("double")), F.count(F.lit(1))).first()
     target = (
         labelled.where(F.col(label_col) == 1).select(F.col(id_col).alias("__id")).distinct()
         .orderBy(F.xxhash64(F.lit(seed), F.col("__id")), "__id").limit(target_documents)
@@ -107,8 +110,9 @@ def fit(
         totals[:, row["bucket"]] = row["raw"], row["good"]
     if share is None or not totals[1].any():
         return QualityModel(np.zeros(1 << bits), 1.0)
-    raw, good = (np.log((t + SMOOTHING) / (t.sum() + SMOOTHING * len(t))) for t in totals)
-    return QualityModel(good - raw, float(share))
+    raw, good = (np.log((t / t.sum() + UNIFORM / len(t)) / (1 + UNIFORM)) for t in totals)
+    # Few labels leave the share open; its standard error goes to the documents' favour.
+    return QualityModel(good - raw, min(1.0, share + math.sqrt(share * (1 - share) / of)))
 
 
 def gumbel(id_col: str, text_col: str, seed: int) -> Column:
