@@ -119,7 +119,7 @@ def test_neighbours_equal_brute_force(spark, metric, block):
     rows = [(i, [float(v) for v in p], int(i % 3)) for i, p in enumerate(points)]
     df = spark.createDataFrame(rows, "id bigint, vec array<double>, label int")
     train, test = df.where("id % 4 <> 0"), df.where("id % 4 = 0")
-    got = neighbors.nearest(train, test, 4, metric, pivots=12, block=block).orderBy("id", "place").collect()
+    got = neighbors.nearest(train, test, 4, metric, block=block).orderBy("id", "place").collect()
     where = {}
     for r in got:
         where.setdefault(r.id, []).append(r.neighbour)

@@ -1,9 +1,8 @@
 """Text features in long form: one row per (document, token). Never densified.
 
 A token can occur in most documents. Documents are counted inside their row and
-frequencies combine map-side; joins on the token are plain equi-joins whose result
-is regrouped by document, the form in which adaptive execution may split the
-partition of a frequent token.
+frequencies combine map-side; joins on the token are salted by the document, so
+a frequent token's rows are spread over several tasks whatever the other side is.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textlab.functions.text import feature_tokens, let, vocabulary_words, words
+from textlab.plans.layout import join_salted
 
 
 def vocabulary(df: DataFrame, text_col: str) -> DataFrame:
@@ -82,7 +82,7 @@ def word_counts(
     """
     counts = token_counts(df, id_col, text_col, ngrams)
     vocab = vocabulary(df, text_col) if vocab is None else vocab
-    return counts.join(vocab.select("token"), "token", "left_semi")
+    return join_salted(counts, vocab.select("token"), "token", id_col, "left_semi")
 
 
 def inverse_document_frequency(freq: DataFrame, n_docs: Column) -> DataFrame:
@@ -99,7 +99,7 @@ def tfidf(
     n_docs = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     # Vocabulary test and idf in one table, so the large side is joined once.
     idf = inverse_document_frequency(freq.join(vocab.select("token"), "token", "left_semi"), n_docs)
-    weighted = counts.join(idf.select("token", "idf"), "token").withColumn("w", F.col("tf") * F.col("idf"))
+    weighted = join_salted(counts, idf.select("token", "idf"), "token", id_col).withColumn("w", F.col("tf") * F.col("idf"))
     # A document's own distinct tokens.
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(id_col)))
     return weighted.select(id_col, "token", (F.col("w") / length).alias("value"))
@@ -125,7 +125,7 @@ def mean_embedding(
     if oov not in ("skip", "zero"):
         raise ValueError(f"unknown oov {oov!r}")
     counts = df.select(id_col, F.inline(tally(words(F.col(text_col))))).withColumnRenamed("token", "word")
-    matched = counts.join(vectors.select("word", "vec"), "word")
+    matched = join_salted(counts, vectors.select("word", "vec"), "word", id_col)
     sums = matched.groupBy(id_col).agg(
         F.sum("tf").alias("_known"),
         *[F.sum(F.get("vec", F.lit(i)).cast("double") * F.col("tf")).alias(f"_{i}") for i in range(dim)],

@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -44,10 +45,20 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+BUILD_VERSION = 2
+
+
+def content_digest(source: DataFrame) -> list[str]:
+    """Rows and two sums of row hashes: changes with the content, not with the order or the files. One distributed pass."""
+    columns = [F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in source.schema.fields]
+    sums = [F.sum(F.xxhash64(F.lit(seed), *columns).cast("decimal(38,0)")).alias(f"s{seed}") for seed in (1, 2)]
+    return [str(v) for v in source.agg(F.count(F.lit(1)).alias("n"), *sums).first()]
+
+
 def artefact_path(root: str, name: str, source: DataFrame, params: Mapping) -> str:
-    """Folder of an artefact: changes with the input plan, its files and the parameters."""
+    """Folder of an artefact: changes with the input's schema and content, the parameters and the version of the layout."""
     identity = json.dumps(
-        [source.semanticHash(), sorted(source.inputFiles()), {k: str(v) for k, v in sorted(params.items())}]
+        [BUILD_VERSION, source.schema.json(), content_digest(source), {k: str(v) for k, v in sorted(params.items())}]
     )
     return f"{root.rstrip('/')}/{name}-{hashlib.md5(identity.encode()).hexdigest()}"
 

@@ -1,23 +1,29 @@
-"""Partition layout of inputs."""
+"""Partition layout of inputs and of joins on skewed keys."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FEW_SPLITS = 64
+SALTS = 16
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give CPU-heavy row work enough tasks when the source has too few splits.
+def spread(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """Deal rows out over ``partitions`` by a hash of the key, where the caller asks for it.
 
-    A table of one or a few row groups scans in as many tasks, which leaves the
-    other cores idle. Tables with a split per core, or with more than ``FEW_SPLITS``
-    (some gigabytes at the default split size), are left alone, so large tables
-    are never shuffled. Rows go by a hash of the key, so a rerun places them alike.
+    For a source of one or a few row groups, which would leave the other cores idle. The default leaves
+    the layout of the source alone. A rerun places the rows alike.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
-    if splits >= cores or splits > FEW_SPLITS:
-        return df
-    return df.repartition(cores, F.xxhash64(key))
+    return df if partitions is None else df.repartition(partitions, F.xxhash64(key))
+
+
+def join_salted(large: DataFrame, small: DataFrame, key: str, salt_on: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """Join on ``key`` so that the rows of a frequent key go to as many as ``salts`` tasks.
+
+    Rows of the large side are salted by a hash of ``salt_on``; the small side, with a row per key, is
+    repeated for each salt. So no task gets more than about a ``salts``-th of a key's rows, also where one
+    side is an aggregate that brings its own partitioning and adaptive execution could not split it.
+    """
+    salted = large.withColumn("_salt", F.pmod(F.xxhash64(salt_on), F.lit(salts)).cast("int"))
+    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(repeated, [key, "_salt"], how).drop("_salt")

@@ -14,8 +14,18 @@ from pyspark.sql import functions as F
 ORDER_BUCKETS = 1024
 
 
+def join_same(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys of which any may be null; null meets null."""
+    renamed = other.select([F.col(c).alias(f"_key_{c}") if c in keys else F.col(c) for c in other.columns])
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    on = same[0]
+    for s in same[1:]:
+        on = on & s
+    return df.join(renamed, on).drop(*[f"_key_{k}" for k in keys])
+
+
 def seeded_hash(seed: int | str, id_col: str) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("(null)"))))
 
 
 def class_rank(
@@ -48,11 +58,10 @@ def class_rank(
         F.sum("_n").over(in_class).alias("class_rows"),
     )
     if per_class is not None:
-        offsets = offsets.join(per_class, keys)
+        offsets = join_same(offsets, per_class, keys)
     in_bucket = W.partitionBy(*[F.col(k) for k in keys], "_b").orderBy("_h", id_col)
     return (
-        hashed.withColumn("_r", F.row_number().over(in_bucket))
-        .join(offsets, [*keys, "_b"])
+        join_same(hashed.withColumn("_r", F.row_number().over(in_bucket)), offsets, [*keys, "_b"])
         .withColumn("rank", F.col("_before") + F.col("_r"))
         .drop("_h", "_b", "_r", "_before")
     )
@@ -112,7 +121,7 @@ def running(
     out = df
     for name, (f, c) in values.items():
         out = out.withColumn(f"_i_{name}", functions[f](c).over(inside))
-    out = out.join(carried, [*keys, "_b"])
+    out = join_same(out, carried, [*keys, "_b"])
     for name, (f, _) in values.items():
         inner, carry = F.col(f"_i_{name}"), F.col(f"_c_{name}")
         joined = F.greatest(inner, carry) if f == "max" else F.coalesce(inner, F.lit(0)) + F.coalesce(carry, F.lit(0))
@@ -135,10 +144,9 @@ def previous_value(
         *keys, "_b", F.lag("_last").over(W.partitionBy(*group).orderBy("_b")).alias("_carry")
     )
     inside = W.partitionBy(*group, "_b").orderBy(order)
+    marked = bucketed.withColumn("_lag", F.lag(value).over(inside)).withColumn("_first", F.row_number().over(inside) == 1)
     return (
-        bucketed.withColumn("_lag", F.lag(value).over(inside))
-        .withColumn("_first", F.row_number().over(inside) == 1)
-        .join(carried, [*keys, "_b"])
+        join_same(marked, carried, [*keys, "_b"])
         .withColumn(name, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag")))
         .drop("_b", "_lag", "_first", "_carry")
     )

@@ -38,6 +38,7 @@ def local_session(name: str = "textlab", cores: int | str = "*", partitions: int
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
+    builder = builder.config("textlab.partitions", str(partitions))
     for key, value in RECOMMENDED.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()

@@ -17,7 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
+    # The given files have one row group each; ``textlab.partitions`` says how far to spread them.
+    partitions = spark.conf.get("textlab.partitions", None)
+    return spread(table(spark, sf_dir, "documents"), "doc_id", partitions and int(partitions))
 
 
 def stories(spark, sf_dir) -> DataFrame:
@@ -44,13 +46,14 @@ def nested_stories(spark, sf_dir) -> DataFrame:
     """Stories in their nested form.
 
     Ids have small domains (3 annotators, 7 sentence ids, 8 reasons), so what an
-    annotator marked fits the 56 bits of one number: a single map-side
+    annotator marked fits the 56 bits of one number; another line number stops the job. A single map-side
     aggregation gathers everything a story needs, and the maps are spelled out
     from the bits afterwards.
     """
     annotators = (0, 1, 2)
     who = F.col("l_suppkey") % 3
-    place = "CAST((l_linenumber - 1) * 8 + l_partkey % 8 AS INT)"
+    place = """CAST(CASE WHEN l_linenumber BETWEEN 1 AND 7 THEN (l_linenumber - 1) * 8 + l_partkey % 8
+        ELSE raise_error(concat('sentence number ', l_linenumber, ' does not fit the bits of a mark')) END AS INT)"""
     lines = table(spark, sf_dir, "lineitem").withColumn("_bit", F.expr(f"shiftleft(1L, {place})"))
     gathered = lines.groupBy(F.col("l_orderkey").alias("story_id")).agg(
         *[F.bit_or(F.when(who == a, F.col("_bit"))).alias(f"_marks{a}") for a in annotators],
