@@ -7,6 +7,7 @@ the last token from node to node, and prefixes that words share are worked out o
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 from array import array
@@ -14,6 +15,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +23,7 @@ from pyspark.sql import types as T
 KNOWN_CHUNKS = 200_000  # encodings that a task remembers; forgetting only costs time
 KNOWN_WORDS = 400_000
 KNOWN_PAIRS = 400_000
+RESTING = 60_000  # encodings that an idle worker keeps
 TRIE_BYTES = 256  # longer words are walked alone, so that the trie stays small
 SLICE_BYTES = 4 << 20
 END = -1
@@ -31,6 +34,10 @@ PLAIN = re.compile(r"[!-~À-įı-ɏ]+")
 PLAIN_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ɏ]+|[0-9]|[^a-z0-9À-ÖØ-öø-ɏ]+")
 
 
+def first(known: dict, n: int) -> dict:
+    return known if len(known) <= n else dict(itertools.islice(known.items(), n))
+
+
 def chunks_of(text: str) -> list[str]:
     """Cut at white space. Never inside a token: the tokenizer drops white space and no token spans it."""
     if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # Python's white space, not the tokenizer's
@@ -227,6 +234,12 @@ class TrieEncoder:
         known = self.learn({c for t in cut for c in t})
         return [b"".join([known[c] for c in t]) for t in cut]
 
+    def rest(self) -> None:
+        """Keep what was learned first, which are the frequent chunks, for the worker's next task."""
+        self.chunks = first(self.chunks, RESTING)
+        self.words = first(self.words, RESTING)
+        self.pairs = first(self.pairs, RESTING)
+
     def decode_batch(self, packed: list[bytes | None]) -> list[str | None]:
         """The tokens of packed ids joined by one space; null stays null."""
         name = self.names.__getitem__
@@ -254,7 +267,7 @@ def definition_of(path: str) -> str:
 
 def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts take about ``limit`` bytes; a longer text stands alone."""
-    sizes = np.array([len(t) if t is not None else 0 for t in batch.column(column).cast(pa.large_binary()).to_pylist()], np.int64)
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     if not len(sizes):
         return
     part = np.cumsum(sizes) // limit
@@ -284,6 +297,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 if decoded:
                     columns.append(pa.array(encoder.decode_batch(ids), pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        encoder.rest()
 
     return rows.mapInArrow(work, schema)
 

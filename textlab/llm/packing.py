@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textlab.llm.bpe import SLICE_BYTES, chunks_of, definition_of, slices
+from textlab.llm.bpe import RESTING, SLICE_BYTES, chunks_of, definition_of, first, slices
 from textlab.plans.durable import scratch_path
 
 SEQUENCE = 4096
 END_ID = 2
-KNOWN_CHUNKS = 500_000  # encodings that a task remembers; forgetting only costs time
+KNOWN_CHUNKS = 400_000  # encodings that a task remembers; forgetting only costs time
 JOINED = 500
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
@@ -97,10 +97,11 @@ def token_pieces(
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def cut(batches):
+        encoder = _encoder(definition)
         for batch in batches:
             for part in slices(batch, 1, SLICE_BYTES):
                 made: list[tuple] = []
-                for doc, ids in zip(part.column(0).to_pylist(), _encoder(definition).encode_batch(part.column(1).to_pylist())):
+                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode_batch(part.column(1).to_pylist())):
                     ids += last
                     for at in range(0, len(ids), 4 * size):
                         piece = ids[at : at + 4 * size]
@@ -109,6 +110,7 @@ def token_pieces(
                 arrays = [pa.array(c, pa.int64()) for c in columns[:5]]
                 extra = [pa.array(columns[5], pa.binary())] if with_ids else []
                 yield pa.RecordBatch.from_arrays(arrays + extra, names=names + ["ids"] * with_ids)
+        encoder.known = first(encoder.known, RESTING)
 
     return rows.mapInArrow(cut, PIECES + ", ids binary" * with_ids)
 
