@@ -10,12 +10,15 @@ Stories have the schema of ``textlab.sources.stories.STORY_COLUMNS``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlab.functions import fixed
 from textlab.functions.scores import binarize_drop_mid, binarize_keep_mid, binarize_score_map
 from textlab.functions.text import fill, let, mark_empty, normalized, split_sentences, story_text, strip
+from textlab.operators.rows import document_lemmas, with_lemmas
 
 FLAGS = [f"r{k}" for k in fixed.REASONS]
 
@@ -235,19 +238,32 @@ def _context(title: Column, previous: Column, current: Column) -> Column:
     return strip(F.concat(title, F.lit(" - "), F.concat_ws(" ", previous, current)))
 
 
+def _lemmatizer(stories: DataFrame, texts: list[Column], lemmas: DataFrame | None) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """Stories with what their normalised words become, and the function that puts lemmas into a normalised text."""
+    if lemmas is None:
+        return stories, lambda text: text
+    spaced = lambda text: F.split(text, " ")
+    known = document_lemmas(stories, "story_id", F.filter(F.flatten(F.array(*texts)), lambda w: w != ""), lemmas)
+    return known, lambda text: with_lemmas(spaced(text), F.col("_lemmas"))
+
+
 def incremental_context(
-    stories: DataFrame, base: int = 1, reason8: str = "ignore", **normalize_options
+    stories: DataFrame, base: int = 1, reason8: str = "ignore", lemmas: DataFrame | None = None, **normalize_options
 ) -> DataFrame:
     """Each sentence after its predecessor and the title, all normalised.
 
     Sentences that normalise to nothing are dropped first, so the predecessor is
-    the last kept one.
+    the last kept one. With a table of ``lemmas`` (word, lemma) normalised words are replaced by their
+    lemma; without one the job is row-local.
     """
+    norm = lambda text: normalized(text, **normalize_options)
+    sentences = F.flatten(F.transform("incremental.sentences", lambda s: F.split(norm(s), " ")))
+    stories, lemma = _lemmatizer(stories, [F.split(norm(F.col("title")), " "), sentences], lemmas)
     kept = F.filter(
         F.transform(
             _merged_sentences(base),
             lambda m: F.struct(
-                normalized(m["key"], **normalize_options).alias("norm"), m["pos"].alias("pos"), m["reasons"].alias("reasons")
+                lemma(normalized(m["key"], **normalize_options)).alias("norm"), m["pos"].alias("pos"), m["reasons"].alias("reasons")
             ),
         ),
         lambda m: m["norm"] != "",
@@ -256,7 +272,7 @@ def incremental_context(
     with_context = let(
         kept,
         lambda rows: let(
-            normalized(F.col("title"), **normalize_options),
+            lemma(normalized(F.col("title"), **normalize_options)),
             lambda title: F.transform(
                 rows,
                 lambda m, i: F.struct(
@@ -293,14 +309,16 @@ def context_rows(
     )
 
 
-def holistic_dataset(stories: DataFrame, **normalize_options) -> DataFrame:
-    """Normalised "title - text" with a 0/1 score; stories scored 3 are left out."""
+def holistic_dataset(stories: DataFrame, lemmas: DataFrame | None = None, **normalize_options) -> DataFrame:
+    """Normalised "title - text" with a 0/1 score, by lemmas where a table is given; stories scored 3 are left out."""
+    spaced = [F.split(normalized(F.col(c), **normalize_options), " ") for c in ("title", "text")]
+    stories, lemma = _lemmatizer(stories, spaced, lemmas)
     return stories.select(
         "story_id",
         F.concat(
-            normalized(F.col("title"), **normalize_options),
+            lemma(normalized(F.col("title"), **normalize_options)),
             F.lit(" - "),
-            mark_empty(normalized(F.col("text"), **normalize_options)),
+            mark_empty(lemma(normalized(F.col("text"), **normalize_options))),
         ).alias("sentence"),
         binarize_drop_mid(F.col("holistic.consensus_score")).alias("score"),
     ).where("score <> -1")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textlab.functions.scores import extract_score, resolve_missing_score
 from textlab.functions.text import clean_model_output, fill, words
+from textlab.plans.layout import join_salted
 
 
 def join_text_columns(df: DataFrame, columns: list[str], new: str, sep: str = "-", null_token: str = "") -> DataFrame:
@@ -18,24 +19,31 @@ def join_text_columns(df: DataFrame, columns: list[str], new: str, sep: str = "-
     return df.select(joined.alias(new), *[c for c in df.columns if c not in columns])
 
 
+def document_lemmas(df: DataFrame, id_col: str, found: Column, lemmas: DataFrame, name: str = "_lemmas") -> DataFrame:
+    """``df`` with ``name``: a map of the words in the array ``found`` that ``lemmas`` (word, lemma) lists to their lemma.
+
+    Only the distinct words of a document meet the table, salted by the document; what comes back are the
+    few that change.
+    """
+    distinct = df.select(id_col, F.explode(F.array_distinct(found)).alias("word"))
+    changed = join_salted(distinct, lemmas.select("word", "lemma"), "word", id_col)
+    maps = changed.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("word", "lemma"))).alias(name))
+    return df.join(maps, id_col, "left")
+
+
+def with_lemmas(found: Column, lemmas: Column) -> Column:
+    """The words of an array, each by its lemma where the map has one, joined by one space."""
+    return F.array_join(F.transform(found, lambda w: F.coalesce(F.try_element_at(lemmas, w), w)), " ")
+
+
 def lemmatize(df: DataFrame, id_col: str, text_col: str, lemmas: DataFrame) -> DataFrame:
     """Replace every word that ``lemmas`` (word, lemma) lists by its lemma; words re-join with one space.
 
-    The table may be of any size: it is joined on the word, and adaptive execution
-    splits the partition of a word that fills much of the text. What comes back to
-    a document is its own words.
+    The table may be of any size; ``lemmas`` has a row per word.
     """
-    tokens = df.select(id_col, F.posexplode(words(F.col(text_col))).alias("_pos", "word"))
-    changed = tokens.join(lemmas.select("word", "lemma"), "word", "left")
-    rebuilt = changed.groupBy(id_col).agg(
-        F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("lemma", "word").alias("w")))).alias("_w")
-    ).select(id_col, F.array_join(F.transform("_w", lambda t: t["w"]), " ").alias("_text"))
-    # A text without any word has no row on the right.
-    return (
-        df.join(rebuilt, id_col, "left")
-        .withColumn(text_col, F.coalesce("_text", F.lit("")))
-        .select(*df.columns)
-    )
+    found = words(F.col(text_col))
+    known = document_lemmas(df, id_col, found, lemmas)
+    return known.withColumn(text_col, F.coalesce(with_lemmas(found, F.col("_lemmas")), F.lit(""))).select(*df.columns)
 
 
 def render_chat(df: DataFrame, user_template: str, assistant_template: str, text: Column, reasoning: Column,

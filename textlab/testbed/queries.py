@@ -224,6 +224,48 @@ def c10(spark, d):
     return annotate.holistic_dataset(views.nested_stories(spark, d))
 
 
+LEMMAS = f"""lemmas AS (SELECT DISTINCT word, substr(word, 1, length(word) - 1) AS lemma
+        FROM (SELECT unnest({sql.words('text')}) AS word FROM documents)
+        WHERE length(word) > 3 AND word LIKE '%s' AND word NOT LIKE '%ss')"""
+
+
+def by_lemma(source, key, column):
+    """A normalised column of a table with words replaced by lemmas, per key."""
+    keys = ", ".join(key)
+    return f"""(SELECT {keys}, string_agg(coalesce(lemma, word), ' ' ORDER BY i) AS {column} FROM
+        (SELECT {keys}, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM
+          (SELECT {keys}, string_split({column}, ' ') AS w FROM {source})) LEFT JOIN lemmas USING (word) GROUP BY {keys})"""
+
+
+@query(
+    "c09_incremental_context_lemmas",
+    sql.with_(sql.STORIES, sql.REASONS, sql.SENTENCES, MERGED_BASE_1, LEMMAS)
+    + f""", kept AS (SELECT * FROM (SELECT story_id, pos, {sql.normalized('sentence')} AS cur FROM incremental) WHERE cur <> ''),
+      titles AS (SELECT story_id, {sql.normalized('title')} AS t FROM stories)
+      SELECT story_id, pos, {sql.strip("t || ' - ' || CASE WHEN prev IS NULL THEN cur ELSE prev || ' ' || cur END")} AS sentence,
+        score, {sql.FLAG_NAMES}
+      FROM (SELECT *, lag(cur) OVER (PARTITION BY story_id ORDER BY pos) AS prev FROM {by_lemma('kept', ['story_id', 'pos'], 'cur')})
+      JOIN {by_lemma('titles', ['story_id'], 't')} USING (story_id)
+      JOIN (SELECT story_id, pos, score, {sql.FLAG_NAMES} FROM incremental) USING (story_id, pos)""",
+)
+def c09_lemmas(spark, d):
+    return annotate.incremental_context(views.nested_stories(spark, d), base=1, lemmas=views.lemmas(spark, d))
+
+
+@query(
+    "c10_holistic_dataset_lemmas",
+    sql.with_(sql.STORIES, LEMMAS)
+    + f""", titles AS (SELECT story_id, {sql.normalized('title')} AS t FROM stories),
+      bodies AS (SELECT story_id, {sql.normalized('text')} AS b FROM stories)
+      SELECT story_id, t || ' - ' || CASE WHEN b = '' THEN 'REMOVE' ELSE b END AS sentence,
+        CAST(CASE WHEN score5 > 3 THEN 1 ELSE 0 END AS INTEGER) AS score
+      FROM stories JOIN {by_lemma('titles', ['story_id'], 't')} USING (story_id) JOIN {by_lemma('bodies', ['story_id'], 'b')} USING (story_id)
+      WHERE score5 <> 3""",
+)
+def c10_lemmas(spark, d):
+    return annotate.holistic_dataset(views.nested_stories(spark, d), lemmas=views.lemmas(spark, d))
+
+
 # ----------------------------------------------------------------- row level
 
 
