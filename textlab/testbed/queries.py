@@ -1102,14 +1102,14 @@ def fitted(spark, d, fits):
 @query("g01_fit_linear")
 def g01(spark, d):
     return fitted(spark, d, {
-        "l2": models.linear("l2", max_iter=20), "l1": models.linear("l1", c=10.0, max_iter=20),
-        "elasticnet": models.linear("elasticnet", c=10.0, max_iter=20), "hinge": models.linear("hinge", max_iter=20),
+        "l2": models.linear("l2"), "l1": models.linear("l1", c=10.0),
+        "elasticnet": models.linear("elasticnet", c=10.0), "hinge": models.linear("hinge"),
     })
 
 
 @query("g02_fit_modified_huber")
 def g02(spark, d):
-    return fitted(spark, d, {"modified_huber": models.modified_huber(iters=8)})
+    return fitted(spark, d, {"modified_huber": models.modified_huber()})
 
 
 def embedded(spark, d):
@@ -1131,15 +1131,15 @@ def fitted_on_embeddings(spark, d, fits):
 @query("g03_fit_tree")
 def g03(spark, d):
     return fitted_on_embeddings(spark, d, {
-        "decision_tree": models.tree("decision_tree", max_depth=5),
-        "random_forest": models.tree("random_forest", max_depth=5, trees=10),
-        "boosted": models.tree("boosted", max_depth=3, trees=5),
+        "decision_tree": models.tree("decision_tree"),
+        "random_forest": models.tree("random_forest"),
+        "boosted": models.tree("boosted"),
     })
 
 
 @query("g04_fit_mlp")
 def g04(spark, d):
-    return fitted_on_embeddings(spark, d, {"mlp": models.mlp([16], max_iter=30)})
+    return fitted_on_embeddings(spark, d, {"mlp": models.mlp([16])})
 
 
 KNN = f"""vecs AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, rank <= ceil(0.2 * class_rows) AS is_test
@@ -1177,25 +1177,25 @@ def g05_nearest(spark, d):
 
 
 def small_models():
-    return {"l2": models.linear("l2", c=100.0, max_iter=10), "hinge": models.linear("hinge", c=100.0, max_iter=10)}
+    return {"l2": models.linear("l2", c=100.0), "hinge": models.linear("hinge", c=100.0)}
 
 
 @query("g06_cross_validate")
 def g06(spark, d):
-    held_out = models.cross_validate(labeled(spark, d), small_models(), k=3, prepare=models.fit_vectorizer, fit_on="all")
+    held_out = models.cross_validate(labeled(spark, d), small_models(), prepare=models.fit_vectorizer)
     return checkpointed(models.compare_models(held_out, "f1"))
 
 
 @query("g07_random_search")
 def g07(spark, d):
-    trials = models.random_search(embedded(spark, d), "logistic_regression", 3, k=2, fixed_params={"max_iter": 5})
+    trials = models.random_search(embedded(spark, d), "logistic_regression", 3)
     return checkpointed(trials.select("study", "trial", F.round("value", 6).alias("value")))
 
 
 @query("g08_train_and_evaluate")
 def g08(spark, d):
     docs = labeled(spark, d)
-    _, pred = models.train_and_evaluate(docs, models.linear("l2", c=100.0, max_iter=20), F.col("text"))
+    _, pred = models.train_and_evaluate(docs, models.linear("l2", c=100.0), F.col("text"))
     return checkpointed(pred)
 
 
@@ -1203,7 +1203,7 @@ def g08(spark, d):
 def g09(spark, d):
     docs = labeled(spark, d)
     path = scratch_path(spark, "model")
-    models.train_and_evaluate(docs, models.linear("l2", c=100.0, max_iter=20), F.col("text"), model_path=path)
+    models.train_and_evaluate(docs, models.linear("l2", c=100.0), F.col("text"), model_path=path)
     report, _ = models.score_table(PipelineModel.load(path), docs)
     return report
 
@@ -1212,8 +1212,9 @@ def g09(spark, d):
 def h01(spark, d):
     """Every document explained by a model fitted on the labelled ones."""
     docs = labeled(spark, d)
-    model, _ = models.train_and_evaluate(docs, models.linear("l2", c=100.0, max_iter=10), F.col("text"))
-    target = views.documents(spark, d).select(F.col("doc_id").alias("id"), "text")
+    model, _ = models.train_and_evaluate(docs, models.linear("l2", c=100.0), F.col("text"))
+    cleaned = text.clean_text(F.col("text"), lower=True).alias("text")  # as the model has seen its texts
+    target = views.documents(spark, d).select(F.col("doc_id").alias("id"), cleaned)
     return lime_explain(target, model, "id", "text", n_samples=16, n_features=5).select("id", "word", F.round("weight", 6).alias("weight"))
 
 
