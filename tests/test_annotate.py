@@ -114,7 +114,7 @@ def test_story_json_round_trip(spark, tmp_path):
     )
     path = str(tmp_path / "stories")
     write_story_json(shaped, path)
-    assert read_story_json(spark, path + "/*.txt").collect() == s.collect()
+    assert read_story_json(spark, path, lines=True).collect() == s.collect()
 
 
 def test_missing_keys(spark, tmp_path):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -38,6 +39,17 @@ def prompt_table(ids: DataFrame, id_col: str, seed: int = 42, min_tokens: int =
     )
 
 
+_MODELS: dict[str, Any] = {}
+
+
+def _loaded(call: str, load: Callable[[], Any]) -> Any:
+    """The model of a call in this worker; one at a time."""
+    if call not in _MODELS:
+        _MODELS.clear()
+        _MODELS[call] = load()
+    return _MODELS[call]
+
+
 def batch_infer(
     df: DataFrame,
     text_col: str,
@@ -47,14 +59,15 @@ def batch_infer(
 ) -> DataFrame:
     """Add ``infer(model, texts)`` as a column.
 
-    ``load`` runs once per task, then the task's Arrow batches stream through
-    the model; set ``spark.sql.execution.arrow.maxRecordsPerBatch`` for the
+    ``load`` runs once per Python worker and is kept for its later tasks; the Arrow batches
+    stream through the model. Set ``spark.sql.execution.arrow.maxRecordsPerBatch`` for the
     batch size. Ids travel in the row, so answers cannot be mismatched.
     """
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
+    call = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = load()
+        model = _loaded(call, load)
         for batch in batches:
             answers = infer(model, batch[text_col].tolist())
             if len(answers) != len(batch):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,15 +17,15 @@ map<string, struct<
 STORY_COLUMNS = ("story_id", "title", "text", "holistic", "incremental")
 
 
-def read_story_json(spark: SparkSession, path: str, on_missing: str = "fail") -> DataFrame:
+def read_story_json(spark: SparkSession, path: str, on_missing: str = "fail", lines: bool = False) -> DataFrame:
     """One row per story. ``on_missing`` says what a story without a needed key does: fail or skip.
 
-    A JSON object is one record and so one task per file; keep the result as
-    Parquet (``write_table``) and let later jobs read that.
+    A file that is one JSON object is one record and so one task. ``lines`` reads an object per line, as
+    ``write_story_json`` makes them; such files are split.
     """
     if on_missing not in ("fail", "skip"):
         raise ValueError(f"unknown on_missing {on_missing!r}")
-    raw = spark.read.text(path, wholetext=True)
+    raw = spark.read.text(path, wholetext=not lines)
     parsed = raw.select(F.from_json("value", STORY_JSON, {"mode": "FAILFAST"}).alias("stories"))
     stories = parsed.select(F.explode("stories").alias("story_key", "s")).select(
         "story_key",
@@ -54,22 +53,5 @@ def read_story_json(spark: SparkSession, path: str, on_missing: str = "fail") ->
 
 
 def write_story_json(stories: DataFrame, path: str) -> None:
-    """Write (key, story) rows as JSON objects keyed by story id, one object per partition.
-
-    Rows stream through; a partition is never held as a whole.
-    """
-    entries = stories.select(
-        F.concat(F.lit('"'), F.col("key"), F.lit('": '), F.to_json("story")).alias("entry")
-    )
-
-    def frame(batches):
-        first = True
-        for batch in batches:
-            for i in range(len(batch)):
-                batch.iat[i, 0] = ("{" if first else ",") + batch.iat[i, 0]
-                first = False
-            yield batch.rename(columns={"entry": "value"})
-        if not first:
-            yield pd.DataFrame({"value": ["}"]})
-
-    entries.mapInPandas(frame, "value string").write.mode("overwrite").text(path)
+    """Write (key, story) rows as JSON objects keyed by story id, one object per line."""
+    stories.select(F.to_json(F.create_map("key", "story")).alias("value")).write.mode("overwrite").text(path)

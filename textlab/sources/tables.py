@@ -11,7 +11,10 @@ CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
 
 
 def read_labeled_csv(spark: SparkSession, path: str, schema: str = LABELED_SCHEMA) -> DataFrame:
-    """CSV with header and quoted multi-line text, declared schema; an empty table is an error."""
+    """CSV with header and quoted multi-line text, declared schema; an empty table is an error.
+
+    A file whose texts span lines cannot be split, so it is read by one task.
+    """
     df = spark.read.schema(schema).options(mode="FAILFAST", enforceSchema=False, **CSV_OPTIONS).csv(path)
     if df.isEmpty():
         raise ValueError(f"no rows in {path}")

@@ -1228,7 +1228,7 @@ def h01(spark, d):
        FROM stories LEFT JOIN (SELECT story_id, count(*) AS n FROM sentences GROUP BY story_id) USING (story_id)""",
 )
 def a01(spark, d):
-    """The stories written as JSON objects keyed by id (one per partition) and read back."""
+    """The stories written as JSON objects keyed by id, one per line, and read back."""
     nested = views.nested_stories(spark, d).select(
         F.col("story_id").cast("string").alias("key"),
         F.struct(
@@ -1238,7 +1238,7 @@ def a01(spark, d):
     )
     path = scratch_path(spark, "stories")
     write_story_json(nested, path)
-    back = read_story_json(spark, path + "/*.txt")
+    back = read_story_json(spark, path, lines=True)
     return back.select(
         "story_id", "title", "text", F.col("incremental.consensus_score").alias("consensus"),
         F.size("incremental.sentences").alias("sentences"),
