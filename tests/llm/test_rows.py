@@ -135,6 +135,8 @@ def test_page_text():
     plain = f"<body><ul><li><a>Home</a><li><a>About</a></ul><p>{long}</p><p>Short too.</p><p>{long}</p><p><a>More to see</a></p>"
     assert pages.main_text(plain).split("\n") == [long.strip(), "Short too.", long.strip()]
     assert pages.main_text("<article>Only this</article>") == "Only this"
+    middling = "Words of kinds that nobody lists, and still the same sort of text that a page is made of, so to say it once more here."
+    assert pages.main_text(f"<nav><a>Home</a></nav><h1>Head</h1><p>{middling}</p><div class='footer'>Foot</div>") == f"Head\n{middling}"
     for odd in (None, "", "   ", "<", "<p", "<a href='", "<!-- open", "<script>x", "&amp &#x; &bogus;", "</p></div></p>", "<p" * 2000):
         assert isinstance(pages.main_text(odd), str)
 

@@ -163,9 +163,13 @@ def judge_alone(block: Block) -> str:
 def judge_by_neighbours(found: list[Block]) -> None:
     """Undecided blocks take the label of the nearest decided block of the same article (or of none).
 
-    At equal distance, and where nothing is decided, text in an article is good and other text is bad,
-    unless both neighbours are good.
+    At equal distance, and where nothing is decided, text in an article is good and other text is bad. On a
+    page where no text at all was found good, undecided text that is not short is good.
     """
+    if not any(b.label == "good" for b in found):
+        for block in found:
+            if block.label == "undecided" and len(block.text) >= SHORT:
+                block.label = "good"
     inherited: dict[int, str] = {}
     for article in {b.article for b in found}:
         own = [(i, b) for i, b in enumerate(found) if b.article == article and not b.outside]
