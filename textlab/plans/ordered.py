@@ -1,12 +1,14 @@
 """Exact ranks and running values without one window per whole group.
 
-Rows are put into buckets of bounded size; windows run inside a bucket, and
-what earlier buckets contribute comes from a small table with one row per
-bucket.
+Rows are put into buckets; windows run inside a bucket, and what earlier buckets
+contribute comes from a small table with one row per bucket. Ranks take about the
+root of the rows as buckets, running values a given number of even ranges.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,17 +35,20 @@ def class_rank(
     keys: list[str],
     id_col: str,
     seed: int | str = 42,
-    hex_digits: int = 3,
+    hex_digits: int | None = None,
     per_class: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``rank`` (1..n inside a class, by seeded hash) and ``class_rows`` (n).
 
     The class is cut into 16**hex_digits even buckets by the head of the hash,
-    so the sort of one class is spread over that many groups. Offsets come from
+    so the sort of one class is spread over that many groups; by default about the root of the
+    number of rows, so that buckets and the table of their sizes grow alike. Offsets come from
     a table of at most classes x buckets rows. Columns of ``per_class`` (a row
     per class) are added to that small table, so they reach the rows with it and
     the rows are never shuffled by class alone.
     """
+    if hex_digits is None:
+        hex_digits = max(1, math.ceil(math.log(max(1, df.count()), 16) / 2))
     hashed = df.withColumn("_h", seeded_hash(seed, id_col)).withColumn(
         "_b", F.substring("_h", 1, hex_digits)
     )
