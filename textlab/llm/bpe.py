@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textlab.llm.common import release
+
 KNOWN_CHUNKS = 200_000  # encodings that a task remembers; forgetting only costs time
 KNOWN_WORDS = 400_000
 KNOWN_PAIRS = 400_000
@@ -239,6 +241,7 @@ class TrieEncoder:
         self.chunks = first(self.chunks, RESTING)
         self.words = first(self.words, RESTING)
         self.pairs = first(self.pairs, RESTING)
+        release()
 
     def decode_batch(self, packed: list[bytes | None]) -> list[str | None]:
         """The tokens of packed ids joined by one space; null stays null."""

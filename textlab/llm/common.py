@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,12 @@ def raw(text: Column | str) -> Column:
     return (F.col(text) if isinstance(text, str) else text).cast("binary")
 
 
+def release() -> None:
+    """Hand memory that this Python worker has freed back to the system, before it goes on or idles."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
+
+
 def blocks_for(amount: int | None, per_block: int) -> int:
     """How many blocks of at most about ``per_block`` hold ``amount``; at least one."""
     return max(1, math.ceil((amount or 0) / per_block))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlab.llm.bpe import slices
-from textlab.llm.common import raw, with_group_stats
+from textlab.llm.common import raw, release, with_group_stats
 from textlab.llm.substrings import Words
 from textlab.plans.durable import scratch_path
 
@@ -156,6 +156,7 @@ def sign(docs: DataFrame, shingle: int, weighting: str, bands: int, rows: int) -
                     ],
                     names=["doc_id", "text_hash", "digest", "bands"],
                 )
+        release()
 
     return docs.mapInArrow(work, "doc_id bigint, text_hash bigint, digest binary, bands array<bigint>")
 
@@ -175,6 +176,7 @@ def sets_of(docs: DataFrame, shingle: int, weighting: str) -> DataFrame:
                     [pa.array(digests, pa.binary()), pa.array([s.view(np.int64) for s, _ in sets], pa.list_(pa.int64()))],
                     names=["digest", "elements"],
                 )
+        release()
 
     return docs.mapInArrow(work, "digest binary, elements array<bigint>")
 

@@ -22,11 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textlab.llm.bpe import RESTING, SLICE_BYTES, chunks_of, definition_of, first, slices
+from textlab.llm.common import release
 from textlab.plans.durable import scratch_path
 
 SEQUENCE = 4096
 END_ID = 2
-KNOWN_CHUNKS = 400_000  # encodings that a task remembers; forgetting only costs time
+KNOWN_CHUNKS = 300_000  # encodings that a task remembers; forgetting only costs time
 JOINED = 500
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
@@ -53,7 +54,8 @@ class LibraryEncoder:
         joined = [c for c in chunks if mark not in c]
         groups = [joined[i : i + JOINED] for i in range(0, len(joined), JOINED)]
         between = f" {mark} ".join
-        for group, made in zip(groups, self.tokenizer.encode_batch_fast([*map(between, groups)], add_special_tokens=False)):
+        for group in groups:
+            (made,) = self.tokenizer.encode_batch_fast([between(group)], add_special_tokens=False)
             ids = np.array(made.ids, np.uint32)
             ends = [*np.flatnonzero(ids == mark_id).tolist(), len(ids)]
             packed, start = ids.tobytes(), 0
@@ -110,7 +112,10 @@ def token_pieces(
                 arrays = [pa.array(c, pa.int64()) for c in columns[:5]]
                 extra = [pa.array(columns[5], pa.binary())] if with_ids else []
                 yield pa.RecordBatch.from_arrays(arrays + extra, names=names + ["ids"] * with_ids)
+                del made, columns, arrays, extra
+                release()
         encoder.known = first(encoder.known, RESTING)
+        release()
 
     return rows.mapInArrow(cut, PIECES + ", ids binary" * with_ids)
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textlab.llm.bpe import slices
+from textlab.llm.common import release
 from textlab.plans.durable import scratch_path
 
 BUCKET_BITS = 16
@@ -103,6 +104,7 @@ def fit(
                     counts[1] += np.bincount(np.concatenate([f for f, g in zip(found, good) if g]), minlength=1 << bits)
         buckets = np.flatnonzero(counts[0])
         yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(counts[0][buckets]), pa.array(counts[1][buckets])], names=["bucket", "raw", "good"])
+        release()
 
     summed = marked.mapInArrow(count, "bucket bigint, raw bigint, good bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
     totals = np.zeros((2, 1 << bits))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textlab.llm.common import blocks_for, raw
+from textlab.llm.common import blocks_for, raw, release
 
 WINDOW = 50
 PERIOD = 31
@@ -210,6 +210,7 @@ def _repeats(
     result_type, names = T.StructType([*rows.schema.fields, *RESULT]), rows.columns
 
     def send(key: tuple, group: pa.Table) -> pa.Table:
+        release()  # of the block before
         found = Block(group, window, period, cover)
         name = key[0].as_py()
         return _table(MESSAGE, ((name, r, found.anchors[run].astype("<u8").tobytes()) for r, run in _ranges(found.anchors, bits)))
@@ -253,6 +254,7 @@ def _repeats(
         return out
 
     def _with_windows(group: pa.Table, replies: pa.Table) -> Block:
+        release()
         found = Block(group, window, period, cover)
         found.windows(_answers(found.anchors, bits, _of_step(replies, 0)) | found.own_repeats())
         return found
