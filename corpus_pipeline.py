@@ -8,7 +8,6 @@ empty; additional columns travel along up to the last stage.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from textlab.llm import exact, near, packing, quality, substrings
 from textlab.llm.common import table
