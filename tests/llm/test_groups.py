@@ -138,6 +138,28 @@ def test_near_duplicates(spark, members, monkeypatch):
     assert sorted(stays) == sorted({r["class_id"] for r in found})
 
 
+def test_large_groups_of_texts_that_are_not_near(spark, monkeypatch):
+    """One template in many unlike pages: the groups stay large, a few pages are near, and one pass finds them."""
+    monkeypatch.setattr(near, "GROUP_MEMBERS", 40)
+    calls, groups = [], near._groups
+
+    def counted(*given):
+        calls.append(1)
+        assert len(calls) < 5, "a group is met again and again"
+        return groups(*given)
+
+    monkeypatch.setattr(near, "_groups", counted)
+    draw = random.Random(9)
+    template = " ".join(f"t{i}" for i in range(170))
+    own = [" ".join(f"p{i}w{j}" for j in range(draw.choice([28, 32, 34]))) for i in range(600)]
+    rows = [(i, f"{template} {text}") for i, text in enumerate(own)]
+    rows += [(600 + i, f"{template} {own[i]} and {i} more") for i in range(60, 80)]
+    found = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), bands=60, rows=6).collect()
+    plain = near_plainly(rows)
+    assert len({c for _, c in plain}) == 600
+    assert sorted((str(r["doc_id"]), str(r["class_id"])) for r in found) == plain
+
+
 def test_near_duplicates_of_odd_documents(documents, no_documents):
     rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
     found = near.near_duplicates(documents).collect()

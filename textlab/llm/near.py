@@ -8,9 +8,10 @@ darts are thrown as it takes to fill the coordinates (Christiani 2020). Coordina
 the members of a band are compared exactly.
 
 Comparing inside a band: first every member with the smallest one. Only where members are not connected
-by then do they meet one another, within a task and in groups of bounded size; larger groups are split by
-the members' other bands. So n copies of one text cost n comparisons, and no link is lost because a common
-member was compared first.
+by then do they meet one another, within a task and in groups of bounded size; larger groups are cut into
+blocks, and every pair of blocks that can hold a link is a task. So n copies of one text cost n comparisons,
+and no link is lost because a common member was compared first. What stays quadratic are the members of one
+band that are not alike enough to be linked.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from textlab.plans.durable import scratch_path
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 40, 8  # two documents of similarity 0.8 meet in a band with probability 0.9994
-GROUP_MEMBERS, GROUP_ELEMENTS = 1_000, 4_000_000  # what a task compares at once; larger groups are refined
+GROUP_MEMBERS, GROUP_ELEMENTS = 1_000, 4_000_000  # what a task compares at once; larger groups are cut into blocks
 MATRIX_COLUMNS = 2_048
 SALTS = 64
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -216,10 +217,13 @@ def _groups(store: _Store, entries: DataFrame) -> DataFrame:
 
 
 def _cross_links(least: float):
-    """Links between members of one group that have different labels, by exact counts of common elements."""
+    """Links between members of one group that have different labels, by exact counts of common elements.
+
+    Where the group has two sides, only members of different sides are compared.
+    """
 
     def compare(group: pa.Table) -> pa.Table:
-        nodes, labels = group["node"].to_numpy(), group["label"].to_numpy()
+        nodes, labels, side = group["node"].to_numpy(), group["label"].to_numpy(), group["side"].to_numpy()
         parts = group["elements"].combine_chunks()
         values = parts.flatten().to_numpy()
         sizes = np.diff(parts.offsets.to_numpy())
@@ -228,21 +232,54 @@ def _cross_links(least: float):
         shared = count[which] > 1
         column = (np.cumsum(count > 1) - 1)[which[shared]]
         member = member[shared]
-        both = np.zeros((len(nodes), len(nodes)), np.float32)
+        one, other = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else 2 * (np.arange(len(nodes)),)
+        both = np.zeros((len(one), len(other)), np.float32)
         order = np.argsort(column, kind="stable")
         column, member = column[order], member[order]
         for start in range(0, int(column[-1]) + 1 if len(column) else 0, MATRIX_COLUMNS):
             a, b = np.searchsorted(column, [start, start + MATRIX_COLUMNS])
             holds = np.zeros((len(nodes), MATRIX_COLUMNS), np.float32)
             holds[member[a:b], column[a:b] - start] = 1
-            both += holds @ holds.T
-        union = sizes[:, None] + sizes[None, :] - both
-        left, right = np.nonzero(np.triu((both >= least * union) & (labels[:, None] != labels[None, :])))
-        return pa.table({"a": pa.array(nodes[left]), "b": pa.array(nodes[right])})
+            both += holds[one] @ holds[other].T
+        union = sizes[one][:, None] + sizes[other][None, :] - both
+        linked = (both >= least * union) & (labels[one][:, None] != labels[other][None, :])
+        left, right = np.nonzero(linked if side.any() else np.triu(linked))
+        return pa.table({"a": pa.array(nodes[one[left]]), "b": pa.array(nodes[other[right]])})
 
     return compare
 
 
+def _block_pairs(store: _Store, members: DataFrame, least: float) -> DataFrame:
+    """Members (pair, side, node, label) of large groups, once for each pair of blocks that may hold a link.
+
+    A block holds members of about one size. Sizes that differ by more than ``least`` allow no link, so a block
+    meets those of its own and the next level of size. Many members that have one label already get blocks of
+    their own, which do not meet each other.
+    """
+    most, elements = max(1, GROUP_MEMBERS // 2), max(1, GROUP_ELEMENTS // 2)
+    # A little wider than the ratio of sizes, so that rounding never puts a link two levels apart.
+    level = F.floor(F.log("size") / (1.001 * math.log(1 / least))) if least < 1 else F.col("size")
+    counted = with_group_stats(
+        members.withColumn("level", level.cast("int")), ["key", "level", "label"], {"same": (F.count(F.lit(1)), F.sum)}, F.col("node")
+    ).withColumn("one", F.when(F.col("same") >= most, F.col("label")).otherwise(F.lit(-1)))
+    sized = with_group_stats(
+        counted, ["key", "level", "one"], {"n": (F.count(F.lit(1)), F.sum), "amount": (F.sum("size"), F.sum)}, F.col("node")
+    )
+    parts = F.ceil(F.greatest(F.col("n") / most, F.col("amount") / elements))
+    block = ["key", "level", "one", "part"]
+    placed = store.put(sized.withColumn("part", F.pmod(F.xxhash64("node"), parts)).select(*block, "node", "label"), "blocks")
+    made = placed.select("key", F.struct("level", "one", "part").alias("block")).distinct()
+    meet = made.withColumnRenamed("block", "left").join(made.withColumnRenamed("block", "right"), "key").where(
+        (F.col("left") <= F.col("right")) & (F.abs(F.col("right.level") - F.col("left.level")) <= 1)
+        & ((F.col("left.one") < 0) | (F.col("left.one") != F.col("right.one")))
+    )
+    pairs = store.put(meet.withColumn("pair", F.monotonically_increasing_id()), "block-pairs")  # stored, so a pair keeps its number
+    sides = pairs.select("key", "pair", "left.*", F.lit(0).alias("side")).unionByName(
+        pairs.where(F.col("left") != F.col("right")).select("key", "pair", "right.*", F.lit(1).alias("side"))
+    )
+    return placed.join(sides, block).select("pair", "side", "node", "label")
+
+
 def _links(store: _Store, nodes: DataFrame, docs: DataFrame, shingle: int, weighting: str, least: float) -> DataFrame:
     """Links (a, b) of at least ``least`` that connect whatever is connected."""
     groups = _groups(store, nodes.select("node", F.explode("bands").alias("key")))
@@ -255,33 +292,28 @@ def _links(store: _Store, nodes: DataFrame, docs: DataFrame, shingle: int, weigh
     )
     found = sets_of(texts.select("text"), shingle, weighting)
     sets = store.put(found.join(wanted.select("digest", "node"), "digest").select("node", "elements"), "shingles")
-    links: DataFrame | None = None
-    while True:
-        pairs = groups.where(F.col("node") != F.col("pivot")).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-        near = verify(pairs, sets).where(F.col("similarity") >= least).select("a", "b")
-        links = store.put(near if links is None else links.unionByName(near), "links")
-        # The smallest has met everyone. Others need to meet only where they are not connected already.
-        labels = components(store, links)
-        members = groups.where(F.col("node") != F.col("pivot")).join(labels, "node", "left")
-        members = store.put(members.select("key", "node", F.coalesce("label", "node").alias("label")), "members")
-        sizes = sets.select("node", F.size("elements").alias("size"))
-        spread = members.join(sizes, "node").groupBy("key").agg(
-            F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")
-        )
-        large = (F.col("n") > GROUP_MEMBERS) | (F.col("size") > GROUP_ELEMENTS)
-        unsettled = store.put(spread.where("low < high").select("key", large.alias("large")), "unsettled")
-        members = members.join(unsettled, "key")
-        small = members.where(~F.col("large")).join(sets, "node").select("key", "node", "label", "elements")
-        crossed = small.groupBy("key").applyInArrow(_cross_links(least), "a bigint, b bigint").distinct()
-        links = store.put(links.unionByName(crossed), "links")
-        rest = members.where("large")
-        if rest.isEmpty():
-            return links
-        # Under a key of its own for each other band two members meet again with nearly the same certainty.
-        finer = rest.join(nodes.select("node", "bands"), "node").select(
-            "node", F.explode(F.transform("bands", lambda b: F.xxhash64(F.col("key"), b))).alias("key")
-        )
-        groups = _groups(store, finer)
+    pairs = groups.where(F.col("node") != F.col("pivot")).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    links = store.put(verify(pairs, sets).where(F.col("similarity") >= least).select("a", "b"), "links")
+    # The smallest has met everyone. Others need to meet only where they are not connected already.
+    labels = components(store, links)
+    members = groups.where(F.col("node") != F.col("pivot")).join(labels, "node", "left")
+    members = store.put(members.select("key", "node", F.coalesce("label", "node").alias("label")), "members")
+    sizes = sets.select("node", F.size("elements").alias("size"))
+    spread = members.join(sizes, "node").groupBy("key").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")
+    )
+    large = (F.col("n") > GROUP_MEMBERS) | (F.col("size") > GROUP_ELEMENTS)
+    unsettled = store.put(spread.where("low < high").select("key", large.alias("large")), "unsettled")
+    members = members.join(unsettled, "key")
+    small = members.where(~F.col("large")).join(sets, "node").select("key", F.lit(0).alias("side"), "node", "label", "elements")
+    crossed = small.groupBy("key").applyInArrow(_cross_links(least), "a bigint, b bigint").distinct()
+    links = store.put(links.unionByName(crossed), "links")
+    rest = members.where("large")
+    if rest.isEmpty():
+        return links
+    met = _block_pairs(store, rest.drop("large").join(sizes, "node"), least).join(sets, "node")
+    crossed = met.select("pair", "side", "node", "label", "elements").groupBy("pair").applyInArrow(_cross_links(least), "a bigint, b bigint")
+    return store.put(links.unionByName(crossed.distinct()), "links")
 
 
 def components(store: _Store, links: DataFrame) -> DataFrame:
