@@ -141,6 +141,25 @@ def test_page_text():
         assert isinstance(pages.main_text(odd), str)
 
 
+def test_page_text_in_other_languages():
+    """Pages without an article in languages whose stop words are not listed, and technical passages."""
+    texts = [
+        "Gli abitanti della valle hanno sempre coltivato gli stessi campi, e ogni anno, quando arriva la primavera, tornano sui sentieri "
+        "che portano ai pascoli alti. Nessuno ricorda quando sia cominciata questa usanza, ma tutti vi partecipano volentieri da bambini.",
+        "Mieszkańcy doliny zawsze uprawiali te same pola i każdego roku, gdy nadchodzi wiosna, wracają na ścieżki prowadzące na wysokie "
+        "pastwiska. Nikt już nie pamięta, kiedy zaczął się ten zwyczaj, ale wszyscy chętnie biorą w nim udział od wczesnego dzieciństwa.",
+        "Жители долины всегда возделывали одни и те же поля, и каждый год, когда приходит весна, они возвращаются на тропы, ведущие к "
+        "высоким пастбищам. Никто не помнит, когда начался этот обычай, но все охотно участвуют в нём с самого раннего детства.",
+        "山谷里的居民一直耕种着同样的田地，每年春天来临的时候，他们都会沿着小路回到高山牧场。没有人记得这个习俗是什么时候开始的，但大家都很乐意参加。",
+    ]
+    for text in texts:
+        page = f"<body><ul><li><a>Home</a><li><a>About</a></ul><div><p>{text}</p><p>{text}</p></div><div class='footer'>Foot</div></body>"
+        assert pages.main_text(page) == f"{text}\n{text}"
+    prose = "The one of the two is that which it was and not the other that was with it. " * 4
+    table = "Width 40 mm, height 25 mm, depth 12 mm, weight 310 g, voltage 230 V, current 2 A, fuse 3 A, colour grey, housing steel. " * 3
+    assert pages.main_text(f"<p>{prose}</p><p>{table}</p><p>{prose}</p>").split("\n") == [prose.strip(), table.strip(), prose.strip()]
+
+
 def test_pages_query_columns(spark):
     table = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "y")], "page_id long, url string, html string, text string")
     rows = {r["page_id"]: r for r in pages.extract_pages(table).collect()}

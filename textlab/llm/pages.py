@@ -1,7 +1,8 @@
 """Main text of web pages by two-pass block rules.
 
 First pass: every block is judged alone, by what it stands in, its link density, its length and its
-stop-word density: good, bad or undecided. Second pass: an undecided (short or middling) block takes the
+stop-word density: good, bad or undecided. Stop words only count on pages in a language they are known of; on
+others length and link density decide. Second pass: an undecided (short or middling) block takes the
 label of its nearest decided neighbours. Good blocks are the text.
 """
 
@@ -18,12 +19,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Frequent function words of English, German, French and Spanish.
-STOP_WORDS = frozenset(
-    """the of and to in a is that for it as was with be by on not he this are or from at which but have an they you
-    der die und das den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie
-    le la les de des et un une du en que qui dans pour pas sur au plus par avec il elle est ce sont
-    el los las y del se por con no su para lo como más o pero sus al una ha me si sin sobre este ya""".split()
-)
+LANGUAGES = [
+    frozenset(words.split())
+    for words in (
+        "the of and to in a is that for it as was with be by on not he this are or from at which but have an they you",
+        "der die und in das den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie",
+        "le la les de des et un une du en que qui dans pour pas sur au plus par avec il elle est ce sont à a",
+        """el la los las de y en que a un una del se por con no su para lo como más o pero sus le al ha me si sin sobre este
+        ya es""",
+    )
+]
+STOP_WORDS = frozenset().union(*LANGUAGES) - {"à"}
 
 MAX_LINK_DENSITY = 0.2
 ARTICLE_LINK_DENSITY = 0.5
@@ -31,6 +37,7 @@ SHORT = 70
 LONG = 200
 STOP_HIGH = 0.32
 STOP_LOW = 0.20
+STOP_PAGE = 0.25  # share of one language's words from which a page counts as written in it
 
 RAW = "script|style|noscript|template|textarea|iframe|svg|select|title|object|canvas"
 MARKUP = re.compile(
@@ -38,6 +45,7 @@ MARKUP = re.compile(
     r"""|<(/?)([a-z][a-z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>|<[!?/][^>]*>""",
     re.DOTALL | re.IGNORECASE,
 )
+WIDE = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\U00020000-\U0003ffff]")  # characters that say as much as several letters
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
 WORD = re.compile(r"[^\W\d_]+")
 PIECE = re.compile(r"[a-z]+")
@@ -139,12 +147,33 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def judge_alone(block: Block) -> str:
-    """good, bad or undecided by the block's own figures; ``outside`` for what its place decides."""
+def length(text: str) -> int:
+    """Characters, those of scripts without letters threefold."""
+    return len(text) if text.isascii() else len(text) + 2 * len(WIDE.findall(text))
+
+
+def _link_density(block: Block) -> float:
+    return block.linked / max(1, len(block.text.replace(" ", "")))
+
+
+def in_known_language(found: list[Block]) -> bool:
+    """Whether the text outside articles and menus has as many of one language's stop words as prose has."""
+    words: list[str] = []
+    for block in found:
+        if not block.outside and not block.article and length(block.text) >= SHORT and _link_density(block) <= MAX_LINK_DENSITY:
+            words += WORD.findall(block.text.lower())
+    return bool(words) and max(sum(w in stops for w in words) for stops in LANGUAGES) >= STOP_PAGE * len(words)
+
+
+def judge_alone(block: Block, known: bool = True) -> str:
+    """good, bad or undecided by the block's own figures; ``outside`` for what its place decides.
+
+    ``known`` says that the page is in a language whose stop words are known.
+    """
     if block.outside:
         return "outside"
-    size = len(block.text)
-    density = block.linked / max(1, len(block.text.replace(" ", "")))
+    size = length(block.text)
+    density = _link_density(block)
     if block.article:
         if density > ARTICLE_LINK_DENSITY:
             return "bad"
@@ -153,11 +182,13 @@ def judge_alone(block: Block) -> str:
         return "bad"
     if size < SHORT:
         return "bad" if block.linked else "undecided"
+    if not known:
+        return "good" if size > LONG else "undecided"
     words = WORD.findall(block.text.lower())
     stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if stops >= STOP_HIGH and size > LONG:
         return "good"
-    return "undecided" if stops >= STOP_LOW else "bad"
+    return "undecided" if stops >= STOP_LOW or size > LONG and not block.linked else "bad"
 
 
 def judge_by_neighbours(found: list[Block]) -> None:
@@ -168,7 +199,7 @@ def judge_by_neighbours(found: list[Block]) -> None:
     """
     if not any(b.label == "good" for b in found):
         for block in found:
-            if block.label == "undecided" and len(block.text) >= SHORT:
+            if block.label == "undecided" and length(block.text) >= SHORT:
                 block.label = "good"
     inherited: dict[int, str] = {}
     for article in {b.article for b in found}:
@@ -192,8 +223,9 @@ def judge_by_neighbours(found: list[Block]) -> None:
 def main_text(page: str | None) -> str:
     """Good blocks in page order, a line each; empty for a page without any."""
     found = blocks(page or "")
+    known = in_known_language(found)
     for block in found:
-        block.label = judge_alone(block)
+        block.label = judge_alone(block, known)
     judge_by_neighbours(found)
     return "\n".join(b.text for b in found if b.label == "good")
 
@@ -201,8 +233,9 @@ def main_text(page: str | None) -> str:
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url and main text of every page, row-local and without a shuffle.
 
-    A null page has an empty text. Script, style, markup, menus, forms, notices, adverts and comments go;
-    of everything else nothing is dropped or cut. Other columns of ``pages`` are not read.
+    A null page has an empty text. Script, style, markup, menus, forms, notices, adverts and
+    comments go, and outside an article also what the block rules find bad: text of many links and, in the known
+    languages, text of up to 200 characters with few stop words. No kept block is cut. Other columns of ``pages`` are not read.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     schema = T.StructType([rows.schema["page_id"], rows.schema["url"], T.StructField("text", T.StringType())])
