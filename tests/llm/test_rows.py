@@ -160,6 +160,22 @@ def test_page_text_in_other_languages():
     assert pages.main_text(f"<p>{prose}</p><p>{table}</p><p>{prose}</p>").split("\n") == [prose.strip(), table.strip(), prose.strip()]
 
 
+@pytest.mark.parametrize("odd", [
+    '<svg class="i"/>', "<svg>", "<iframe src='x'/>", "<object/>", "<title-bar>", "<select-menu>", "<iframe src=x>", "<template>",
+    "<svg><path/></svg>", "<svg><svg></svg>inner</svg>", "<iframe src=http://x/></iframe>", "<svg title='>'/>", "<SVG\n/>", "<canvas><p>not shown</p></canvas >",
+])
+def test_hidden_elements_end(odd):
+    assert pages.main_text(f"<article><p>a</p>{odd}<p>b</p></article>") == "a\nb"
+    assert pages.main_text(f"<article><p>a</p>{odd}<p>b</p><svg>x</svg><p>c</p></article>") == "a\nb\nc"
+
+
+def test_text_inside_a_form():
+    prose = "The one of the two is that which it was and not the other that was with it. " * 4
+    assert pages.main_text("<form id='aspnetForm'><article><p>Only this</p></article></form>") == "Only this"
+    page = f"<body><form method=post><nav><a>Menu</a></nav><h1>Head</h1><p>{prose}</p><p>End.</p></form><form><input> Send it</form></body>"
+    assert pages.main_text(page) == f"Head\n{prose.strip()}\nEnd."
+
+
 def test_pages_query_columns(spark):
     table = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "y")], "page_id long, url string, html string, text string")
     rows = {r["page_id"]: r for r in pages.extract_pages(table).collect()}

@@ -39,12 +39,14 @@ STOP_HIGH = 0.32
 STOP_LOW = 0.20
 STOP_PAGE = 0.25  # share of one language's words from which a page counts as written in it
 
-RAW = "script|style|noscript|template|textarea|iframe|svg|select|title|object|canvas"
-MARKUP = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"""|<(/?)([a-z][a-z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>|<[!?/][^>]*>""",
-    re.DOTALL | re.IGNORECASE,
-)
+TEXT_ONLY = "script|style|textarea|title"  # hold no elements; not closed, they reach to the end of the page
+HIDDEN = frozenset("noscript template iframe svg select object canvas".split())  # closed by "/>" too; not closed, only the tag goes
+ENDS = r"(?=[\s/>])"  # a tag name ends here: <title-bar> is no <title>
+SKIPPED = rf"<!--.*?(?:-->|\Z)|<({TEXT_ONLY}){ENDS}[^>]*>.*?(?:</\1\s*>|\Z)"
+ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+"""
+MARKUP = re.compile(rf"{SKIPPED}|<(/?)([a-z][a-z0-9:-]*)({ATTRIBUTES})>|<[!?/][^>]*>", re.DOTALL | re.IGNORECASE)
+HIDDEN_TAG = re.compile(rf"{SKIPPED}|<(/?)({'|'.join(sorted(HIDDEN))}){ENDS}({ATTRIBUTES})>", re.DOTALL | re.IGNORECASE)
+BARE_VALUE = re.compile(r"""=\s*[^\s"']*/\Z""")  # a slash that belongs to a value without quotes
 WIDE = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\U00020000-\U0003ffff]")  # characters that say as much as several letters
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
 WORD = re.compile(r"[^\W\d_]+")
@@ -56,7 +58,7 @@ BLOCKS = frozenset(
     tbody td tfoot th thead tr ul label""".split()
 )
 CONTAINERS = BLOCKS - frozenset("p li dt dd hr h1 h2 h3 h4 h5 h6 option body html head tr td th tbody thead tfoot".split())
-OUTSIDE = frozenset("nav aside footer form dialog menu button fieldset label".split())
+OUTSIDE = frozenset("nav aside footer dialog menu button fieldset label".split())
 HINTS = frozenset(
     """ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent
     gdpr notice notices popup modal newsletter subscribe subscription signup login sidebar menu nav navbar navigation
@@ -71,7 +73,8 @@ class Block:
     """Text between two block boundaries."""
 
     article: int  # which article it stands in; 0 for none
-    outside: bool  # in a menu, form, notice or the like
+    outside: bool  # in a menu, notice or the like, or in a form that holds no main text
+    form: int = 0  # which form it stands in; 0 for none
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
@@ -91,11 +94,30 @@ def _is_outside(tag: str, attributes: str, article: int) -> bool:
     return bool(names & HINTS) and tag not in ("article", "main") and not names & LAYOUT
 
 
+def _ends_of_hidden(page: str) -> dict[int, int]:
+    """Start of each hidden element that is closed, and where it ends; a closing tag belongs to the nearest open one."""
+    ends: dict[int, int] = {}
+    still_open: dict[str, list[int]] = {}
+    for m in HIDDEN_TAG.finditer(page):
+        tag = (m[3] or "").lower()
+        if not tag:
+            continue
+        starts = still_open.setdefault(tag, [])
+        if not m[2]:
+            if not (m[4].endswith("/") and not BARE_VALUE.search(m[4])):
+                starts.append(m.start())
+        elif starts:
+            ends[starts.pop()] = m.end()
+    return ends
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks of a page that hold text, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool]] = []
-    article, outside, articles, link = 0, False, 0, False
+    stack: list[tuple[str, int, bool, int]] = []
+    article, outside, form, articles, forms, link = 0, False, 0, 0, 0, False
+    wrapping: set[int] = set()  # forms around an article, or with long text of few links: the page's layout
+    hidden = _ends_of_hidden(page)
     now = Block(0, False)
 
     def close(starts_outside: bool = False) -> None:
@@ -103,7 +125,9 @@ def blocks(page: str) -> list[Block]:
         now.text = " ".join("".join(now.pieces).split())
         if now.text:
             out.append(now)
-        now = Block(article, outside or starts_outside)
+            if now.form and not now.outside and length(now.text) > LONG and _link_density(now) <= MAX_LINK_DENSITY:
+                wrapping.add(now.form)
+        now = Block(article, outside or starts_outside, form)
 
     def write(text: str) -> None:
         if text:
@@ -113,7 +137,7 @@ def blocks(page: str) -> list[Block]:
                 now.linked += len("".join(text.split()))
 
     end = 0
-    for m in MARKUP.finditer(page):
+    while m := MARKUP.search(page, end):
         write(page[end : m.start()])
         end = m.end()
         tag = (m[3] or "").lower()
@@ -121,7 +145,9 @@ def blocks(page: str) -> list[Block]:
             if m[1] and m[1].lower() == "title":
                 close()
             continue
-        if tag == "br":
+        if tag in HIDDEN:
+            end = hidden.get(m.start(), end)
+        elif tag == "br":
             now.pieces.append(" ")
         elif tag == "a":
             link = not m[2]
@@ -130,20 +156,26 @@ def blocks(page: str) -> list[Block]:
         if m[2]:
             places = [i for i, s in enumerate(stack) if s[0] == tag]
             if places:
-                _, article, outside = stack[places[-1]]
+                _, article, outside, form = stack[places[-1]]
                 del stack[places[-1] :]
             close()
         else:
             mark = _is_outside(tag, m[4] or "", article)
             if tag in CONTAINERS:
-                stack.append((tag, article, outside))
+                stack.append((tag, article, outside, form))
                 outside = outside or mark
+                if tag == "form" and not form:
+                    forms += 1
+                    form = forms
                 if tag in ("article", "main") and not article:
                     articles += 1
                     article = articles
+                    wrapping.add(form)
             close(mark)
     write(page[end:])
     close()
+    for block in out:
+        block.outside = block.outside or bool(block.form) and block.form not in wrapping
     return out
 
 
@@ -233,7 +265,7 @@ def main_text(page: str | None) -> str:
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url and main text of every page, row-local and without a shuffle.
 
-    A null page has an empty text. Script, style, markup, menus, forms, notices, adverts and
+    A null page has an empty text. Script, style, markup, menus, forms without long text, notices, adverts and
     comments go, and outside an article also what the block rules find bad: text of many links and, in the known
     languages, text of up to 200 characters with few stop words. No kept block is cut. Other columns of ``pages`` are not read.
     """
