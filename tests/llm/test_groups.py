@@ -246,6 +246,31 @@ def test_neighbours_against_brute_force(spark):
     assert hits / (10 * len(truth)) >= 0.9
 
 
+@pytest.mark.parametrize("ids", [30, 400])
+def test_neighbours_of_repeated_rows(spark, ids):
+    """Every row 20 times, and one id with very many vectors, give what the rows once give."""
+    random_ = np.random.default_rng(5)
+    vectors = random_.normal(size=(ids, 8))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    rows += [(ids, [float(x) for x in v]) for v in random_.normal(size=(300, 8)) + 9]
+    frame = spark.createDataFrame(rows * 20, "vec_id long, embedding array<double>")
+    asked = list(range(0, ids, max(1, ids // 30)))
+    found = {}
+    for r in neighbours.nearest(frame, F.col("vec_id").isin(asked), block_rows=128).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    hits = 0
+    for q in asked:
+        least = {}
+        for i, v in rows:
+            if i != q:
+                least[i] = min(least.get(i, math.inf), math.dist(v, vectors[q]))
+        got = sorted(found[q])
+        assert [g[0] for g in got] == list(range(1, 11)) and len({g[1] for g in got}) == 10
+        assert all(math.isclose(g[2], least[g[1]], abs_tol=1e-9) for g in got)
+        hits += len({g[1] for g in got} & set(sorted(least, key=lambda i: (least[i], i))[:10]))
+    assert hits >= 0.9 * 10 * len(asked)
+
+
 def test_neighbours_of_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (100, [1.0, 1.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]),
             (8, [1.0]), (9, [0.0, 2.0]), (None, [1.0, 2.0]), (10, [0.0, 2.0])]

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,20 +150,19 @@ def _search(key: tuple, parts: pa.Table, asked: pa.Table, k: int) -> pa.Table:
     ids = parts["id"].to_numpy()
     keys = parts["key"].to_numpy()
     matrix = np.frombuffer(b"".join(parts["vector"].to_pylist()), "<f8").reshape(len(ids), -1) if len(ids) else None
+    each, place = np.unique(ids, return_inverse=True)
     found: list[tuple[int, np.ndarray, np.ndarray]] = []
     for query, vector, wanted in zip(asked["id"].to_pylist(), asked["vector"].to_pylist(), asked["keys"].to_pylist()):
         if not len(ids):
             break
         rows = np.flatnonzero((ids != query) if wanted is None else (np.isin(keys, np.frombuffer(wanted, "<i8")) & (ids != query)))
         score = np.sqrt(((matrix[rows] - np.frombuffer(vector, "<f8")) ** 2).sum(axis=1))
-        if len(rows) > 4 * k:
-            near = score <= np.partition(score, 4 * k)[4 * k]
-            rows, score = rows[near], score[near]
-        order = np.lexsort((score, ids[rows]))
-        _, first = np.unique(ids[rows][order], return_index=True)  # a vector that two tables brought counts once
-        order = order[first]
-        order = order[np.lexsort((ids[rows][order], score[order]))][:k]
-        found.append((query, ids[rows][order], score[order]))
+        best = np.full(len(each), np.inf)  # an id counts once, whatever tables or rows brought it
+        np.minimum.at(best, place[rows], score)
+        last = np.partition(best, k - 1)[k - 1] if len(best) > k else np.inf
+        near = np.flatnonzero((best <= last) & (best < np.inf))
+        near = near[np.lexsort((each[near], best[near]))][:k]
+        found.append((query, each[near], best[near]))
     sizes = [len(f[1]) for f in found]
     return pa.table(
         {
@@ -202,7 +202,11 @@ def _probe(rows: DataFrame, queries: DataFrame, hashing: Hashing, total: int, k:
         for batch in batches:
             keys = batch.column(1).to_numpy()
             pieces = np.array([large.get(key, 1) for key in keys.tolist()], np.uint64)
-            part = _mix(batch.column(0).to_numpy().view(np.uint64)) % np.maximum(pieces, np.uint64(1))
+            part = np.zeros(len(keys), np.uint64)
+            several = np.flatnonzero(pieces > 1)
+            # By the whole row, so that an id with very many vectors is split too.
+            rows_of = batch.column(0).to_numpy().view(np.uint64)[several], batch.column(2).take(pa.array(several)).to_pylist()
+            part[several] = (_mix(rows_of[0]) ^ np.array([xxhash.xxh3_64_intdigest(v) for v in rows_of[1]], np.uint64)) % pieces[several]
             yield pa.RecordBatch.from_arrays([pa.array(_block(keys, part, blocks)), *batch.columns], names=["block", "id", "key", "vector"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +236,7 @@ def _probe(rows: DataFrame, queries: DataFrame, hashing: Hashing, total: int, k:
 def _everything(rows: DataFrame, queries: DataFrame, total: int, k: int, block_rows: int) -> DataFrame:
     """The exact way for queries whose buckets hold too few rows: they are sent to every block of rows."""
     blocks = blocks_for(total, block_rows)
-    dealt = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), "id", "vector")
+    dealt = rows.select(F.pmod(F.xxhash64("id", "vector"), F.lit(blocks)).alias("block"), "id", "vector")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,7 +244,7 @@ def _everything(rows: DataFrame, queries: DataFrame, total: int, k: int, block_r
             if made:
                 yield _rows(made)
 
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint").alias("block"), "id", "vector")
+    asked = queries.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"), "id", "vector")
     parts = dealt.mapInArrow(pack, ASKED).select("block", "id", F.lit(0).cast("bigint").alias("key"), "vector")
     return (
         parts.groupBy("block").cogroup(asked.mapInArrow(pack, ASKED).groupBy("block"))
@@ -269,10 +273,12 @@ def nearest(
     candidate of its own, nor is a row of the same id; of rows that repeat an id the nearest counts. Rows
     without id, with a null, zero or not finite vector, or of another than the commonest length take no
     part. A query gets fewer than ``k`` rows only if there are fewer candidates. Width and probes are
-    fitted on ``SAMPLE`` rows; every row is indexed.
+    fitted on ``SAMPLE`` rows; every distinct row is indexed.
     """
     spark = vectors.sparkSession
-    rows = usable(vectors, id_col, vector_col)
+    distinct = scratch_path(spark, "vectors")
+    usable(vectors, id_col, vector_col).dropDuplicates(["id", "vector"]).write.parquet(distinct)
+    rows = spark.read.parquet(distinct)
     queries = usable(vectors.where(asks), id_col, vector_col).dropDuplicates(["id"])
     total = rows.count()
     drawn = rows.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(SAMPLE).toArrow()
