@@ -1215,7 +1215,7 @@ def h01(spark, d):
     model, _ = models.train_and_evaluate(docs, models.linear("l2", c=100.0), F.col("text"))
     cleaned = text.clean_text(F.col("text"), lower=True).alias("text")  # as the model has seen its texts
     target = views.documents(spark, d).select(F.col("doc_id").alias("id"), cleaned)
-    return lime_explain(target, model, "id", "text", n_samples=16, n_features=5).select("id", "word", F.round("weight", 6).alias("weight"))
+    return lime_explain(target, model, "id", "text").select("id", "word", F.round("weight", 6).alias("weight"))
 
 
 # ----------------------------------------------------------- sources and sinks
