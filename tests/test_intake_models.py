@@ -186,3 +186,33 @@ def test_text_pipeline_round_trip(spark, tmp_path):
 
     report, outcomes = models.score_table(PipelineModel.load(path), df)
     assert report.where("label = 'accuracy'").head().f1 == 1.0 and outcomes.count() == 60
+
+
+def test_search_query_runs_every_study(spark, sf_dir, monkeypatch):
+    from textlab.operators import models
+    from textlab.testbed import queries
+
+    given = []
+
+    def search(df, study, n_trials, **options):
+        given.append((study, n_trials, options))
+        return df.sparkSession.createDataFrame([(study, 0, 0.5)], "study string, trial long, value double")
+
+    monkeypatch.setattr(models, "random_search", search)
+    assert queries.QUERIES["g07_random_search"](spark, sf_dir).count() == len(models.SEARCH_SPACES)
+    assert given == [(study, 50, {}) for study in models.SEARCH_SPACES]
+
+
+def test_stored_folds_equal_the_union(spark):
+    from textlab.operators import models
+    from textlab.plans.durable import scratch_path
+
+    df = spark.createDataFrame([(i, i % 2, [float(i % 2) + i % 3, float(i % 5)]) for i in range(40)], "id long, label int, v array<double>")
+    from pyspark.ml.functions import array_to_vector
+
+    df = df.select("id", "label", array_to_vector("v").alias("features"))
+    fits = {"0": models.linear("l2"), "1": models.linear("l2", c=0.01)}
+    stored = models.cross_validate(df, fits, 2, folder=scratch_path(spark, "folds"))
+    plain = models.cross_validate(df, fits, 2)
+    columns = ["model", "place", "fold", "id", "y_true", "y_pred"]
+    assert sorted(stored.select(columns).collect()) == sorted(plain.select(columns).collect())
