@@ -70,7 +70,7 @@ def test_frequent_token_is_spread(spark, shuffled_joins):
     hot = features.token_counts(docs, "id", "text").where("token = 'hot'")
     table = features.token_counts(docs, "id", "text").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     assert largest_share(hot.join(table, "token")) == 1
-    assert largest_share(layout.join_salted(hot, table, "token", "id")) < 0.3
+    assert largest_share(layout.join_frequent(hot, table, "token", "id")) < 0.3
     counts = features.word_counts(docs, "id", "text")
     assert largest_share(counts) < 0.25 and counts.count() == 40000
     weights = table.select("token", F.lit(0.5).alias("w"))
@@ -83,6 +83,21 @@ def test_frequent_token_is_spread(spark, shuffled_joins):
     assert features.mean_embedding(docs, "id", "text", vectors, 1).where("vec[0] = 10200").count() == 20000
 
 
+@pytest.mark.parametrize("rows", [4000, 40000])
+def test_only_frequent_keys_are_cut(spark, shuffled_joins, rows):
+    """A third of the rows share a key: parts follow from its rows, the fullest task stays small, rare keys are not repeated."""
+    large = spark.range(0, rows, numPartitions=8).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
+    found = layout.frequent_keys(large, "k", 64)
+    assert list(found.values()) == [pytest.approx(1 / 3, rel=0.01)]
+    small = large.select("k").distinct().withColumn("v", F.length("k"))
+    joined = layout.join_frequent(large, small, "k", "id")
+    assert joined.count() == rows and joined.where(F.col("v") != F.length("k")).count() == 0
+    assert largest_share(joined) < 0.06  # of 64 tasks
+    assert layout.join_frequent(large, small, "k", "id", "left_semi").count() == rows
+    even = spark.range(rows).select("id", F.col("id").alias("k"))
+    assert layout.frequent_keys(even, "k", 64) == {}
+
+
 def test_no_token_is_dropped(spark):
     docs = spark.range(3000).select("id", F.concat_ws(" ", *[F.concat(F.lit(f"t{k}x"), F.col("id")) for k in range(100)]).alias("text"))
     assert docs.count() == 3000

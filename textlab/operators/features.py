@@ -1,8 +1,8 @@
 """Text features in long form: one row per (document, token). Never densified.
 
 A token can occur in most documents. Documents are counted inside their row and
-frequencies combine map-side; joins on the token are salted by the document, so
-a frequent token's rows are spread over several tasks whatever the other side is.
+frequencies combine map-side. Joins on the token cut the tokens that are found to be
+frequent into parts by the document; all others join as they are.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textlab.functions.text import feature_tokens, let, vocabulary_words, words
-from textlab.plans.layout import join_salted
+from textlab.plans.layout import join_frequent
 
 
 def vocabulary(df: DataFrame, text_col: str) -> DataFrame:
@@ -68,6 +68,11 @@ def token_counts(df: DataFrame, id_col: str, text_col: str, ngrams: tuple[int, i
     return df.select(id_col, F.inline(tally(tokens)))
 
 
+def typical(df: DataFrame, rows: int = 2000) -> DataFrame:
+    """About ``rows`` documents, to see which tokens are frequent before all are counted. For the layout only."""
+    return df.sample(min(1.0, rows / max(1, df.count())), seed=1)
+
+
 def document_frequency(counts: DataFrame) -> DataFrame:
     return counts.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
@@ -82,7 +87,8 @@ def word_counts(
     """
     counts = token_counts(df, id_col, text_col, ngrams)
     vocab = vocabulary(df, text_col) if vocab is None else vocab
-    return join_salted(counts, vocab.select("token"), "token", id_col, "left_semi")
+    measured = token_counts(typical(df), id_col, text_col, ngrams)
+    return join_frequent(counts, vocab.select("token"), "token", id_col, "left_semi", measured)
 
 
 def inverse_document_frequency(freq: DataFrame, n_docs: Column) -> DataFrame:
@@ -99,7 +105,8 @@ def tfidf(
     n_docs = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     # Vocabulary test and idf in one table, so the large side is joined once.
     idf = inverse_document_frequency(freq.join(vocab.select("token"), "token", "left_semi"), n_docs)
-    weighted = join_salted(counts, idf.select("token", "idf"), "token", id_col).withColumn("w", F.col("tf") * F.col("idf"))
+    measured = token_counts(typical(df), id_col, text_col, ngrams)
+    weighted = join_frequent(counts, idf.select("token", "idf"), "token", id_col, measured=measured).withColumn("w", F.col("tf") * F.col("idf"))
     # A document's own distinct tokens.
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(id_col)))
     return weighted.select(id_col, "token", (F.col("w") / length).alias("value"))
@@ -124,8 +131,11 @@ def mean_embedding(
     """
     if oov not in ("skip", "zero"):
         raise ValueError(f"unknown oov {oov!r}")
-    counts = df.select(id_col, F.inline(tally(words(F.col(text_col))))).withColumnRenamed("token", "word")
-    matched = join_salted(counts, vectors.select("word", "vec"), "word", id_col)
+
+    def counted(docs: DataFrame) -> DataFrame:
+        return docs.select(id_col, F.inline(tally(words(F.col(text_col))))).withColumnRenamed("token", "word")
+
+    matched = join_frequent(counted(df), vectors.select("word", "vec"), "word", id_col, measured=counted(typical(df)))
     sums = matched.groupBy(id_col).agg(
         F.sum("tf").alias("_known"),
         *[F.sum(F.get("vec", F.lit(i)).cast("double") * F.col("tf")).alias(f"_{i}") for i in range(dim)],

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from textlab.functions.scores import extract_score, resolve_missing_score
 from textlab.functions.text import clean_model_output, fill, words
-from textlab.plans.layout import join_salted
+from textlab.operators.features import typical
+from textlab.plans.layout import join_frequent
 
 
 def join_text_columns(df: DataFrame, columns: list[str], new: str, sep: str = "-", null_token: str = "") -> DataFrame:
@@ -22,11 +23,14 @@ def join_text_columns(df: DataFrame, columns: list[str], new: str, sep: str = "-
 def document_lemmas(df: DataFrame, id_col: str, found: Column, lemmas: DataFrame, name: str = "_lemmas") -> DataFrame:
     """``df`` with ``name``: a map of the words in the array ``found`` that ``lemmas`` (word, lemma) lists to their lemma.
 
-    Only the distinct words of a document meet the table, salted by the document; what comes back are the
-    few that change.
+    Only the distinct words of a document meet the table, frequent ones in parts by the document; what comes
+    back are the few that change.
     """
-    distinct = df.select(id_col, F.explode(F.array_distinct(found)).alias("word"))
-    changed = join_salted(distinct, lemmas.select("word", "lemma"), "word", id_col)
+
+    def distinct(docs: DataFrame) -> DataFrame:
+        return docs.select(id_col, F.explode(F.array_distinct(found)).alias("word"))
+
+    changed = join_frequent(distinct(df), lemmas.select("word", "lemma"), "word", id_col, measured=distinct(typical(df)))
     maps = changed.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("word", "lemma"))).alias(name))
     return df.join(maps, id_col, "left")
 
