@@ -204,17 +204,28 @@ def test_bpe_equals_library(tokenizer):
     assert encoder.encode_batch(texts) == [np.array(i, "<u4").tobytes() for i in made]
     assert encoder.decode_batch([np.array(i, "<u4").tobytes() for i in made]) == [tokenizer.decode(i, skip_special_tokens=False) for i in made]
     library = packing.LibraryEncoder(bpe.definition_of(word_bpe()))
-    assert library.encode_batch(texts) == [np.array(i, "<u4").tobytes() for i in made]
+    assert packed_ids(library, texts) == [np.array(i, "<u4").tobytes() for i in made]
+    assert packed_ids(library, [None, ""]) == [b"", b""] and packed_ids(library, []) == []
+
+
+def packed_ids(library, texts):
+    import pyarrow as pa
+
+    data, at = library.encode(pa.array(texts, pa.string()))
+    return [bytes(memoryview(data)[a:b]) for a, b in zip(at.tolist(), at[1:].tolist())]
 
 
 def test_forgetting_changes_nothing(tokenizer, monkeypatch):
     for name in ("KNOWN_CHUNKS", "KNOWN_WORDS", "KNOWN_PAIRS"):
         monkeypatch.setattr(bpe, name, 5)
-    monkeypatch.setattr(packing, "KNOWN_CHUNKS", 5)
+    monkeypatch.setattr(packing, "KNOWN_WORDS", 5)
     texts = odd_texts()[:60]
     want = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-    for encoder in (bpe.TrieEncoder(bpe.definition_of(word_bpe())), packing.LibraryEncoder(bpe.definition_of(word_bpe()))):
-        assert [encoder.encode_batch([t])[0] for t in texts] == want
+    encoder, library = bpe.TrieEncoder(bpe.definition_of(word_bpe())), packing.LibraryEncoder(bpe.definition_of(word_bpe()))
+    assert [encoder.encode_batch([t])[0] for t in texts] == want
+    for _ in range(2):
+        assert [packed_ids(library, [t])[0] for t in texts] == want
+        library.words.rest(3)
 
 
 def test_bpe_frames(documents, no_documents, tokenizer):
@@ -263,3 +274,27 @@ def test_shortest_pack_first():
 def test_registered_columns(spark, sf_dir):
     assert {"op1_substring_dedup", "op2_quality_classifier", "op3_url_filter", "op4_near_dedup", "op5_bpe_round_trip"} <= set(QUERIES)
     assert {"op6_external_shuffle", "op7_nearest_vectors", "op8_page_text", "op9_exact_dedup", "op10_packing"} <= set(QUERIES)
+
+
+def test_packs_equal_a_loop_over_pieces():
+    """Shortest pack first, one piece after the other: the same fill of every sequence as by counted patterns."""
+    draw = random.Random(4)
+    for size, n in ((64, 300), (4096, 2000), (7, 50), (4096, 0)):
+        lengths = [min(size, 1 + int(draw.expovariate(6 / size))) if draw.random() < 0.7 else size // 3 + 1 for _ in range(n)]
+        packs: list[int] = []
+        for length in sorted(lengths, reverse=True):
+            at = min(range(len(packs)), key=lambda i: (packs[i], i), default=None)
+            if at is not None and packs[at] + length <= size:
+                packs[at] += length
+            else:
+                packs.append(length)
+        counts = {k: lengths.count(k) for k in set(lengths)}
+        made = packing.pack_histogram(counts, size)
+        fill = [0] * made.sequences
+        runs = sorted(zip(made.length.tolist(), made.start.tolist(), made.first.tolist(), made.offset.tolist()))
+        for i, (length, start, first, offset) in enumerate(runs):
+            end = runs[i + 1][1] if i + 1 < len(runs) and runs[i + 1][0] == length else counts[length]
+            for sequence in range(first, first + end - start):
+                assert offset + length <= size
+                fill[sequence] += length
+        assert sorted(fill) == sorted(packs)

@@ -9,7 +9,9 @@ rank among the pieces of equal length.
 from __future__ import annotations
 
 import heapq
+import json
 import math
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -17,61 +19,146 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textlab.llm.bpe import RESTING, SLICE_BYTES, chunks_of, definition_of, first, slices
+from textlab.llm.bpe import PLAIN, PLAIN_PIECE, RESTING, byte_letters, definition_of, first, slices
 from textlab.llm.common import release
 from textlab.plans.durable import scratch_path
 
 SEQUENCE = 4096
 END_ID = 2
-KNOWN_CHUNKS = 300_000  # encodings that a task remembers; forgetting only costs time
-JOINED = 500
+KNOWN_WORDS = 200_000  # encodings in a generation of a task's memory; forgetting only costs time
+JOINED = 2_000
+SLICE_BYTES = 16 << 20  # of texts that are encoded together
+PLAIN_CHUNK = f"^{PLAIN.pattern}$"
+PLAIN_WORDS = re.compile(PLAIN_PIECE.pattern.replace("[^", "[^\\n") + "|\n")
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
+class Memory:
+    """What was worked out lately, in two generations: what is in use survives when the older one is dropped."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def unknown(self, wanted: set[str]) -> list[str]:
+        """Those that have to be worked out; the others are in ``now`` afterwards."""
+        if len(self.now) > self.limit:
+            self.now, self.before = {}, self.now
+        missing = wanted.difference(self.now)
+        found = {w: self.before[w] for w in missing if w in self.before}
+        self.now.update(found)
+        return list(missing.difference(found))
+
+    def rest(self, kept: int) -> None:
+        """Keep the frequent part, what both generations have used, and as much of the rest as there is room for."""
+        often = {k: v for k, v in self.now.items() if k in self.before}
+        self.now, self.before = first(often | self.now, kept), {}
+
+
 class LibraryEncoder:
-    """The tokenizers library on distinct chunks; a text's ids are those of its chunks one after the other."""
+    """The tokenizers library's model on distinct words, for a word BPE file with an end-of-word suffix.
+
+    Texts are cut at white space, distinct chunks into words, and distinct words are encoded by the model, many in
+    a call: only a word's last token has the suffix, which tells where the next one begins. Arrow arrays of packed
+    ids then go back from words to chunks and from chunks to texts. Words are remembered from slice to slice.
+    """
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
-        mark = self.tokenizer.get_added_tokens_decoder()
-        self.mark = next(((i, t.content) for i, t in mark.items() if not (t.lstrip or t.rstrip or t.normalized)), None)
-
-    def _encode_new(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Ids of each chunk; many go through one call, with a special token between them that none holds."""
-        mark_id, mark = self.mark or (None, "")
-        alone = [c for c in chunks if mark in c]
-        for chunk, made in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
-            yield chunk, array("I", made.ids).tobytes()
-        joined = [c for c in chunks if mark not in c]
-        groups = [joined[i : i + JOINED] for i in range(0, len(joined), JOINED)]
-        between = f" {mark} ".join
-        for group in groups:
-            (made,) = self.tokenizer.encode_batch_fast([between(group)], add_special_tokens=False)
-            ids = np.array(made.ids, np.uint32)
-            ends = [*np.flatnonzero(ids == mark_id).tolist(), len(ids)]
-            packed, start = ids.tobytes(), 0
-            for chunk, end in zip(group, ends):
-                yield chunk, packed[4 * start : 4 * end]
-                start = end + 1
-
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        cut = [chunks_of(t or "") for t in texts]
-        wanted = {c for t in cut for c in t}
-        new = wanted.difference(self.known)
-        if len(self.known) + len(new) > KNOWN_CHUNKS:  # those that came again stay
-            self.known = {c: self.known[c] for c in wanted if c in self.known}
-        self.known.update(self._encode_new(list(new)))
-        known = self.known
-        return [b"".join([known[c] for c in t]) for t in cut]
+        described = json.loads(definition)
+        suffix = described["model"]["end_of_word_suffix"]
+        self.library = Tokenizer.from_str(definition)  # for normalising and cutting unusual chunks
+        self.special = {t["content"]: t["id"] for t in described["added_tokens"]}
+        self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        bare = dict.fromkeys(("normalizer", "pre_tokenizer", "post_processor", "decoder", "truncation", "padding"))
+        self.model = Tokenizer.from_str(json.dumps(described | bare | {"added_tokens": []}))
+        vocab = described["model"]["vocab"]
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith(suffix) and i not in self.special.values()]] = True
+        self.letters = {byte: letter for letter, byte in byte_letters().items()}
+        if any(letter not in vocab or letter + suffix not in vocab for letter in self.letters.values()):
+            raise ValueError("the vocabulary does not spell every byte")
+        self.words = Memory(KNOWN_WORDS)
+
+    def _lettered(self, word: str) -> str:
+        """A word in the letters that stand for its bytes."""
+        return word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+
+    def _unusual(self, chunk: str) -> list[str | int]:
+        """Words of any chunk, as the library cuts it; a special token is its id."""
+        if self.at_special and self.at_special.search(chunk):
+            parts = self.at_special.split(chunk)
+            return [w for i, p in enumerate(parts) for w in ([self.special[p]] if i % 2 else self._unusual(p))]
+        return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))]
+
+    def _encode_words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        for at in range(0, len(words), JOINED):
+            group = words[at : at + JOINED]
+            (made,) = self.model.encode_batch_fast([group], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(made.ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            packed = ids.tobytes()
+            yield from zip(group, map(packed.__getitem__, map(slice, [0, *ends], ends)), strict=True)
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Packed ids of distinct words, in their letters."""
+        unknown = self.words.unknown(set(words))
+        known = self.words.now
+        known.update(self._encode_words(unknown))
+        return [known[w] for w in words]
+
+    def _plain(self, chunks: pa.Array) -> pa.Array:
+        """Packed ids of chunks whose letters can all be cut in one go."""
+        if not len(chunks):
+            return pa.array([], pa.large_binary())
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(chunks)], pa.int32()), chunks), "\n")[0].as_py()
+        found = pa.array(PLAIN_WORDS.findall(joined.lower() + "\n"), pa.large_string()).dictionary_encode()
+        words = found.dictionary.to_pylist()
+        own = iter(self._ids([self._lettered(w) for w in words if w != "\n"]))
+        packed = pa.array([b"" if w == "\n" else next(own) for w in words], pa.large_binary())
+        data, ends = _flat(packed.take(found.indices))
+        return _joined(data, ends[1:][found.indices.to_numpy() == words.index("\n")])
+
+    def _rest(self, chunks: pa.Array) -> pa.Array:
+        """Packed ids of all other chunks."""
+        cut = [self._unusual(c) for c in chunks.to_pylist()]
+        words = list({w for c in cut for w in c if isinstance(w, str)})
+        ids = dict(zip(words, self._ids(words)))
+        packed = [b"".join([ids[w] if isinstance(w, str) else array("I", [w]).tobytes() for w in c]) for c in cut]
+        return pa.array(packed, pa.large_binary())
+
+    def encode(self, texts: pa.Array) -> tuple[pa.Buffer, np.ndarray]:
+        """All ids, packed, and the places in them where each text begins and the last one ends; a null text has none."""
+        cut = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        found = cut.flatten().dictionary_encode()
+        chunks = found.dictionary
+        plain = pc.match_substring_regex(chunks, PLAIN_CHUNK)
+        for mark in self.special:
+            plain = pc.and_not(plain, pc.match_substring(chunks, mark))
+        is_plain = plain.to_numpy(zero_copy_only=False).astype(bool)
+        rest = self._rest(chunks.filter(pc.invert(plain)))
+        ids = pa.concat_arrays([self._plain(chunks.filter(plain)), rest])
+        place = np.where(is_plain, np.cumsum(is_plain), len(chunks) - len(rest) + np.cumsum(~is_plain)) - 1
+        data, ends = _flat(ids.take(pa.array(place[found.indices.to_numpy()])))
+        return data, ends[cut.offsets.to_numpy()]
+
+
+def _flat(values: pa.Array) -> tuple[pa.Buffer, np.ndarray]:
+    """The bytes of a binary array in a row, and its offsets."""
+    ends = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    return values.buffers()[2] or pa.py_buffer(b""), ends
+
+
+def _joined(data: pa.Buffer, ends: np.ndarray) -> pa.Array:
+    offsets = np.concatenate(([0], ends)).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), data])
 
 
 _ENCODERS: dict[int, LibraryEncoder] = {}
@@ -103,8 +190,10 @@ def token_pieces(
         for batch in batches:
             for part in slices(batch, 1, SLICE_BYTES):
                 made: list[tuple] = []
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode_batch(part.column(1).to_pylist())):
-                    ids += last
+                packed, at = encoder.encode(part.column(1))
+                packed = memoryview(packed)
+                for doc, a, b in zip(part.column(0).to_pylist(), at.tolist(), at[1:].tolist()):
+                    ids = bytes(packed[a:b]) + last
                     for at in range(0, len(ids), 4 * size):
                         piece = ids[at : at + 4 * size]
                         made.append((doc, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, piece))
@@ -112,9 +201,9 @@ def token_pieces(
                 arrays = [pa.array(c, pa.int64()) for c in columns[:5]]
                 extra = [pa.array(columns[5], pa.binary())] if with_ids else []
                 yield pa.RecordBatch.from_arrays(arrays + extra, names=names + ["ids"] * with_ids)
-                del made, columns, arrays, extra
+                del made, columns, arrays, extra, packed
                 release()
-        encoder.known = first(encoder.known, RESTING)
+        encoder.words.rest(RESTING)
         release()
 
     return rows.mapInArrow(cut, PIECES + ", ids binary" * with_ids)
