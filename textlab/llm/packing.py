@@ -223,26 +223,31 @@ class Placements:
 def pack_histogram(counts: dict[int, int], size: int = SEQUENCE) -> Placements:
     """Shortest pack first: longest lengths first, each into the pack that is shortest so far, else a new one.
 
-    A pattern is a run of sequences of equal make-up. Placing splits one pattern at most for each length,
-    so the number of patterns follows the number of lengths and not that of documents.
+    A pattern is a run of sequences of equal make-up. Placing splits one pattern at most for each length, and new
+    ones are filled with as many pieces of a length as they hold, so the number of patterns follows the number of
+    lengths and not that of documents.
     """
     shortest: list[tuple[int, int, int]] = []  # used, first sequence, sequences
     placed: list[tuple[int, int, int, int]] = []
     sequences = 0
     for length in sorted(counts, reverse=True):
         rank, left = 0, counts[length]
-        while left:
-            if shortest and shortest[0][0] + length <= size:
-                used, first, many = heapq.heappop(shortest)
-                taken = min(left, many)
-                if taken < many:
-                    heapq.heappush(shortest, (used, first + taken, many - taken))
-            else:
-                used, first, taken = 0, sequences, left
-                sequences += left
+        while left and shortest and shortest[0][0] + length <= size:
+            used, first, many = heapq.heappop(shortest)
+            taken = min(left, many)
+            if taken < many:
+                heapq.heappush(shortest, (used, first + taken, many - taken))
             placed.append((length, rank, first, used))
             heapq.heappush(shortest, (used + length, first, taken))
             rank, left = rank + taken, left - taken
+        # None fits: a new sequence is the shortest until it is full of this length.
+        full, over = divmod(left, size // length)
+        for many, each in ((full, size // length), (1, over)):
+            if many and each:
+                for turn in range(each):
+                    placed.append((length, rank + turn * many, sequences, turn * length))
+                heapq.heappush(shortest, (each * length, sequences, many))
+                rank, sequences = rank + each * many, sequences + many
     columns = np.array(sorted(placed), np.int64).reshape(-1, 4).T
     return Placements(*columns, sequences)
 
