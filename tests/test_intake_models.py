@@ -194,13 +194,13 @@ def test_search_query_runs_every_study(spark, sf_dir, monkeypatch):
 
     given = []
 
-    def search(df, study, n_trials, **options):
-        given.append((study, n_trials, options))
-        return df.sparkSession.createDataFrame([(study, 0, 0.5)], "study string, trial long, value double")
+    def search(df, studies, n_trials, **options):
+        given.append((n_trials, options))
+        return df.sparkSession.createDataFrame([(s, 0, 0.5) for s in studies], "study string, trial long, value double")
 
     monkeypatch.setattr(models, "random_search", search)
-    assert queries.QUERIES["g07_random_search"](spark, sf_dir).count() == len(models.SEARCH_SPACES)
-    assert given == [(study, 50, {}) for study in models.SEARCH_SPACES]
+    found = [r["study"] for name in ("g07_random_search", "g07_tree_search") for r in queries.QUERIES[name](spark, sf_dir).collect()]
+    assert sorted(found) == sorted(models.SEARCH_SPACES) and given == [(50, {})] * 2
 
 
 def test_stored_folds_equal_the_union(spark):
