@@ -315,3 +315,19 @@ def test_pipeline_equals_the_operators(spark, sf_dir):
     fourth = stages["substring_dedup"](spark, spark.createDataFrame(third.collect(), docs.schema), sf_dir)
     want = {d: (t if not n else k) for (d, t), (_, k, n) in zip(rows, cut_plainly(rows, 50))}
     assert {r["doc_id"]: r["text"] for r in fourth.collect()} == want
+
+
+def test_nearest_of_repeated_ids_and_of_extreme_vectors(spark):
+    """A repeated query id asks with its smallest vector whatever the partitions; no square overflows or vanishes."""
+    near = [(i, [float(i), 1.0]) for i in range(1, 11)]
+    rows = near + [(0, [0.5, 1.0]), (0, [10.5, 1.0]), (0, [30.0, 1.0])]
+    for parts in (1, 2, 5):
+        frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(parts)
+        found = neighbours.nearest(frame, F.col("vec_id") == 0, k=3).orderBy("rank").collect()
+        assert [r["vec_id"] for r in found] == [1, 2, 3] and [r["score"] for r in found] == [0.5, 1.5, 2.5]
+    for size in (1e200, 1e-200, 1e307):
+        frame = spark.createDataFrame([(i, [size * (i + 1), size]) for i in range(4)], "vec_id long, embedding array<double>")
+        found = neighbours.nearest(frame, F.col("vec_id") == 0).orderBy("rank").collect()
+        assert [r["vec_id"] for r in found] == [1, 2, 3] and [r["score"] / size for r in found] == pytest.approx([1, 2, 3])
+    frame = spark.createDataFrame([(i, [(-1.0) ** i * 1.7e308] * 3) for i in range(3)], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], r["score"]) for r in neighbours.nearest(frame, F.col("vec_id") == 0).orderBy("rank").collect()] == [(2, 0.0), (1, float("inf"))]

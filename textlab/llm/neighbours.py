@@ -31,6 +31,8 @@ SAMPLE = 4_000  # vectors that width and number of probes are fitted on
 SAMPLE_QUERIES = 100
 TARGET_RECALL = 0.97
 BLOCK_ROWS = 4_096
+LARGE_BUCKETS = 1 << 18  # buckets beyond a block at most: blocks grow where there would be more
+FARTHEST = 2.0**40
 WIDTHS = (2.0, 3.0, 4.0)  # cells, in typical distances of a neighbour
 PART = "block bigint, id bigint, key bigint, vector binary"
 ASKED = "block bigint, id bigint, vector binary, keys binary"
@@ -59,7 +61,10 @@ class Hashing:
         return np.array(list(itertools.product((-1, 0, 1), repeat=self.offsets.shape[1])), np.int64)
 
     def places(self, vectors: np.ndarray, table: int) -> np.ndarray:
-        return (vectors @ self.directions[table]) / self.width + self.offsets[table]
+        """Where vectors lie on each line, in cells; very far ones all lie at the ends."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            place = (vectors @ self.directions[table]) / self.width + self.offsets[table]
+        return np.clip(np.nan_to_num(place, nan=0.0), -FARTHEST, FARTHEST)
 
     @staticmethod
     def keys(cells: np.ndarray, table: int) -> np.ndarray:
@@ -90,11 +95,12 @@ def fit(sample: np.ndarray, rows: int, k: int, tables: int = TABLES, target: flo
     directions = random.normal(size=(tables, sample.shape[1], hashes))
     offsets = random.uniform(size=(tables, hashes))
     asked = np.arange(min(SAMPLE_QUERIES, len(sample)))
-    distance = np.sqrt(np.maximum(((sample[asked, None, :] - sample[None, :, :]) ** 2).sum(axis=2), 0)) if len(sample) else np.empty((0, 0))
     if len(sample) < 2:
         return Hashing(directions, offsets, 1.0, 3**hashes)
-    distance[asked, asked] = np.inf
-    near = np.argsort(distance, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
+    distance = np.stack([euclidean(sample, v) for v in sample[asked]])
+    order = distance.copy()
+    order[asked, asked] = np.inf
+    near = np.argsort(order, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
     typical = float(np.median(np.take_along_axis(distance, near, axis=1))) or 1.0
     best: tuple[float, Hashing] | None = None
     for width in WIDTHS:
@@ -145,6 +151,25 @@ def _block(keys: np.ndarray, part: np.ndarray | int, blocks: int) -> np.ndarray:
     return (_mix(keys.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * np.asarray(part, np.uint64)) % np.uint64(blocks)).astype(np.int64)
 
 
+def euclidean(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """Distances of all rows to a vector, also where squares are too large or too small for a double.
+
+    A distance beyond the largest double is infinite.
+    """
+    with np.errstate(over="ignore", invalid="ignore", under="ignore"):
+        squared = ((matrix - vector) ** 2).sum(axis=1)
+        odd = np.flatnonzero(~((squared > 1e-280) & (squared < 1e300)))
+        out = np.sqrt(squared)
+        if len(odd):  # powers of two change no digit
+            a = matrix[odd]
+            first = np.frexp(np.maximum(np.abs(a), np.abs(vector)).max(axis=1, initial=0))[1][:, None] + 1
+            gap = np.ldexp(a, -first) - np.ldexp(vector, -first)
+            second = np.frexp(np.abs(gap).max(axis=1, initial=0))[1][:, None]
+            root = np.sqrt((np.ldexp(gap, -second) ** 2).sum(axis=1))
+            out[odd] = np.ldexp(np.ldexp(root, second[:, 0]), first[:, 0])
+    return out
+
+
 def _search(key: tuple, parts: pa.Table, asked: pa.Table, k: int) -> pa.Table:
     """The k best of a block for each query that visits it."""
     ids = parts["id"].to_numpy()
@@ -156,11 +181,12 @@ def _search(key: tuple, parts: pa.Table, asked: pa.Table, k: int) -> pa.Table:
         if not len(ids):
             break
         rows = np.flatnonzero((ids != query) if wanted is None else (np.isin(keys, np.frombuffer(wanted, "<i8")) & (ids != query)))
-        score = np.sqrt(((matrix[rows] - np.frombuffer(vector, "<f8")) ** 2).sum(axis=1))
+        score = euclidean(matrix[rows], np.frombuffer(vector, "<f8"))
         best = np.full(len(each), np.inf)  # an id counts once, whatever tables or rows brought it
         np.minimum.at(best, place[rows], score)
-        last = np.partition(best, k - 1)[k - 1] if len(best) > k else np.inf
-        near = np.flatnonzero((best <= last) & (best < np.inf))
+        here = np.unique(place[rows])
+        last = np.partition(best[here], k - 1)[k - 1] if len(here) > k else np.inf
+        near = here[best[here] <= last]
         near = near[np.lexsort((each[near], best[near]))][:k]
         found.append((query, each[near], best[near]))
     sizes = [len(f[1]) for f in found]
@@ -182,6 +208,7 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 def _probe(rows: DataFrame, queries: DataFrame, hashing: Hashing, total: int, k: int, block_rows: int) -> DataFrame:
     tables = len(hashing.offsets)
+    block_rows = max(block_rows, total * tables // LARGE_BUCKETS)
     blocks = blocks_for(total * tables, block_rows)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,13 +222,20 @@ def _probe(rows: DataFrame, queries: DataFrame, hashing: Hashing, total: int, k:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), packed], names=["id", "key", "vector"])
 
     index = rows.mapInArrow(keyed, "id bigint, key bigint, vector binary")
-    # Buckets larger than a block: one row for each block_rows entries at most.
-    large = {r["key"]: math.ceil(r["count"] / block_rows) for r in index.groupBy("key").count().where(F.col("count") > block_rows).collect()}
+    # Buckets larger than a block. Their sizes add up to all entries, so there are LARGE_BUCKETS of them at most.
+    large = index.groupBy("key").count().where(F.col("count") > block_rows).orderBy("key").toArrow()
+    large_keys, large_pieces = large["key"].to_numpy(), -(-large["count"].to_numpy() // block_rows)
+
+    def pieces_of(keys: np.ndarray) -> np.ndarray:
+        if not len(large_keys):
+            return np.ones(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(large_keys, keys), len(large_keys) - 1)
+        return np.where(large_keys[at] == keys, large_pieces[at], 1)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(1).to_numpy()
-            pieces = np.array([large.get(key, 1) for key in keys.tolist()], np.uint64)
+            pieces = pieces_of(keys).astype(np.uint64)
             part = np.zeros(len(keys), np.uint64)
             several = np.flatnonzero(pieces > 1)
             # By the whole row, so that an id with very many vectors is split too.
@@ -215,7 +249,7 @@ def _probe(rows: DataFrame, queries: DataFrame, hashing: Hashing, total: int, k:
             made: list[tuple] = []
             for query, vector in zip(batch.column(0).to_pylist(), _matrix(batch.column(1))):
                 keys = np.concatenate([hashing.visited(vector, t, steps) for t in range(tables)])
-                pieces = np.array([large.get(key, 1) for key in keys.tolist()], np.int64)
+                pieces = pieces_of(keys)
                 keys = np.repeat(keys, pieces)
                 part = np.arange(len(keys)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
                 block = _block(keys, part, blocks)
@@ -269,8 +303,9 @@ def nearest(
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` nearest found of each row for which ``asks`` holds.
 
-    ``score`` is the Euclidean distance in double precision. Ties go to the smaller id. A query is no
-    candidate of its own, nor is a row of the same id; of rows that repeat an id the nearest counts. Rows
+    ``score`` is the Euclidean distance in double precision, infinite where none can hold it. Ties go to the
+    smaller id. A query is no candidate of its own, nor is a row of the same id. A query whose id repeats asks with
+    its smallest vector, compared component by component; of candidates that repeat an id the nearest counts. Rows
     without id, with a null, zero or not finite vector, or of another than the commonest length take no
     part. A query gets fewer than ``k`` rows only if there are fewer candidates. Width and probes are
     fitted on ``SAMPLE`` rows; every distinct row is indexed.
@@ -279,7 +314,7 @@ def nearest(
     distinct = scratch_path(spark, "vectors")
     usable(vectors, id_col, vector_col).dropDuplicates(["id", "vector"]).write.parquet(distinct)
     rows = spark.read.parquet(distinct)
-    queries = usable(vectors.where(asks), id_col, vector_col).dropDuplicates(["id"])
+    queries = usable(vectors.where(asks), id_col, vector_col).groupBy("id").agg(F.min("vector").alias("vector"))
     total = rows.count()
     drawn = rows.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(SAMPLE).toArrow()
     hashing = fit(_matrix(drawn["vector"]), total, k, target=target, seed=seed)
