@@ -107,14 +107,17 @@ def test_early_stop(spark):
     assert metrics.early_stop_step(trace).head().stop_step == 5
 
 
-@pytest.mark.parametrize("hot", [0.0, 0.9])
-def test_running_values_match_plain_python_under_skew(spark, hot):
+@pytest.mark.parametrize("hot, most, spacing", [(0.0, 1024, 1), (0.9, 1024, 3), (0.9, 4, 2)])
+def test_running_values_match_plain_python_under_skew(spark, hot, most, spacing):
+    """Rows with even, spaced and exponentially spaced order values; one and two levels of buckets."""
     rng = random.Random(3)
-    rows = [(0 if rng.random() < hot else rng.randrange(5), i, rng.randrange(100)) for i in range(3000)]
+    rows = [(0 if rng.random() < hot else rng.randrange(5), i**spacing, rng.randrange(100)) for i in range(3000)]
     df = spark.createDataFrame(rows, "g int, o bigint, v bigint")
-    bucketed = with_order_bucket(df, "o", 64)
-    biggest = bucketed.groupBy("_b").count().agg(F.max("count")).head()[0]
-    assert biggest <= 3 * 3000 / 64
+    bucketed = with_order_bucket(df, "o", 64, most)
+    levels = [c for c in ("_a", "_b") if c in bucketed.columns]
+    assert levels == ["_a"] + ["_b"] * (most == 4)
+    sizes = [r["count"] for r in bucketed.groupBy(*levels).count().collect()]
+    assert max(sizes) <= 1.5 * 64 and len(sizes) >= 3000 / 64
     got = running(bucketed, ["g"], ["o"], {"s": ("sum", F.col("v")), "m": ("max", F.col("v"))}).collect()
     sums, tops = {}, {}
     expected = {}
@@ -122,14 +125,21 @@ def test_running_values_match_plain_python_under_skew(spark, hot):
         sums[g], tops[g] = sums.get(g, 0) + v, max(tops.get(g, -1), v)
         expected[o] = (sums[g], tops[g])
     assert {r.o: (r.s, r.m) for r in got} == expected
+    whole = running(df, ["g"], ["o"], {"s": ("sum", F.col("v")), "m": ("max", F.col("v"))}).collect()
+    assert {r.o: (r.s, r.m) for r in whole} == expected
 
 
-def test_previous_value_across_buckets(spark):
-    rows = [(1, i * 3, f"v{i}") for i in range(50)] + [(2, 5, "x")]
+@pytest.mark.parametrize("most", [1024, 3])
+def test_previous_value_across_buckets(spark, monkeypatch, most):
+    from textlab.plans import ordered
+
+    monkeypatch.setattr(ordered.with_order_bucket, "__defaults__", (ordered.BUCKET_ROWS, most))
+    rows = [(1, i * 3, None if i == 7 else f"v{i}") for i in range(50)] + [(2, 5, "x"), (3, 0, "a"), (3, 10**6, "b"), (None, 2, "n"), (None, 149, "m")]
     df = spark.createDataFrame(rows, "g int, o bigint, v string")
-    got = {(r.g, r.o): r.p for r in previous_value(df, ["g"], "o", "v", "p", width=8).collect()}
-    assert got[(2, 5)] is None and got[(1, 0)] is None
-    assert all(got[(1, i * 3)] == f"v{i - 1}" for i in range(1, 50))
+    for bucket_rows in (8, 3, 1000):
+        got = {(r.g, r.o): r.p for r in previous_value(df, ["g"], "o", "v", "p", bucket_rows).collect()}
+        assert got[(2, 5)] is None and got[(1, 0)] is None and got[(3, 10**6)] == "a" and got[(None, 149)] == "n" and len(got) == 55
+        assert all(got[(1, i * 3)] == (None if i == 8 else f"v{i - 1}") for i in range(1, 50))
 
 
 def test_running_f1(spark):

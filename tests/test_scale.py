@@ -30,7 +30,7 @@ def test_running_values_of_a_null_group(spark):
     made = ordered.running(frame.withColumn("_b", F.floor(F.col("at") / 2)), ["g"], ["at"], {"s": ("sum", F.col("v"))}).collect()
     assert sorted(r["s"] for r in made if r["g"] is None) == [1, 2, 3, 4, 5]
     assert sorted(r["s"] for r in made if r["g"] == "g") == [2, 4, 6, 8, 10]
-    before = ordered.previous_value(frame, ["g"], "at", "at", "p", width=2).collect()
+    before = ordered.previous_value(frame, ["g"], "at", "at", "p", 2).collect()
     assert len(before) == 10 and {r["at"]: r["p"] for r in before if r["g"] is None} == {0: None, 1: 0, 2: 1, 3: 2, 4: 3}
 
 

@@ -176,7 +176,7 @@ def good_trials(trials: DataFrame, min_value: float = 0.56) -> DataFrame:
 def numbered_steps(history: DataFrame, trial: str, ts: str, tie: str) -> DataFrame:
     """Add ``step`` (1..n per trial in order of ``ts``, then ``tie``) without a window per whole trial."""
     bucketed = with_order_bucket(history.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp"))), "_at")
-    return running(bucketed, [trial], ["_at", tie], {"step": ("sum", F.lit(1))}).drop("_at", "_b")
+    return running(bucketed, [trial], ["_at", tie], {"step": ("sum", F.lit(1))}).drop("_at", "_a", "_b")
 
 
 def early_stop_trace(history: DataFrame, patience: int = 3) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Rows are put into buckets; windows run inside a bucket, and what earlier buckets
 contribute comes from a small table with one row per bucket. Ranks take about the
-root of the rows as buckets, running values a given number of even ranges.
+root of the rows as buckets, running values even ranges of a bounded number of rows.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ORDER_BUCKETS = 1024
+BUCKET_ROWS = 1 << 15
+MOST_RANGES = 1024
 
 
 def join_same(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
@@ -72,26 +73,48 @@ def class_rank(
     )
 
 
-def with_order_bucket(df: DataFrame, order: str, buckets: int = ORDER_BUCKETS) -> DataFrame:
-    """Add ``_b``: which of ``buckets`` even ranges of ``order`` a row falls into.
+def _upper(position: Column, splits: Column, ranges: int) -> Column:
+    """How many of the ascending ``splits`` (fewer than ``ranges``) are not above ``position``, by halving."""
+    halves = F.array(*[F.lit(2**i) for i in range((ranges - 1).bit_length() - 1, -1, -1)])
+    return F.aggregate(
+        halves, F.lit(0), lambda at, step: F.when(F.get(splits, at + step - 1) <= position, at + step).otherwise(at)
+    )
+
+
+def _quantiles(position: Column, ranges: int) -> Column:
+    steps = F.expr("array(" + ", ".join(f"{i / ranges}D" for i in range(1, ranges)) + ")")
+    return F.percentile_approx(position, steps, F.lit(20 * ranges))
+
 
-    The ranges are quantiles of the whole table, so every bucket holds about
-    rows / buckets rows however the groups and the order values are spread. The
-    split points are one value of ``buckets`` numbers.
+def with_order_bucket(df: DataFrame, order: str, bucket_rows: int = BUCKET_ROWS, most: int = MOST_RANGES) -> DataFrame:
+    """Rows with the range of ``order`` they fall into, so that a range of distinct values holds about
+    ``bucket_rows`` rows (half as many again at most) whatever the size of the table and the spacing of the values.
+
+    The split points are quantiles of the whole table, as many as its measured rows ask for. Up to ``most``
+    ranges are one level, the column ``_a``; beyond, each of about the root of the number is cut again by
+    quantiles of its own, ``_b``. A table of one bucket gets no column. ``running`` and ``previous_value`` go
+    by the columns that are there.
     """
+    buckets = math.ceil(df.count() / bucket_rows)
+    if buckets <= 1:
+        return df
     position = F.col(order).cast("double")
-    steps = F.expr("array(" + ", ".join(f"{i / buckets}D" for i in range(1, buckets)) + ")")
-    splits = df.select(F.percentile_approx(position, steps, F.lit(10 * buckets)).alias("s")).scalar()
-    # Binary search: halve the step from buckets/2 down to 1.
-    halves = F.array(*[F.lit(2**i) for i in range((buckets - 1).bit_length() - 1, -1, -1)])
-    return df.withColumn("_splits", splits).withColumn(
-        "_b",
-        F.aggregate(
-            halves,
-            F.lit(0),
-            lambda at, step: F.when(F.get(F.col("_splits"), at + step - 1) <= position, at + step).otherwise(at),
-        ),
-    ).drop("_splits")
+    ranges = buckets if buckets <= most else math.ceil(math.sqrt(buckets))
+    splits = df.select(_quantiles(position, ranges).alias("s")).scalar()
+    cut = df.withColumn("_splits", splits).withColumn("_a", _upper(position, F.col("_splits"), ranges)).drop("_splits")
+    if ranges == buckets:
+        return cut
+    inner = math.ceil(buckets / ranges)
+    own = cut.groupBy("_a").agg(_quantiles(position, inner).alias("_splits"))
+    return cut.join(own, "_a").withColumn("_b", _upper(position, F.col("_splits"), inner)).drop("_splits")
+
+
+def _levels(df: DataFrame) -> list[str]:
+    return [c for c in ("_a", "_b") if c in df.columns]
+
+
+def _partition(columns: list[str]) -> list[Column]:
+    return [F.col(c) for c in columns] or [F.lit(0)]
 
 
 def running(
@@ -101,57 +124,73 @@ def running(
     values: dict[str, tuple[str, Column]],
     inclusive: bool = True,
 ) -> DataFrame:
-    """Running ``sum`` / ``max`` columns per group over bucketed rows (needs ``_b``).
+    """Running ``sum`` / ``max`` columns per group over the rows of ``with_order_bucket``.
 
     ``values`` maps the new column to (function, input). ``inclusive=False``
-    leaves the current row out.
+    leaves the current row out. Windows run over the rows of a bucket, over the buckets of a range, and over
+    the ranges of a group.
     """
     functions = {"sum": F.sum, "max": F.max}
-    group = [F.col(k) for k in keys]
-    per_bucket = df.groupBy(*keys, "_b").agg(
-        *[functions[f](c).alias(f"_{name}") for name, (f, c) in values.items()]
-    )
-    # At most ORDER_BUCKETS rows per group.
-    earlier = W.partitionBy(*(group or [F.lit(0)])).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    carried = per_bucket.select(
-        *keys,
-        "_b",
-        *[functions[f](f"_{name}").over(earlier).alias(f"_c_{name}") for name, (f, _) in values.items()],
-    )
+    levels = _levels(df)
+
+    def joined(f: str, a: Column, b: Column) -> Column:
+        return F.greatest(a, b) if f == "max" else F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
+
+    carried = None
+    for depth, level in enumerate(levels):
+        above, own = [*keys, *levels[:depth]], [*keys, *levels[: depth + 1]]
+        totals = df.groupBy(*own).agg(*[functions[f](c).alias(f"_{name}") for name, (f, c) in values.items()])
+        earlier = W.partitionBy(*_partition(above)).orderBy(level).rowsBetween(W.unboundedPreceding, -1)
+        part = totals.select(*own, *[functions[f](f"_{name}").over(earlier).alias(f"_c_{name}") for name, (f, _) in values.items()])
+        if carried is not None:
+            before = carried.select(*above, *[F.col(f"_c_{name}").alias(f"_d_{name}") for name in values])
+            part = join_same(part, before, above).select(
+                *own, *[joined(f, F.col(f"_c_{name}"), F.col(f"_d_{name}")).alias(f"_c_{name}") for name, (f, _) in values.items()]
+            )
+        carried = part
     inside = (
-        W.partitionBy(*group, "_b")
+        W.partitionBy(*_partition([*keys, *levels]))
         .orderBy(*order)
         .rowsBetween(W.unboundedPreceding, W.currentRow if inclusive else -1)
     )
     out = df
     for name, (f, c) in values.items():
         out = out.withColumn(f"_i_{name}", functions[f](c).over(inside))
-    out = join_same(out, carried, [*keys, "_b"])
+    if carried is not None:
+        out = join_same(out, carried, [*keys, *levels])
     for name, (f, _) in values.items():
-        inner, carry = F.col(f"_i_{name}"), F.col(f"_c_{name}")
-        joined = F.greatest(inner, carry) if f == "max" else F.coalesce(inner, F.lit(0)) + F.coalesce(carry, F.lit(0))
-        out = out.withColumn(name, joined).drop(f"_i_{name}", f"_c_{name}")
+        carry = F.lit(None) if carried is None else F.col(f"_c_{name}")
+        whole = F.col(f"_i_{name}") if carried is None and f == "max" else joined(f, F.col(f"_i_{name}"), carry)
+        out = out.withColumn(name, whole).drop(f"_i_{name}", f"_c_{name}")
     return out
 
 
 def previous_value(
-    df: DataFrame, keys: list[str], order: str, value: str, name: str, width: int = 4096
+    df: DataFrame, keys: list[str], order: str, value: str, name: str, bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
-    """``lag(value)`` per group by a whole-number ``order`` that is unique in the group.
+    """``lag(value)`` per group by a numeric ``order`` that is unique in the group.
 
-    A bucket is a range of ``width`` order values, so it holds at most ``width``
-    rows; the first row of a bucket takes the last value of the bucket before.
+    The first row of a bucket takes the last value of the bucket before, and the first of a range that of the
+    range before; see ``with_order_bucket`` for how many rows a bucket holds.
     """
-    bucketed = df.withColumn("_b", F.floor(F.col(order) / width))
-    group = [F.col(k) for k in keys]
-    last = bucketed.groupBy(*keys, "_b").agg(F.max_by(value, order).alias("_last"))
-    carried = last.select(
-        *keys, "_b", F.lag("_last").over(W.partitionBy(*group).orderBy("_b")).alias("_carry")
-    )
-    inside = W.partitionBy(*group, "_b").orderBy(order)
-    marked = bucketed.withColumn("_lag", F.lag(value).over(inside)).withColumn("_first", F.row_number().over(inside) == 1)
+    bucketed = with_order_bucket(df, order, bucket_rows)
+    levels = _levels(bucketed)
+    held = F.struct(F.col(value).alias("v"))  # tells a null value from no row
+    carried = None
+    for depth, level in enumerate(levels):
+        above, own = [*keys, *levels[:depth]], [*keys, *levels[: depth + 1]]
+        last = bucketed.groupBy(*own).agg(F.max_by(held, order).alias("_last"))
+        part = last.select(*own, F.lag("_last").over(W.partitionBy(*_partition(above)).orderBy(level)).alias("_carry"))
+        if carried is not None:
+            before = carried.select(*above, F.col("_carry").alias("_before"))
+            part = join_same(part, before, above).select(*own, F.coalesce("_carry", "_before").alias("_carry"))
+        carried = part
+    inside = W.partitionBy(*_partition([*keys, *levels])).orderBy(order)
+    marked = bucketed.withColumn("_lag", F.lag(held).over(inside))
+    if carried is None:
+        return marked.withColumn(name, F.col("_lag.v")).drop("_lag")
     return (
-        join_same(marked, carried, [*keys, "_b"])
-        .withColumn(name, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag")))
-        .drop("_b", "_lag", "_first", "_carry")
+        join_same(marked, carried, [*keys, *levels])
+        .withColumn(name, F.coalesce("_lag", "_carry")["v"])
+        .drop(*levels, "_lag", "_carry")
     )
