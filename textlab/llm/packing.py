@@ -30,9 +30,9 @@ from textlab.plans.durable import scratch_path
 
 SEQUENCE = 4096
 END_ID = 2
-KNOWN_WORDS = 200_000  # encodings in a generation of a task's memory; forgetting only costs time
+KNOWN_WORDS = 150_000  # encodings in a generation of a task's memory; forgetting only costs time
 JOINED = 2_000
-SLICE_BYTES = 16 << 20  # of texts that are encoded together
+SLICE_BYTES = 8 << 20  # of texts that are encoded together
 PLAIN_CHUNK = f"^{PLAIN.pattern}$"
 PLAIN_WORDS = re.compile(PLAIN_PIECE.pattern.replace("[^", "[^\\n") + "|\n")
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
