@@ -16,6 +16,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +25,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textlab.llm.bpe import PLAIN, PLAIN_PIECE, RESTING, byte_letters, definition_of, first, slices
+from textlab.llm.bpe import PLAIN, PLAIN_PIECE, byte_letters, definition_of, first, slices
 from textlab.llm.common import release
 from textlab.plans.durable import scratch_path
 
 SEQUENCE = 4096
 END_ID = 2
-KNOWN_WORDS = 150_000  # encodings in a generation of a task's memory; forgetting only costs time
+KNOWN_WORDS = 80_000  # encodings in a generation of a task's memory; forgetting only costs time
+RESTING_WORDS = 40_000  # that an idle worker keeps
 JOINED = 2_000
-SLICE_BYTES = 8 << 20  # of texts that are encoded together
+SLICE_BYTES = 4 << 20  # of texts that are encoded together
 PLAIN_CHUNK = f"^{PLAIN.pattern}$"
 PLAIN_WORDS = re.compile(PLAIN_PIECE.pattern.replace("[^", "[^\\n") + "|\n")
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
@@ -74,7 +76,7 @@ class LibraryEncoder:
 
         described = json.loads(definition)
         suffix = described["model"]["end_of_word_suffix"]
-        self.library = Tokenizer.from_str(definition)  # for normalising and cutting unusual chunks
+        self.definition = definition
         self.special = {t["content"]: t["id"] for t in described["added_tokens"]}
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         bare = dict.fromkeys(("normalizer", "pre_tokenizer", "post_processor", "decoder", "truncation", "padding"))
@@ -87,6 +89,16 @@ class LibraryEncoder:
             raise ValueError("the vocabulary does not spell every byte")
         self.words = Memory(KNOWN_WORDS)
 
+    @cached_property
+    def library(self):
+        """The whole tokenizer, for normalising and cutting unusual chunks; without its vocabulary, which that does not take."""
+        from tokenizers import Tokenizer
+
+        described = json.loads(self.definition)
+        letters = list(self.letters.values())
+        model = {"type": "BPE", "vocab": {letter: i for i, letter in enumerate(letters)}, "merges": []}
+        return Tokenizer.from_str(json.dumps(described | {"model": model, "added_tokens": [], "post_processor": None, "truncation": None, "padding": None}))
+
     def _lettered(self, word: str) -> str:
         """A word in the letters that stand for its bytes."""
         return word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
@@ -203,7 +215,7 @@ def token_pieces(
                 yield pa.RecordBatch.from_arrays(arrays + extra, names=names + ["ids"] * with_ids)
                 del made, columns, arrays, extra, packed
                 release()
-        encoder.words.rest(RESTING)
+        encoder.words.rest(RESTING_WORDS)
         release()
 
     return rows.mapInArrow(cut, PIECES + ", ids binary" * with_ids)
