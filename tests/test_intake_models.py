@@ -188,6 +188,41 @@ def test_text_pipeline_round_trip(spark, tmp_path):
     assert report.where("label = 'accuracy'").head().f1 == 1.0 and outcomes.count() == 60
 
 
+@pytest.mark.parametrize("weighting", ["embedding", "embedding_oov_zero"])
+def test_pipeline_on_word_vectors(spark, tmp_path, weighting):
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.functions import vector_to_array
+
+    from textlab.operators import features
+    from textlab.operators.local_model import lime_explain
+
+    rows = [(i, ("good fine " if i % 2 else "bad awful ") * (1 + i % 3) + f"unknown{i % 7}", i % 2, i * 1.5) for i in range(60)]
+    rows += [(60, "", 0, 0.0), (61, None, 1, 0.0), (62, "nothing known", 0, 0.0), (63, "good " * 3000, 1, 0.0)]
+    df = spark.createDataFrame(rows, "id bigint, text string, label int, other double")
+    vectors = spark.createDataFrame([("good", [1.0, 0.5]), ("fine", [0.5, 1.0]), ("bad", [-1.0, 0.25]), ("awful", [-0.5, -1.0])], "word string, vec array<double>")
+    path = str(tmp_path / "m")
+    model, pred = models.train_and_evaluate(
+        df, models.linear(max_iter=10), F.col("text"), model_path=path, weighting=weighting, vectors=vectors
+    )
+    assert pred.count() == 13
+    oov = "zero" if weighting == "embedding_oov_zero" else "skip"
+    want = {r.id: r.vec for r in features.mean_embedding(df, "id", "text", vectors, 2, oov).collect()}
+    stored = PipelineModel.load(path)
+    # A features column of the caller's is replaced, other columns stay.
+    answered = stored.transform(df.withColumn("features", F.lit(0)))
+    assert answered.columns[:4] == ["id", "text", "label", "other"]
+    got = {r.id: list(r.v) for r in answered.select("id", vector_to_array("features").alias("v")).collect()}
+    assert got == want and want[60] == want[61] == want[62] == [0.0, 0.0] and want[63] == [1.0, 0.5]
+    assert want[3] == pytest.approx([0.75 * 2 / (2 + (oov == "zero") / 1), 0.75 * 2 / (2 + (oov == "zero") / 1)])
+    assert sorted(models.predictions(stored, df).collect()) == sorted(models.predictions(model, df).collect())
+    report, _ = models.score_table(stored, df.where("id < 60"))
+    assert report.where("label = 'accuracy'").head().f1 == 1.0
+    with pytest.raises(ValueError, match="word vectors"):
+        models.fit_vectorizer(df, weighting=weighting)
+    with pytest.raises(ValueError, match="in place"):
+        lime_explain(df, stored, "id", "text")
+
+
 def test_search_query_runs_every_study(spark, sf_dir, monkeypatch):
     from textlab.operators import models
     from textlab.testbed import queries

@@ -150,3 +150,31 @@ def test_running_f1(spark):
     for i in range(60):
         rep = python_report(pairs[: i + 1])
         assert got[i] == pytest.approx(sum(v[2] * v[3] for v in rep.values()) / (i + 1))
+
+
+@pytest.mark.parametrize("case", ["even", "spread", "ties", "one", "tiny", "wide"])
+def test_quantiles_by_narrowing_counts(spark, case):
+    import numpy as np
+
+    from textlab.plans.ordered import exact_quantile, kth_smallest
+
+    rng = np.random.default_rng(5)
+    values = {
+        "even": rng.random(3000), "spread": 10.0 ** rng.uniform(-280, 280, 400), "ties": rng.integers(0, 4, 999).astype(float),
+        "one": np.array([7.0]), "tiny": np.array([0.0, 5e-324, 1e-323, 1.0, np.nextafter(1.0, 2)]),
+        "wide": np.array([-1.7e308, 1.7e308, 0.0, 1.0, -1.0]),
+    }[case]
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(3)
+    ordered = np.sort(values)
+    for k in {0, len(values) // 3, len(values) - 1}:
+        assert kth_smallest(df, "v", k, accuracy=50, few=20) == ordered[k]
+    at = 0.95 * (len(values) - 1)
+    low, high = ordered[int(at)], ordered[min(int(at) + 1, len(values) - 1)]
+    assert exact_quantile(df, "v", 0.95) == pytest.approx(low * (1 - at % 1) + high * (at % 1), rel=1e-12)
+
+
+def test_length_stats_without_lengths_and_with_long_ones(spark):
+    none = spark.createDataFrame([(None,)], "n bigint")
+    assert metrics.length_stats(none, "n").collect() == [(None, None)] == metrics.length_stats(none.limit(0), "n").collect()
+    some = spark.range(1, 20_002).select((F.col("id") * 3).alias("n"))
+    assert metrics.length_stats(some, "n").collect() == [(60_003, 57_003)]

@@ -120,10 +120,10 @@ def token_totals(features: DataFrame, tokens: list[str], value: str = "tf") -> D
     return filled.withColumn("place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("total", "token")))
 
 
-def mean_embedding(
-    df: DataFrame, id_col: str, text_col: str, vectors: DataFrame, dim: int, oov: str = "skip"
+def with_mean_embedding(
+    df: DataFrame, id_col: str, text_col: str, vectors: DataFrame, dim: int, oov: str = "skip", name: str = "vec"
 ) -> DataFrame:
-    """id and ``vec``: mean of the word vectors over all occurrences, zeros if there is none.
+    """The rows of ``df`` with the mean of the word vectors over all occurrences, zeros if there is none.
 
     ``oov="zero"`` counts unknown words as zero vectors, which shortens the mean.
     The sums are one column per dimension, so nothing is exploded per dimension
@@ -140,10 +140,16 @@ def mean_embedding(
         F.sum("tf").alias("_known"),
         *[F.sum(F.get("vec", F.lit(i)).cast("double") * F.col("tf")).alias(f"_{i}") for i in range(dim)],
     )
-    size = F.size(words(F.col(text_col))) if oov == "zero" else F.lit(None)
-    base = df.select(id_col, size.alias("_size"))
-    divisor = F.col("_size") if oov == "zero" else F.col("_known")
-    joined = base.join(sums, id_col, "left")
-    return joined.select(
-        id_col, F.array(*[F.coalesce(F.col(f"_{i}") / divisor, F.lit(0.0)) for i in range(dim)]).alias("vec")
-    )
+    # Sized before the join, so that the text itself need not go through it.
+    size = F.size(words(F.col(text_col))) if oov == "zero" else F.lit(None).cast("int")
+    joined = df.withColumn("_size", size).join(sums, id_col, "left")
+    by = F.col("_size") if oov == "zero" else F.col("_known")
+    mean = F.array(*[F.coalesce(F.col(f"_{i}") / by, F.lit(0.0)) for i in range(dim)])
+    return joined.select(*df.columns, mean.alias(name))
+
+
+def mean_embedding(
+    df: DataFrame, id_col: str, text_col: str, vectors: DataFrame, dim: int, oov: str = "skip"
+) -> DataFrame:
+    """id and ``vec``, see ``with_mean_embedding``."""
+    return with_mean_embedding(df.select(id_col, text_col), id_col, text_col, vectors, dim, oov).select(id_col, "vec")

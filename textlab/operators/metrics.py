@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textlab.functions.scores import outcome
-from textlab.plans.ordered import running, with_order_bucket
+from textlab.plans.ordered import exact_quantile, running, with_order_bucket
 
 
 def class_distribution(df: DataFrame, label: str) -> DataFrame:
@@ -226,12 +226,15 @@ def running_f1(pred: DataFrame, order: str, length: Column) -> DataFrame:
 
 
 def length_stats(df: DataFrame, length: str, accuracy: int | None = None) -> DataFrame:
-    """Longest and 95th percentile (linear interpolation, truncated).
+    """Longest and 95th percentile (linear interpolation, truncated); a row, of nulls without lengths.
 
-    Exact by default; ``accuracy`` switches to the mergeable sketch, whose state
-    stays small on tables with very many different lengths.
+    Exact by default, by passes of counts over ``df`` when it is called; ``accuracy`` switches to the mergeable sketch
+    of a single pass.
     """
-    p95 = F.percentile(length, 0.95) if accuracy is None else F.percentile_approx(length, 0.95, accuracy)
+    if accuracy is None:
+        p95 = F.lit(exact_quantile(df, length, 0.95)).cast("double")
+    else:
+        p95 = F.percentile_approx(length, 0.95, accuracy)
     return df.agg(F.max(length).alias("max_length"), F.floor(F.round(p95, 6)).cast("bigint").alias("p95_length"))
 
 

@@ -194,3 +194,43 @@ def previous_value(
         .withColumn(name, F.coalesce("_lag", "_carry")["v"])
         .drop(*levels, "_lag", "_carry")
     )
+
+
+def kth_smallest(values: DataFrame, column: str, k: int, accuracy: int = 10_000, few: int = 10_000) -> float:
+    """The value with ``k`` others before it in ascending order, exactly; nulls do not count.
+
+    A pass takes two values around the place from a mergeable sketch, counts what lies before, between and after
+    them, and goes on in the part that holds the place: about 4 of ``accuracy`` rows. Passes grow with the
+    logarithm of the rows, however the values are spread. ``few`` numbers at most reach the driver, and no task
+    holds the distinct values.
+    """
+    x = F.col(column).cast("double")
+    inside = values.where(x.isNotNull())
+    n = inside.count()
+    while n > few:
+        around = [min(1.0, max(0.0, k / n + d / accuracy)) for d in (-2, 2)]
+        a, b = inside.agg(F.percentile_approx(x, around, accuracy)).first()[0]
+        part = F.when(x < a, 0).when(x == a, 1).when(x < b, 2).when(x == b, 3).otherwise(4).alias("part")
+        counted = inside.groupBy(part).agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("low"), F.max(x).alias("high"))
+        for row in sorted(counted.collect(), key=lambda r: r.part):
+            if k < row.n:
+                break
+            k -= row.n
+        if row.low == row.high:
+            return row.low
+        inside, n = values.where(x.between(row.low, row.high)), row.n
+    return sorted(r[0] for r in inside.select(x).collect())[k]
+
+
+def exact_quantile(values: DataFrame, column: str, q: float) -> float | None:
+    """Quantile with linear interpolation between neighbours, from ``kth_smallest``; null without values."""
+    x = F.col(column).cast("double")
+    n = values.where(x.isNotNull()).count()
+    if n == 0:
+        return None
+    at = q * (n - 1)
+    lower = kth_smallest(values, column, int(at))
+    up_to, beyond = values.agg(F.count(F.when(x <= lower, 1)), F.min(F.when(x > lower, x))).first()
+    upper = lower if up_to > int(at) + 1 or beyond is None else beyond
+    part = at - int(at)
+    return lower * (1 - part) + upper * part

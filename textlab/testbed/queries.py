@@ -1213,6 +1213,17 @@ def g08(spark, d):
     return checkpointed(pred)
 
 
+@query("g08_train_on_embeddings")
+def g08_embeddings(spark, d):
+    """As g08, on means of word vectors."""
+    docs = labeled(spark, d)
+    vectors = checkpointed(views.word_vectors(spark, d))
+    _, pred = models.train_and_evaluate(
+        docs, models.linear("l2", c=100.0), F.col("text"), weighting="embedding", vectors=vectors
+    )
+    return checkpointed(pred)
+
+
 @query("g09_score_table")
 def g09(spark, d):
     docs = labeled(spark, d)
