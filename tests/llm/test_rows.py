@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textlab.llm import bpe, exact, packing, pages, shards, urls
+from textlab.llm import bpe, exact, near, packing, pages, quality, shards, urls
 from textlab.llm.queries import QUERIES, URL_RULES, word_bpe
 
 
@@ -67,6 +67,49 @@ def test_external_shuffle(documents, no_documents):
     assert shards.external_shuffle(no_documents, 3).count() == 0
 
 
+def test_external_shuffle_equals_a_plain_one(documents):
+    whole = collect(documents.drop("shard"))
+    buckets = shards.blocks_for(sum(len((r["text"] or "").encode()) + 1 for r in whole), 4000)
+    placed = collect(shards.scattered(documents.drop("shard"), buckets, 17, "b", "m"))
+    order = []
+    for b in range(buckets):
+        some = sorted((r for r in placed if r["b"] == b), key=lambda r: ((r["doc_id"] is None, r["doc_id"] or 0), (r["text"] is None, r["text"] or ""), r["m"]))
+        turn = np.arange(len(some))
+        np.random.Generator(np.random.PCG64([17, b])).shuffle(turn)
+        order += [some[i] for i in turn]
+    assert buckets > 2
+    cut = [i * len(order) // 3 for i in range(4)]
+    want = [(r["doc_id"], r["text"], s, i - cut[s]) for s in range(3) for i, r in enumerate(order) if cut[s] <= i < cut[s + 1]]
+    got = [(r["doc_id"], r["text"], r["shard"], r["slot"]) for r in collect(shards.external_shuffle(documents, 3, bucket_bytes=4000))]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_rows_of_one_id_are_spread(spark):
+    one_id = spark.range(20_000).select(F.lit(1).alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    one_text = spark.range(20_000).select("id", F.lit(1).alias("doc_id"), F.lit("same text").alias("text"))
+    for rows in (one_id, one_text):
+        sizes = [r["count"] for r in shards.scattered(rows, 40, 17, "b", "m").groupBy("b").count().collect()]
+        assert len(sizes) == 40 and max(sizes) < 700
+        made = shards.external_shuffle(rows, 4, bucket_bytes=4000)
+        assert {r["count"] for r in made.groupBy("shard").count().collect()} == {5000}
+
+
+def test_names_of_the_caller_survive(spark, documents):
+    labels = spark.createDataFrame([(1, 1), (2, 1), (6, 1)], "doc_id long, quality int")
+    names = ["__bucket", "__mark", "__salt", "__turn", "__new", "__score", "__text_hash", "__id", "__hash", "mark", "rows", "start", "count",
+             "salt", "turn", "new", "score", "kept_id", "kept_hash"]
+    own = documents.drop("kept", "shard", "bucket").where("doc_id IS NOT NULL")
+    for n in names:
+        own = own.withColumn(n, F.concat(F.lit(n), F.col("doc_id")))
+    made = [
+        shards.external_shuffle(own, 2, bucket_bytes=4000), exact.exact_dedup(own), near.keep_one(own),
+        quality.keep_good(own, labels), quality.weighted(own, quality.fit(own, labels)),
+    ]
+    for df in made:
+        rows = collect(df)
+        assert rows and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
+
+
 def test_shards_are_written(documents, tmp_path):
     shards.write_shards(documents.select("doc_id", "text"), str(tmp_path / "out"), 2)
     assert documents.sparkSession.read.parquet(str(tmp_path / "out")).groupBy("shard").count().count() == 2

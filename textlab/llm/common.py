@@ -19,6 +19,22 @@ def raw(text: Column | str) -> Column:
     return (F.col(text) if isinstance(text, str) else text).cast("binary")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that ``df`` has already, in whatever case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def row_hash(df: DataFrame, seed: int) -> Column:
+    """Hash of all columns of a row."""
+    columns = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema.fields]
+    return F.xxhash64(F.lit(seed), *columns)
+
+
 def release() -> None:
     """Hand memory that this Python worker has freed back to the system, before it goes on or idles."""
     pa.default_memory_pool().release_unused()

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textlab.llm.common import blocks_for, raw
+from textlab.llm.common import blocks_for, raw, unused
 from textlab.plans.durable import scratch_path
 
 DIGEST = 32
@@ -194,27 +194,28 @@ def exact_dedup(
         middle = ((ends["a"] or 0) + (ends["b"] or 0)) / 2
         arrived = F.coalesce(F.col(id_col) > F.lit(middle), F.lit(False))
     spark = docs.sparkSession
-    rows = rows.withColumn("__salt", F.pmod(F.xxhash64(F.lit("spread"), F.col(id_col)), F.lit(SALTS)).cast("int"))
+    salt_, new_, turn_ = unused(rows, "salt", "new", "turn")
+    rows = rows.withColumn(salt_, F.pmod(F.xxhash64(F.lit("spread"), F.col(id_col)), F.lit(SALTS)).cast("int"))
     # Repeats combine before the shuffle; a large group is at most SALTS rows for each half here.
     path = scratch_path(spark, "digests")
-    rows.groupBy("text_digest", "__salt", arrived.alias("__new")).agg(
+    rows.groupBy("text_digest", salt_, arrived.alias(new_)).agg(
         F.max(id_col).cast("bigint").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
     ).write.parquet(path)
     partial = spark.read.parquet(path)
-    grouped = partial.groupBy("text_digest", "__new").agg(
+    grouped = partial.groupBy("text_digest", new_).agg(
         F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")
     )
-    history, new = (grouped.where(c).drop("__new") for c in (~F.col("__new"), F.col("__new")))
+    history, new = (grouped.where(c).drop(new_) for c in (~F.col(new_), F.col(new_)))
     buckets = blocks_for(partial.count(), keys_per_bucket)
     index_path = scratch_path(spark, "digest-index")
     build_index(history, buckets).write.parquet(index_path)
     known = look_up(spark.read.parquet(index_path), new, buckets).drop("known")
     # Every (digest, salt) that occurs gets the answer of its digest, and the rows meet it there.
-    answers = partial.select("text_digest", "__salt").distinct().join(known, "text_digest")
-    same_row = Window.partitionBy("text_digest", "__salt", id_col).orderBy("text_digest")
+    answers = partial.select("text_digest", salt_).distinct().join(known, "text_digest")
+    same_row = Window.partitionBy("text_digest", salt_, id_col).orderBy("text_digest")
     return (
-        rows.join(answers, ["text_digest", "__salt"])
-        .withColumn("__turn", F.row_number().over(same_row))
-        .withColumn("kept", F.col("keep_id").eqNullSafe(F.col(id_col).cast("bigint")) & (F.col("__turn") == 1))
-        .drop("__salt", "__turn")
+        rows.join(answers, ["text_digest", salt_])
+        .withColumn(turn_, F.row_number().over(same_row))
+        .withColumn("kept", F.col("keep_id").eqNullSafe(F.col(id_col).cast("bigint")) & (F.col(turn_) == 1))
+        .drop(salt_, turn_)
     )

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlab.llm.bpe import slices
-from textlab.llm.common import raw, release, with_group_stats
+from textlab.llm.common import raw, release, unused, with_group_stats
 from textlab.llm.substrings import Words
 from textlab.plans.durable import scratch_path
 
@@ -384,8 +384,9 @@ def near_duplicates(
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns."""
-    kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    marked = docs.withColumn("__text_hash", F.xxhash64(text_col))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
-    once = Window.partitionBy(id_col, "__text_hash").orderBy("__text_hash")
-    return marked.join(kept, same, "left_semi").withColumn("__turn", F.row_number().over(once)).where("__turn = 1").select(*docs.columns)
+    mark, id_, hash_, turn = unused(docs, "mark", "kept_id", "kept_hash", "turn")
+    kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_))
+    marked = docs.withColumn(mark, F.xxhash64(text_col))
+    same = F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(mark) == F.col(hash_))
+    once = Window.partitionBy(id_col, mark).orderBy(mark)
+    return marked.join(kept, same, "left_semi").withColumn(turn, F.row_number().over(once)).where(F.col(turn) == 1).select(*docs.columns)

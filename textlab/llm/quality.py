@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textlab.llm.bpe import slices
-from textlab.llm.common import release
+from textlab.llm.common import release, unused
 from textlab.plans.durable import scratch_path
 
 BUCKET_BITS = 16
@@ -146,13 +146,15 @@ def kth_largest(values: DataFrame, column: str, k: int, bins: int = 4096, few: i
 
 def weighted(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", seed: int = 17) -> DataFrame:
     """``docs`` with n_features, log_weight and sample_key (weight and noise)."""
-    scored = docs.drop("n_features", "log_weight", "sample_key").withColumn("__score", model.score(docs, text_col))
+    rows = docs.drop("n_features", "log_weight", "sample_key")
+    (score,) = unused(rows, "score")
+    scored = rows.withColumn(score, model.score(docs, text_col))
     noise = gumbel(id_col, text_col, seed)
     return (
-        scored.withColumn("n_features", F.col("__score.n_features"))
-        .withColumn("log_weight", F.col("__score.log_weight"))
+        scored.withColumn("n_features", F.col(f"{score}.n_features"))
+        .withColumn("log_weight", F.col(f"{score}.log_weight"))
         .withColumn("sample_key", F.col("log_weight") + noise)
-        .drop("__score")
+        .drop(score)
     )
 
 
@@ -183,6 +185,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     model, _, least = resample(docs, labels, id_col, text_col, seed, **options)
     if least is None:
         return docs.where(F.lit(False))
-    scored = docs.withColumn("__score", model.score(docs, text_col))
-    key = F.col("__score.log_weight") + gumbel(id_col, text_col, seed)
+    (score,) = unused(docs, "score")
+    scored = docs.withColumn(score, model.score(docs, text_col))
+    key = F.col(f"{score}.log_weight") + gumbel(id_col, text_col, seed)
     return scored.where(key >= F.lit(least)).select(*docs.columns)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textlab.llm.common import blocks_for, raw
+from textlab.llm.common import blocks_for, raw, row_hash, unused
 
 BUCKET_BYTES = 16 << 20
 
@@ -25,6 +25,12 @@ def record_size(text_col: str = "text"):
     return F.coalesce(F.octet_length(raw(text_col)), F.lit(0)).cast("bigint") + 1
 
 
+def scattered(rows: DataFrame, buckets: int, seed: int, bucket: str, mark: str) -> DataFrame:
+    """First pass: ``rows`` with the hash of each row and the bucket it goes to."""
+    placed = rows.withColumn(mark, row_hash(rows, seed))
+    return placed.withColumn(bucket, F.pmod(F.col(mark), F.lit(buckets)).cast("int"))
+
+
 def external_shuffle(
     docs: DataFrame,
     shards: int,
@@ -36,34 +42,36 @@ def external_shuffle(
     """All rows and columns of ``docs``, shuffled, with ``shard`` (from 0) and ``slot`` (gapless from 0 in its shard).
 
     Shard sizes differ by one row at most. The same rows, seed and ``bucket_bytes`` give the same order
-    on every run, also when a lost task is run again. A null id is replaced by a hash of the text when
-    scattering; rows equal in id and text are interchangeable. Columns named ``shard`` or ``slot`` are
-    replaced. An empty table gives no rows.
+    on every run, also when a lost task is run again. Rows are scattered by a hash of all their columns, so
+    rows that share an id, or all but one column, spread like any others; only rows equal in every column
+    meet in one bucket, where their order makes no difference. Nulls are values like others. Columns named
+    ``shard`` or ``slot`` are replaced, others keep their names whatever these are. An empty table gives no rows.
     """
     total = docs.agg(F.sum(record_size(text_col))).first()[0]
     buckets = blocks_for(total, bucket_bytes)
-    place = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col), F.xxhash64(text_col))), F.lit(buckets))
-    placed = docs.drop("shard", "slot").withColumn("__bucket", place.cast("int"))
-    counts = placed.groupBy("__bucket").count()
+    rows = docs.drop("shard", "slot")
+    bucket, mark, start, size = unused(rows, "bucket", "mark", "start", "rows")
+    placed = scattered(rows, buckets, seed, bucket, mark)
+    counts = placed.groupBy(bucket).agg(F.count(F.lit(1)).alias(size))
     # A row per bucket, that is one for each bucket_bytes of input.
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = counts.select(
-        "__bucket",
-        F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"),
-        F.sum("count").over(every).alias("rows"),
+        bucket,
+        F.coalesce(F.sum(size).over(before), F.lit(0)).alias(start),
+        F.sum(size).over(every).alias(size),
     )
-    kept = [c for c in placed.columns if c != "__bucket"]
+    kept = rows.columns
     out = T.StructType([placed.schema[c] for c in kept] + [T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
 
     def shuffle(key: tuple, records: pa.Table, offset: pa.Table) -> pa.Table:
         # Rows come from the shuffle in any order; a canonical one makes a repeated task agree with the first.
-        order = pc.sort_indices(records, sort_keys=[(id_col, "ascending"), (text_col, "ascending")]).to_numpy().copy()
+        order = pc.sort_indices(records, sort_keys=[(id_col, "ascending"), (text_col, "ascending"), (mark, "ascending")]).to_numpy().copy()
         np.random.Generator(np.random.PCG64([seed, key[0].as_py()])).shuffle(order)  # Fisher-Yates
-        start, rows = (offset[c][0].as_py() for c in ("start", "rows"))
-        rank = start + np.arange(records.num_rows, dtype=np.int64)
-        shard = ((rank + 1) * shards - 1) // rows  # shard s holds ranks from rows * s // shards
-        first = rows * shard // shards
+        first_rank, total_rows = (offset[c][0].as_py() for c in (start, size))
+        rank = first_rank + np.arange(records.num_rows, dtype=np.int64)
+        shard = ((rank + 1) * shards - 1) // total_rows  # shard s holds ranks from total_rows * s // shards
+        first = total_rows * shard // shards
         return (
             records.select(kept)
             .take(pa.array(order))
@@ -71,7 +79,7 @@ def external_shuffle(
             .append_column("slot", pa.array(rank - first))
         )
 
-    return placed.groupBy("__bucket").cogroup(offsets.groupBy("__bucket")).applyInArrow(shuffle, out)
+    return placed.groupBy(bucket).cogroup(offsets.groupBy(bucket)).applyInArrow(shuffle, out)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int, **options) -> None:
