@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from textlab.functions import fixed
 from textlab.operators import intake, metrics, models, neighbors
+from textlab.plans.components import components
 from textlab.plans.durable import checkpointed, materialize
 from textlab.sources import tables
-from textlab.streaming.accept import accept_batch, accept_unique_stream
+from textlab.streaming.accept import accept_batch, accept_unique_stream, earlier_keys
 
 
 def python_accept(rows):
@@ -52,6 +53,56 @@ def test_acceptance_equals_the_sequential_walk(spark, seed, hot):
     assert accepted(frame(spark, rows), limit=4) == python_accept(rows)[:4]
 
 
+def keyed(spark, rows):
+    return spark.createDataFrame(rows, "o bigint, t bigint, p bigint")
+
+
+def walk_of(rows):
+    titles, prefixes, out = set(), set(), []
+    for o, t, p in sorted(rows):
+        if t not in titles and p not in prefixes:
+            titles.add(t)
+            prefixes.add(p)
+            out.append(o)
+    return out
+
+
+@pytest.mark.parametrize("rounds,walk", [(1, 40), (2, 15), (3, 400)])
+def test_components_walked_in_order_equal_the_sequential_walk(spark, rounds, walk):
+    rng = random.Random(rounds)
+    chain = [(i, i // 2, (i + 1) // 2) for i in range(60)]  # every row blocks the next
+    others = [(1000 + i, 100 + rng.randrange(40), 100 + rng.randrange(40)) for i in range(150)]
+    got = intake.accept_keys(keyed(spark, chain + others), "o", "t", "p", rounds, walk)
+    assert sorted(r.o for r in got.collect()) == walk_of(chain + others)
+
+
+def test_a_long_chain_needs_few_jobs(spark):
+    n = 100_000
+    chain = spark.range(n).select(F.col("id").alias("o"), (F.col("id") / 2).cast("bigint").alias("t"), ((F.col("id") + 1) / 2).cast("bigint").alias("p"))
+    spark.sparkContext.setJobGroup("chain", "chain")
+    got = intake.accept_keys(chain, "o", "t", "p")
+    assert got.agg(F.count("o"), F.sum("o")).first()[:] == (n // 2, sum(range(0, n, 2)))
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain")) < 50
+
+
+def test_components_of_paths_stars_and_circles(spark):
+    rng = random.Random(5)
+    links = [(i, i + 1) for i in range(0, 80)] + [(200, 201 + i) for i in range(30)] + [(300 + i, 300 + (i + 1) % 50) for i in range(50)]
+    names = {x: rng.getrandbits(50) for link in links for x in link}
+    df = spark.createDataFrame([(names[a], names[b]) for a, b in links] + [(7, 7)], "_u bigint, _v bigint")
+    for few in (0, 20, 1000):
+        got = {}
+        for u, c in components(df, few).collect():
+            got.setdefault(c, set()).add(u)
+        want = [{names[a] for a, _ in links[:80]}, {names[200]}, {names[a] for a, _ in links[110:]}, {7}]
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want))
+
+
+def test_null_titles_block_nobody(spark):
+    rows = [(i, None, story_text(f"p{i // 2}-")) for i in range(40)]
+    assert accepted(frame(spark, rows)) == list(range(0, 40, 2))
+
+
 def test_stream_equals_batch_and_replay_changes_nothing(spark, tmp_path):
     rng = random.Random(7)
     rows = [(i, f"t{rng.randrange(15)}", story_text(f"p{rng.randrange(15)}-")) for i in range(90)]
@@ -67,6 +118,41 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark, tmp_path):
     assert sorted(r.o for r in spark.read.parquet(done).collect()) == got
 
 
+def test_batches_out_of_order_are_first_come_by_batch(spark, tmp_path):
+    rng = random.Random(11)
+    rows = [(i, f"t{rng.randrange(60)}", story_text(f"p{rng.randrange(60)}-")) for i in range(120)]
+    batches = [rows[80:], rows[:40], rows[40:80]]
+    done, titles, prefixes, want = str(tmp_path / "accepted"), set(), set(), []
+    for number, part in enumerate(batches):
+        accept_batch(frame(spark, part), number, done, "o", F.col("t"), F.col("x"), bucket_rows=16)
+        for o, t, x in sorted(part):
+            if t not in titles and x[:100] not in prefixes:
+                titles.add(t)
+                prefixes.add(x[:100])
+                want.append(o)
+    read = lambda: sorted(r.o for r in spark.read.parquet(done).collect())
+    assert read() == sorted(want)
+    accept_batch(frame(spark, batches[2]), 2, done, "o", F.col("t"), F.col("x"), bucket_rows=16)
+    assert read() == sorted(want)
+
+
+def test_a_batch_reads_its_own_buckets_only(spark, tmp_path):
+    done, read = str(tmp_path / "accepted"), []
+    distinct = lambda a, b: spark.range(a, b).select(
+        F.col("id").alias("o"), F.concat(F.lit("t"), "id").alias("t"), F.rpad(F.concat("id", F.lit("-")), 250, "z").alias("x")
+    )
+    sizes = [0, 400, 4000]
+    for number in range(2):
+        accept_batch(distinct(sizes[number], sizes[number + 1]), number, done, "o", F.col("t"), F.col("x"), bucket_rows=64)
+        probe = intake.candidate_keys(distinct(10, 12), "o", F.col("t"), F.col("x"))
+        earlier, _, buckets = earlier_keys(probe, number + 1, done, bucket_rows=64)
+        read.append((earlier.count(), buckets))
+        assert probe.join(earlier, probe["_title"] == earlier["key"], "left_semi").count() == 2
+    # Ten times the history: more buckets, no more keys read by the same batch.
+    assert read[1][1] >= 8 * read[0][1] and max(n for n, _ in read) <= 4 * 64 * 1.5
+    assert spark.read.parquet(done).count() == 4000
+
+
 def test_prompts_are_fixed_by_the_seed(spark):
     ids = spark.range(300)
     a, b = intake.prompt_table(ids, "id"), intake.prompt_table(ids.repartition(5), "id")

@@ -9,9 +9,11 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textlab.functions import fixed
 from textlab.functions.text import extract_title_text, fill, text_stats, uniform
+from textlab.plans.components import components
 from textlab.plans.durable import checkpointed
 
 
@@ -77,48 +79,109 @@ def batch_infer(
     return df.mapInPandas(run, ", ".join([*fields, f"`{name}` string"]))
 
 
-def accept_keys(candidates: DataFrame, order: str, title: str, prefix: str) -> DataFrame:
-    """(order, title, prefix) of the rows a first-come acceptance takes.
+#: Rounds of firsts before what is left is cut into components.
+ROUNDS = 6
+#: Rows that one task walks in order; also the links whose components one task finds.
+WALK = 1 << 17
+
 
-    In order, a row is taken when neither its title nor its prefix belongs to a
-    row taken before; a row not taken blocks nobody. Each round takes every row
-    that is first for both its title and its prefix and drops all rows sharing a
-    key with them, until none is left. The first undecided row is always taken,
-    so it ends; the rounds follow the longest chain of rows blocking each other,
-    not the row count.
+def accept_keys(
+    candidates: DataFrame, order: str, title: str, prefix: str, rounds: int = ROUNDS, walk: int = WALK
+) -> DataFrame:
+    """(order, title, prefix) of the rows a first-come acceptance takes.
 
-    A title or prefix that most rows share is never gathered: firsts are found by
-    map-side minimum, the two tables of firsts meet on the unique order, and the
-    rows to drop go through anti joins that adaptive execution may split.
+    In order, a row is taken when neither its title nor its prefix belongs to a row taken before; a row not
+    taken blocks nobody. A round takes every row that is first for both its title and its prefix and drops all
+    rows sharing a key with them. Most rows are decided in a few such rounds; chains of rows that block one
+    another are not, they lose a link or two a round. So after ``rounds`` of them the rest is cut into connected
+    components, which share no keys, and tasks walk whole components in order, about ``walk`` rows each.
+    Of a component of more rows only the first go, up to a row drawn so that ``walk`` / 8 are expected; the later ones lose
+    those that share a key with a row taken, and go through the same again.
+
+    A title or prefix that most rows share is never gathered in the rounds: firsts are found by map-side
+    minimum, the two tables of firsts meet on the unique order, and the rows to drop go through anti joins
+    that adaptive execution may split. Keys must not be null.
     """
     # Of rows equal in both keys only the first can be taken.
-    undecided = candidates.groupBy(title, prefix).agg(F.min(order).alias(order))
-    undecided = checkpointed(undecided)
-    taken = None
-    rounds = 0
-    while not undecided.isEmpty():
-        by_title = undecided.groupBy(title).agg(F.min(F.struct(order, prefix)).alias("f"))
-        by_prefix = undecided.groupBy(prefix).agg(F.min(order).alias(order))
-        winners = checkpointed(
-            by_title.select(F.col(f"f.{order}").alias(order), title, F.col(f"f.{prefix}").alias("_p"))
-            .join(by_prefix, order)
-            .where(F.col("_p") == F.col(prefix))
-            .select(order, title, prefix)
-        )
+    undecided = checkpointed(candidates.groupBy(title, prefix).agg(F.min(order).alias(order)))
+    taken = candidates.select(order, title, prefix).limit(0)
+    steps = 0
+    while left := undecided.count():
+        steps += 1
+        if steps % (rounds + 1) and left > walk:
+            winners = _firsts(undecided, order, title, prefix)
+        else:
+            winners = _walked(undecided, left, order, title, prefix, walk)
+        winners = checkpointed(winners)
+        taken = taken.unionByName(winners)
+        if left <= walk:
+            break  # all of it was walked
+        if steps % 16 == 0:
+            taken = checkpointed(taken)
         undecided = checkpointed(
             undecided.join(winners.select(title), title, "left_anti").join(winners.select(prefix), prefix, "left_anti")
         )
-        taken = winners if taken is None else taken.unionByName(winners)
-        rounds += 1
-        if rounds % 16 == 0:
-            taken = checkpointed(taken)
-    return candidates.select(order, title, prefix).limit(0) if taken is None else taken
+    return taken
+
+
+def _firsts(undecided: DataFrame, order: str, title: str, prefix: str) -> DataFrame:
+    """Rows that are first for their title and for their prefix."""
+    by_title = undecided.groupBy(title).agg(F.min(F.struct(order, prefix)).alias("f"))
+    by_prefix = undecided.groupBy(prefix).agg(F.min(order).alias(order))
+    return (
+        by_title.select(F.col(f"f.{order}").alias(order), title, F.col(f"f.{prefix}").alias("_p"))
+        .join(by_prefix, order)
+        .where(F.col("_p") == F.col(prefix))
+        .select(order, title, prefix)
+    )
+
+
+def _walked(undecided: DataFrame, rows: int, order: str, title: str, prefix: str, walk: int) -> DataFrame:
+    """Rows taken among whole components, or among the first rows of components larger than ``walk``."""
+    if rows <= walk:
+        grouped = undecided.withColumn("_bin", F.lit(0))
+    else:
+        # Equal hashes of different keys only join components, which changes no decision.
+        ends = undecided.withColumns({"_u": F.xxhash64(F.lit("t"), title), "_v": F.xxhash64(F.lit("p"), prefix)})
+        member = checkpointed(ends.join(components(ends.select("_u", "_v"), walk), "_u"))
+        sizes = member.groupBy("_component").agg(F.count(F.lit(1)).alias("_n"))
+        large = sizes.where(F.col("_n") > walk)
+        grouped = member.join(large, "_component", "left")
+        # The first rows of a large component: up to the smallest order of a sample of one row in walk / 8.
+        drawn = grouped.where("_n IS NOT NULL").where(F.pmod(F.xxhash64(F.lit("cut"), order), F.lit(max(1, walk // 8))) == 0)
+        cuts = drawn.groupBy("_component").agg(F.min(order).alias("_cut"))
+        grouped = grouped.join(cuts, "_component", "left").where(
+            F.col("_n").isNull() | F.col("_cut").isNull() | (F.col(order) <= F.col("_cut"))
+        )
+        bins = max(1, 2 * rows // walk)
+        grouped = grouped.withColumn("_bin", F.pmod(F.xxhash64("_component"), F.lit(bins)))
+
+    def in_order(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(order)
+        titles, prefixes, kept = set(), set(), []
+        for t, p in zip(group[title], group[prefix]):
+            free = t not in titles and p not in prefixes
+            kept.append(free)
+            if free:
+                titles.add(t)
+                prefixes.add(p)
+        return group.loc[kept, [order, title, prefix]]
+
+    columns = [order, title, prefix]
+    schema = T.StructType([undecided.schema[c] for c in columns])
+    return grouped.select("_bin", *columns).groupBy("_bin").applyInPandas(in_order, schema)
 
 
 def candidate_keys(df: DataFrame, order: str, title: Column, text: Column, prefix: int = 100, min_len: int = 200) -> DataFrame:
-    """order, title and text prefix of the rows long enough to be considered."""
+    """order and the digests of title and text prefix, for the rows long enough to be considered.
+
+    A null title equals no other title; a null text is not considered.
+    """
+    own = F.concat(F.lit("no title"), F.col(order).cast("string")).cast("binary")
     return df.where(F.length(text) > min_len).select(
-        F.col(order), title.alias("_title"), F.substring(text, 1, prefix).alias("_prefix")
+        F.col(order),
+        F.coalesce(F.unhex(F.sha2(title, 256)), own).alias("_title"),
+        F.unhex(F.sha2(F.substring(text, 1, prefix), 256)).alias("_prefix"),
     )
 
 

@@ -1060,7 +1060,7 @@ def i04(spark, d):
 def i05(spark, d):
     """The documents as a file stream; what the finished stream has accepted."""
     source = views.table(spark, d, "documents")
-    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "documents.parquet").parquet(d)
+    stream = spark.readStream.schema(source.schema).parquet(f"{d}/documents.parquet*")  # a file or a folder of files
     accepted = scratch_path(spark, "accepted")
     accept_unique_stream(
         stream.withColumnRenamed("doc_id", "story_id"), accepted, scratch_path(spark, "progress"),
