@@ -105,3 +105,20 @@ def test_no_token_is_dropped(spark):
     assert len(made.stages[1].vocabulary) == 300000
     hashed = fit_vectorizer(docs.limit(20), "text", "id", "word_count", slots=64).transform(docs.limit(20))
     assert {sum(r["features"].values) for r in hashed.collect()} == {100.0}
+
+
+def test_scratch_folders_go_with_their_run(spark):
+    from textlab.plans.durable import path_exists, scratch_path, scratch_run
+
+    kept = scratch_path(spark, "kept")
+    with pytest.raises(ZeroDivisionError), scratch_run(spark):
+        outer = scratch_path(spark, "outer")
+        spark.range(3).write.parquet(outer)
+        with scratch_run(spark):
+            inner = scratch_path(spark, "inner")
+            spark.read.parquet(outer).write.parquet(inner)
+            spark.read.parquet(inner).write.parquet(kept)
+        assert path_exists(spark, outer) and not path_exists(spark, inner)
+        1 / 0  # noqa: B018
+    assert not path_exists(spark, outer)
+    assert spark.read.parquet(kept).count() == 3

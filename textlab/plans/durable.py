@@ -6,7 +6,9 @@ import hashlib
 import json
 import tempfile
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,9 +30,37 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
 
 
+_RUN: ContextVar[list[str] | None] = ContextVar("scratch_run", default=None)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; inside ``scratch_run`` it is removed when the run ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if (run := _RUN.get()) is not None:
+        run.append(path)
+    return path
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch_run(spark: SparkSession) -> Iterator[None]:
+    """Remove the scratch folders that were named inside, also after an error.
+
+    Operators are lazy and read their folders when their result is: write the result inside the run, to a
+    path that was named before it. A run covers the thread that opened it.
+    """
+    mine: list[str] = []
+    outer = _RUN.set(mine)
+    try:
+        yield
+    finally:
+        _RUN.reset(outer)
+        for path in mine:
+            remove_path(spark, path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
