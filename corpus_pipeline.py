@@ -56,12 +56,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
-    from textlab.plans.durable import scratch_path
+    """All stages over ``documents``, each written to the shared folder and read again.
 
-    docs = table(spark, sf_dir, "documents")
+    What a stage wrote for itself goes when its result is written, and that when the next one's is. The last
+    stage's input and own folders stay, as its rows are read from them.
+    """
+    from textlab.plans.durable import remove_path, scratch_path, scratch_run
+
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch_run(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove_path(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
