@@ -3,7 +3,9 @@
 import hashlib
 import itertools
 import math
+import pathlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -294,6 +296,19 @@ def test_pipeline_stages(spark, documents, no_documents, sf_dir):
         assert (packed.count() > 0) == (start is documents)
 
 
+def test_a_pipeline_run_leaves_its_last_input_only(spark, sf_dir):
+    from textlab.plans.durable import shared_folder
+
+    folder = pathlib.Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    packed = corpus_pipeline.run(spark, sf_dir)
+    tokens = packed.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("of"))
+    assert tokens.count() > 0 and tokens.where("n != of").count() == 0
+    made = [p.name for p in set(folder.iterdir()) - before if not re.fullmatch(r"[0-9a-f-]{36}", p.name)]
+    assert [n for n in made if n.startswith("stage-")] == [n for n in made if n.startswith("stage-substring_dedup-")]
+    assert len([n for n in made if n.startswith("stage-")]) == 1 and len(made) <= 3  # packing's own beside it
+
+
 def test_pipeline_equals_the_operators(spark, sf_dir):
     """Every stage keeps what its operator's query says, on what the stage before kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
