@@ -6,7 +6,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from textlab.functions import fixed
-from textlab.operators import intake, metrics, models, neighbors
+from textlab.operators import cells, intake, metrics, models, neighbors
 from textlab.plans.components import components
 from textlab.plans.durable import checkpointed, materialize
 from textlab.sources import tables
@@ -219,6 +219,26 @@ def test_neighbours_equal_brute_force(spark, metric, block):
         assert where[q] == [train_ids[j] for j in np.lexsort((train_ids, np.round(d, 9)))[:4]]
 
 
+@pytest.mark.parametrize("metric", neighbors.METRICS)
+def test_cells_leave_out_most_rows_and_no_neighbour(spark, metric):
+    rng = np.random.default_rng(8)
+    middles = rng.normal(0, 10, (12, 6))
+    points = middles[rng.integers(0, 12, 600)] + rng.normal(0, 0.05, (600, 6))
+    points[::50] = rng.normal(0, 10, (12, 6))  # far from every cluster
+    points[100:120] = points[100]  # ties
+    rows = [(i, [float(v) for v in p], int(i % 3)) for i, p in enumerate(points)]
+    df = spark.createDataFrame([*rows, (600, None, 0)], "id bigint, vec array<double>, label int")
+    train, test = df.where("id % 5 <> 0"), df.where("id % 5 = 0")
+    want = neighbors.nearest(train.where("vec IS NOT NULL"), test.where("vec IS NOT NULL"), 4, metric)
+    for options in ({"cells": 40}, {"cells": 40, "block": 16, "whole": 0.01}):
+        got = cells.nearest_in_cells(train, test, 4, metric, **options)
+        assert sorted(got.collect()) == sorted(want.collect())
+    compared = cells.compared_rows(train, test, 4, metric, cells=40).agg(F.sum("compared")).first()[0]
+    assert compared < 0.2 * 480 * 120
+    few = cells.nearest_in_cells(train.where("id < 4"), test, 4, metric, cells=2)
+    assert few.count() == 3 * 120
+
+
 def test_distance_votes(spark):
     train = spark.createDataFrame([(1, [0.0], 0), (2, [1.0], 1), (3, [1.2], 1)], "id bigint, vec array<double>, label int")
     test = spark.createDataFrame([(10, [0.0]), (11, [0.3])], "id bigint, vec array<double>")

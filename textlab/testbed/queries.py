@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from textlab.functions import fixed, scores, text
-from textlab.operators import annotate, explain, features, intake, metrics, models, neighbors, rows, sample
+from textlab.operators import annotate, cells, explain, features, intake, metrics, models, neighbors, rows, sample
 from textlab.operators.local_model import lime_explain
 from textlab.plans.durable import checkpointed, materialize, scratch_path
 from textlab.plans.ordered import class_rank
@@ -1176,6 +1176,12 @@ def g05_nearest(spark, d):
     return neighbors.nearest(train, test, 5, "euclidean", id_col="vec_id")
 
 
+@query("g05_knn_in_cells", ORACLES["g05_knn_nearest"])
+def g05_in_cells(spark, d):
+    train, test = knn_data(spark, d)
+    return cells.nearest_in_cells(train, test, 5, "euclidean", id_col="vec_id")
+
+
 def small_models():
     return {"l2": models.linear("l2", c=100.0), "hinge": models.linear("hinge", c=100.0)}
 
