@@ -1,9 +1,10 @@
 """Null keys, stale artefacts, frequent tokens and vocabularies without a limit."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textlab.operators import explain, features, sample
+from textlab.operators import explain, features, neighbors, sample
 from textlab.operators.models import fit_vectorizer
 from textlab.plans import layout, ordered
 from textlab.plans.durable import materialize
@@ -122,3 +123,33 @@ def test_scratch_folders_go_with_their_run(spark):
         1 / 0  # noqa: B018
     assert not path_exists(spark, outer)
     assert spark.read.parquet(kept).count() == 3
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "cosine"])
+def test_estimates_lose_no_neighbour(metric):
+    """Single-precision estimates name the candidates; the result is that of all distances in double precision."""
+    rng = np.random.default_rng(0)
+    for change in ("none", "far", "copies", "whole", "large", "small", "odd"):
+        points, queries = rng.normal(size=(700, 9)), rng.normal(size=(301, 9))
+        barred = rng.integers(0, 3, 301)[:, None] == rng.integers(0, 3, 700) if change == "none" else None
+        if change == "far":
+            points, queries = points + 1e9, queries + 1e9
+        elif change == "copies":
+            points[::2], queries[::3] = points[0], points[0]
+        elif change == "whole":
+            points, queries = np.round(points), np.round(queries)
+        elif change in ("large", "small"):
+            by = 1e30 if change == "large" else 1e-12
+            points, queries = points * by, queries * by
+        elif change == "odd":
+            points[5, 3], points[6, 1], queries[2, 2] = np.nan, np.inf, np.nan
+        with np.errstate(all="ignore"):
+            points, queries = neighbors._matrix(points, metric), neighbors._matrix(queries, metric)
+            d = neighbors._distances(queries, points, "manhattan" if metric == "manhattan" else "euclidean")
+            d = np.round(d * d / 2 if metric == "cosine" else d, 9)
+            if barred is not None:
+                d[barred] = np.inf
+            best = np.argsort(d, axis=1, kind="stable")[:, :7]
+            row, column = np.nonzero(np.take_along_axis(d, best, 1) < np.inf)
+            want = list(zip(row, best[row, column], d[row, best[row, column]]))
+            assert list(zip(*neighbors.closest(queries, points, 7, metric, barred))) == want, change

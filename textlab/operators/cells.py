@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textlab.operators.neighbors import BLOCK, METRICS, _distances, _matrix, nearest
+from textlab.operators.neighbors import BLOCK, METRICS, _distances, _matrix, closest, nearest
 from textlab.plans.durable import checkpointed
 from textlab.plans.ordered import seeded_hash
 
@@ -103,18 +103,8 @@ def _search(
         if not len(a) or not len(b):
             return pd.DataFrame({"_q": [], id_col: [], label: [], "distance": []})
         a = a.sort_values(id_col)
-        ids, labels, points = a[id_col].to_numpy(), a[label].to_numpy(), _matrix(a[vec], metric)
-        out = []
-        for start in range(0, len(b), 512):
-            chunk = b.iloc[start : start + 512]
-            d = _distances(_matrix(chunk["_v"], metric), points, space)
-            d = np.round(d * d / 2 if metric == "cosine" else d, 9)
-            best = np.argsort(d, axis=1, kind="stable")[:, :k]
-            out.append(pd.DataFrame({
-                "_q": np.repeat(chunk["_q"].to_numpy(), best.shape[1]), id_col: ids[best.ravel()], label: labels[best.ravel()],
-                "distance": np.take_along_axis(d, best, 1).ravel(),
-            }))
-        return pd.concat(out)
+        q, p, d = closest(_matrix(b["_v"], metric), _matrix(a[vec], metric), k, metric)
+        return pd.DataFrame({"_q": b["_q"].to_numpy()[q], id_col: a[id_col].to_numpy()[p], label: a[label].to_numpy()[p], "distance": d})
 
     def found(met: DataFrame) -> DataFrame:
         keys = ["cell", "part", "slice"]
