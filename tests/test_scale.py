@@ -1,10 +1,13 @@
 """Null keys, stale artefacts, frequent tokens and vocabularies without a limit."""
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from textlab.operators import explain, features, neighbors, sample
+from textlab.operators.linear_many import ManyFits
 from textlab.operators.models import fit_vectorizer
 from textlab.plans import layout, ordered
 from textlab.plans.durable import materialize
@@ -153,3 +156,33 @@ def test_estimates_lose_no_neighbour(metric):
             row, column = np.nonzero(np.take_along_axis(d, best, 1) < np.inf)
             want = list(zip(row, best[row, column], d[row, best[row, column]]))
             assert list(zip(*neighbors.closest(queries, points, 7, metric, barred))) == want, change
+
+
+def test_trials_vote_in_the_task():
+    """Counts of what many trials say, as a plain count over the first neighbours has it."""
+    rng, rows, trials = np.random.default_rng(3), [], [(0, 3, False), (1, 5, True), (2, 9, True), (3, 8, False)]
+    for i in range(120):
+        n = int(rng.integers(1, 10))
+        d = np.sort(np.round(rng.integers(0 if i % 3 else 1, 6, n) / 4, 9))
+        rows.append(([{"place": p + 1, "label": int(rng.integers(0, 3)), "distance": float(x)} for p, x in enumerate(d)], i % 2, i % 4))
+    want = {}
+    for near, truth, fold in rows:
+        for trial, k, by_distance in trials:
+            votes = {}
+            for n in near[:k]:
+                zeros, weight = votes.get(n["label"], (0, 0.0))
+                at_zero = by_distance and n["distance"] == 0
+                votes[n["label"]] = (zeros + at_zero, weight + (0.0 if at_zero else 1 / n["distance"] if by_distance else 1.0))
+            said = max(votes, key=lambda c: (votes[c][0], round(votes[c][1], 9), -c))
+            want[trial, fold, truth, said] = want.get((trial, fold, truth, said), 0) + 1
+    frame = pd.DataFrame(rows, columns=["near", "y_true", "fold"])
+    made = pd.concat(neighbors.trial_votes(trials)(iter([frame[:50], frame[50:50], frame[50:]])))
+    assert {tuple(int(v) for v in r[:4]): int(r[4]) for r in made[["trial", "fold", "y_true", "y_pred", "n"]].to_numpy()} == want
+
+
+def test_rows_of_fits_are_dealt_evenly(spark):
+    """A file of one row group is one partition; the fits' blocks are not."""
+    rows = spark.range(0, 4000, 1, 1).select((F.col("id") % 2).alias("label"), array_to_vector(F.array(F.col("id") / 4000)).alias("features"))
+    with ManyFits(rows) as fits:
+        sizes = [r["rows"] for r in fits.blocks.select("rows").collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 4000 / spark.sparkContext.defaultParallelism + 8
