@@ -10,7 +10,7 @@ from textlab.operators import explain, features, neighbors, sample
 from textlab.operators.linear_many import ManyFits
 from textlab.operators.models import fit_vectorizer
 from textlab.plans import layout, ordered
-from textlab.plans.durable import materialize
+from textlab.plans.durable import materialize, stored
 
 
 @pytest.fixture
@@ -186,3 +186,30 @@ def test_rows_of_fits_are_dealt_evenly(spark):
     with ManyFits(rows) as fits:
         sizes = [r["rows"] for r in fits.blocks.select("rows").collect()]
     assert sum(sizes) == 4000 and max(sizes) <= 4000 / spark.sparkContext.defaultParallelism + 8
+
+
+def test_document_frequency_counts_a_document_once(spark):
+    docs = spark.createDataFrame([(1, "aa bb aa AA"), (2, "bb, c"), (3, None)], "id long, text string")
+    assert {(r["token"], r["n"]) for r in features.document_frequency(docs, "text").collect()} == {("aa", 1), ("bb", 2)}
+
+
+def test_stored_rows_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    assert stored(spark.range(50).mapInPandas(seen, "id long")).agg(F.sum("id")).first()[0] == 1225
+    assert made.value == 50
+
+
+def test_shap_row_of_absent_tokens(spark):
+    docs = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    values = spark.createDataFrame([(1, "a", 1.0), (1, "b", 0.5), (2, "a", 2.0)], "id long, token string, value double")
+    weights = spark.createDataFrame([("a", 2.0), ("b", -1.0)], "token string, w double")
+    made = {(r["id"], r["token"]): r["phi"] for r in explain.linear_shap(docs, values, "id", weights).collect()}
+    a, b = 2.0 * 1.0, -1.0 / 6  # what the means come to
+    want = {(1, "a"): 2 - a, (1, "b"): -0.5 - b, (1, explain.ABSENT): 0.0, (2, "a"): 4 - a, (2, explain.ABSENT): -b, (3, explain.ABSENT): -a - b}
+    assert made == pytest.approx(want)
