@@ -3,12 +3,13 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from textlab.operators import explain, features, neighbors, sample
+from textlab.operators import explain, features, local_model, neighbors, sample
 from textlab.operators.linear_many import ManyFits
-from textlab.operators.models import fit_vectorizer
+from textlab.operators.models import fit_vectorizer, linear
 from textlab.plans import layout, ordered
 from textlab.plans.durable import materialize, stored
 
@@ -213,3 +214,25 @@ def test_shap_row_of_absent_tokens(spark):
     a, b = 2.0 * 1.0, -1.0 / 6  # what the means come to
     want = {(1, "a"): 2 - a, (1, "b"): -0.5 - b, (1, explain.ABSENT): 0.0, (2, "a"): 4 - a, (2, explain.ABSENT): -b, (3, explain.ABSENT): -a - b}
     assert made == pytest.approx(want)
+
+
+@pytest.mark.parametrize("weighting, kind", [("tfidf", "l2"), ("word_count", "hinge")])
+def test_copies_answer_by_their_words(spark, monkeypatch, weighting, kind):
+    """A linear model of words answers masked copies from scores of single words as it does from their texts."""
+    texts = ["Foo foo bar_x x baz", "bar_x qux qux, éa Qux", "zed foo 12 baz-bar_x"]
+    df = spark.createDataFrame([(i, f"{texts[i % 3]} w{i % 7}", int(i % 3 == 0)) for i in range(30)] + [(30, None, 0), (31, " ,", 0)], "id long, text string, label int")
+    train = df.where("id < 30")
+    vectorizer = fit_vectorizer(train, "text", "id", weighting)
+    model = PipelineModel([*vectorizer.stages, linear(kind, c=10.0)(vectorizer.transform(train))])
+
+    def explained():
+        made = local_model.lime_explain(df, model, "id", "text", n_samples=150, n_features=4)
+        return made._jdf.queryExecution().executedPlan().toString(), {(r["id"], r["word"]): (r["weight"], r["intercept"]) for r in made.collect()}
+
+    plan, made = explained()
+    monkeypatch.setattr(local_model, "_word_stages", lambda _: None)
+    wholes, want = explained()
+    assert "_copy" not in plan and "_copy" in wholes and "Exchange" not in plan
+    assert made.keys() == want.keys()
+    for key, pair in want.items():
+        assert made[key] == pytest.approx(pair, abs=1e-9)
