@@ -357,3 +357,29 @@ def test_stored_folds_equal_the_union(spark):
     plain = models.cross_validate(df, fits, 2)
     columns = ["model", "place", "fold", "id", "y_true", "y_pred"]
     assert sorted(stored.select(columns).collect()) == sorted(plain.select(columns).collect())
+
+
+def test_fits_of_a_search_run_side_by_side_on_few_partitions(spark, monkeypatch):
+    import threading
+
+    from pyspark.ml.functions import array_to_vector
+
+    from textlab.operators import models
+
+    rows = [(i, i % 2, [float(i % 2) + i % 3, float(i % 5)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, label int, v array<double>").repartition(4)
+    df = df.select("id", "label", array_to_vector("v").alias("features"))
+    want = {r.trial: r.value for r in models.random_search(df, "decision_tree", 4, k=2).collect()}
+    all_there, partitions, fit_tree = threading.Barrier(4, timeout=60), [], models.FIT_FUNCTIONS["decision_tree"]
+
+    def fits(**params):
+        def fit(train):
+            all_there.wait()
+            partitions.append(train.rdd.getNumPartitions())
+            return fit_tree(**params)(train)
+
+        return fit
+
+    monkeypatch.setitem(models.FIT_FUNCTIONS, "decision_tree", fits)
+    got = {r.trial: r.value for r in models.random_search(df, "decision_tree", 4, k=2).collect()}
+    assert got == want and partitions == [1] * 8
